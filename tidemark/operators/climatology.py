@@ -1,0 +1,280 @@
+"""Day-of-year and month-of-year statistics over the whole record.
+
+All statistics of a table come out of one aggregate. An extreme and its year
+travel in one struct, so ties go to the earliest year:
+
+* highest: ``max(struct(value, -year))``
+* lowest:  ``min(struct(value, year))``
+
+A missing value makes the struct NULL, and NULL structs take no part.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from tidemark.functions.calendar import day_label, month_label, yearday366
+from tidemark.operators.daily import average_column, month_series
+from tidemark.operators.spine import densify
+from tidemark.schemas import DAILY_STATS, DAY_THRESHOLD, KEYS, MONTHLY_STATS
+
+
+def _highest(value: Column) -> Column:
+    pick = F.struct(value.alias("value"), (-F.col("year")).alias("year"))
+    return F.max(F.when(value.isNotNull(), pick))
+
+
+def _lowest(value: Column) -> Column:
+    pick = F.struct(value.alias("value"), F.col("year").alias("year"))
+    return F.min(F.when(value.isNotNull(), pick))
+
+
+def _aggregate(df: DataFrame, keys: list[str], stats: list[tuple[str, str, Column | None]]) -> DataFrame:
+    """One aggregate for any set of statistics.
+
+    Each statistic is (name, kind, value) with kind avg, max, min or years.
+    """
+    make = {
+        "avg": F.avg,
+        "max": _highest,
+        "min": _lowest,
+        # One input row per year, so counting rows counts years.
+        "years": lambda _: F.count("*"),
+    }
+    grouped = df.groupBy(*keys).agg(*[make[kind](value).alias(name) for name, kind, value in stats])
+    out = []
+    for name, kind, _ in stats:
+        if kind in ("max", "min"):
+            year = F.col(f"{name}.year")
+            out += [
+                F.col(f"{name}.value").alias(name),
+                (-year if kind == "max" else year).cast("int").alias(f"{name}_year"),
+            ]
+        elif kind == "years":
+            out.append(F.col(name).cast("int").alias(name))
+        else:
+            out.append(F.col(name))
+    return grouped.select(*keys, *out)
+
+
+# --- by day of year ---------------------------------------------------------
+
+
+def _day_rows(daily: DataFrame) -> DataFrame:
+    return daily.where(F.col("good_day") & F.col("high").isNotNull()).withColumns(
+        {"yearday": yearday366("date"), "year": F.year("date")}
+    )
+
+
+def _by_day(daily: DataFrame, *stats: tuple[str, str, Column | None]) -> DataFrame:
+    return _aggregate(_day_rows(daily), [*KEYS, "yearday"], list(stats))
+
+
+def daily_avg(daily: DataFrame, average: str = "midrange") -> DataFrame:
+    """Mean of the daily averages of each day of the year."""
+    return _by_day(daily, ("daily_average", "avg", average_column(average)))
+
+
+def record_high_daily_avg(daily: DataFrame, average: str = "midrange") -> DataFrame:
+    """Highest daily average and its year."""
+    return _by_day(daily, ("record_high_daily_average", "max", average_column(average)))
+
+
+def record_low_daily_avg(daily: DataFrame, average: str = "midrange") -> DataFrame:
+    """Lowest daily average and its year."""
+    return _by_day(daily, ("record_low_daily_average", "min", average_column(average)))
+
+
+def avg_daily_high(daily: DataFrame) -> DataFrame:
+    """Mean of the daily highs."""
+    return _by_day(daily, ("average_high", "avg", F.col("high")))
+
+
+def lowest_daily_high(daily: DataFrame) -> DataFrame:
+    """Lowest daily high and its year."""
+    return _by_day(daily, ("lowest_high", "min", F.col("high")))
+
+
+def record_daily_high(daily: DataFrame) -> DataFrame:
+    """Highest daily high and its year."""
+    return _by_day(daily, ("record_high", "max", F.col("high")))
+
+
+def avg_daily_low(daily: DataFrame) -> DataFrame:
+    """Mean of the daily lows."""
+    return _by_day(daily, ("average_low", "avg", F.col("low")))
+
+
+def highest_daily_low(daily: DataFrame) -> DataFrame:
+    """Highest daily low and its year."""
+    return _by_day(daily, ("highest_low", "max", F.col("low")))
+
+
+def record_daily_low(daily: DataFrame) -> DataFrame:
+    """Lowest daily low and its year."""
+    return _by_day(daily, ("record_low", "min", F.col("low")))
+
+
+def number_of_years_byday(daily: DataFrame) -> DataFrame:
+    """Years with data for each day of the year."""
+    return _by_day(daily, ("years", "years", None))
+
+
+# --- by month of year -------------------------------------------------------
+
+
+def _by_month(
+    daily: DataFrame,
+    average: str,
+    day_threshold: int | Column,
+    *stats: tuple[str, str, Column | None],
+) -> DataFrame:
+    months = month_series(daily, average, day_threshold).withColumns(
+        {"month": F.month("month_start"), "year": F.year("month_start")}
+    )
+    return _aggregate(months, [*KEYS, "month"], list(stats))
+
+
+def monthly_avg(
+    daily: DataFrame, average: str = "midrange", day_threshold: int = DAY_THRESHOLD
+) -> DataFrame:
+    """Mean over the years of the monthly means."""
+    return _by_month(daily, average, day_threshold, ("monthly_average", "avg", F.col("mean")))
+
+
+def record_high_monthly_avg(
+    daily: DataFrame, average: str = "midrange", day_threshold: int = DAY_THRESHOLD
+) -> DataFrame:
+    """Highest monthly mean and its year."""
+    return _by_month(
+        daily, average, day_threshold, ("record_high_monthly_average", "max", F.col("mean"))
+    )
+
+
+def record_low_monthly_avg(
+    daily: DataFrame, average: str = "midrange", day_threshold: int = DAY_THRESHOLD
+) -> DataFrame:
+    """Lowest monthly mean and its year."""
+    return _by_month(
+        daily, average, day_threshold, ("record_low_monthly_average", "min", F.col("mean"))
+    )
+
+
+def avg_monthly_high(
+    daily: DataFrame, average: str = "midrange", day_threshold: int = DAY_THRESHOLD
+) -> DataFrame:
+    """Mean of the monthly highs."""
+    return _by_month(daily, average, day_threshold, ("average_high", "avg", F.col("high")))
+
+
+def lowest_monthly_high(
+    daily: DataFrame, average: str = "midrange", day_threshold: int = DAY_THRESHOLD
+) -> DataFrame:
+    """Lowest monthly high and its year."""
+    return _by_month(daily, average, day_threshold, ("lowest_high", "min", F.col("high")))
+
+
+def record_monthly_high(
+    daily: DataFrame, average: str = "midrange", day_threshold: int = DAY_THRESHOLD
+) -> DataFrame:
+    """Highest monthly high and its year."""
+    return _by_month(daily, average, day_threshold, ("record_high", "max", F.col("high")))
+
+
+def avg_monthly_low(
+    daily: DataFrame, average: str = "midrange", day_threshold: int = DAY_THRESHOLD
+) -> DataFrame:
+    """Mean of the monthly lows."""
+    return _by_month(daily, average, day_threshold, ("average_low", "avg", F.col("low")))
+
+
+def highest_monthly_low(
+    daily: DataFrame, average: str = "midrange", day_threshold: int = DAY_THRESHOLD
+) -> DataFrame:
+    """Highest monthly low and its year."""
+    return _by_month(daily, average, day_threshold, ("highest_low", "max", F.col("low")))
+
+
+def record_monthly_low(
+    daily: DataFrame, average: str = "midrange", day_threshold: int = DAY_THRESHOLD
+) -> DataFrame:
+    """Lowest monthly low and its year."""
+    return _by_month(daily, average, day_threshold, ("record_low", "min", F.col("low")))
+
+
+def number_of_years_bymonth(
+    daily: DataFrame, average: str = "midrange", day_threshold: int = DAY_THRESHOLD
+) -> DataFrame:
+    """Years with a good month for each month of the year."""
+    return _by_month(daily, average, day_threshold, ("years", "years", None))
+
+
+# --- published tables -------------------------------------------------------
+
+
+def daily_stats(daily: DataFrame, average: str = "midrange") -> DataFrame:
+    """All daily statistics on 366 labelled days; days without data are NULL."""
+    avg, high, low = average_column(average), F.col("high"), F.col("low")
+    stats = _by_day(
+        daily,
+        ("daily_average", "avg", avg),
+        ("record_high_daily_average", "max", avg),
+        ("record_low_daily_average", "min", avg),
+        ("average_high", "avg", high),
+        ("lowest_high", "min", high),
+        ("record_high", "max", high),
+        ("average_low", "avg", low),
+        ("highest_low", "max", low),
+        ("record_low", "min", low),
+        ("years", "years", None),
+    )
+    labelled = densify(stats, KEYS, "yearday", 1, 366)
+    return labelled.select(
+        *KEYS, "yearday", day_label("yearday").alias("date_label"), *DAILY_STATS
+    )
+
+
+def monthly_stats(
+    daily: DataFrame, average: str = "midrange", day_threshold: int | Column = DAY_THRESHOLD
+) -> DataFrame:
+    """All monthly statistics on 12 labelled months; months without data are NULL."""
+    mean, high, low = F.col("mean"), F.col("high"), F.col("low")
+    stats = _by_month(
+        daily,
+        average,
+        day_threshold,
+        ("monthly_average", "avg", mean),
+        ("record_high_monthly_average", "max", mean),
+        ("record_low_monthly_average", "min", mean),
+        ("average_high", "avg", high),
+        ("lowest_high", "min", high),
+        ("record_high", "max", high),
+        ("average_low", "avg", low),
+        ("highest_low", "max", low),
+        ("record_low", "min", low),
+        ("years", "years", None),
+    )
+    labelled = densify(stats, KEYS, "month", 1, 12)
+    return labelled.select(
+        *KEYS, "month", month_label("month").alias("month_label"), *MONTHLY_STATS
+    )
+
+
+def data_range(
+    daily: DataFrame, kind: str = "daily", day_threshold: int | Column = DAY_THRESHOLD
+) -> DataFrame:
+    """First and last valid date of each variable after the day or month gate."""
+    if kind == "daily":
+        return (
+            daily.where(F.col("good_day") & F.col("high").isNotNull())
+            .groupBy(*KEYS)
+            .agg(F.min("date").alias("start_date"), F.max("date").alias("end_date"))
+        )
+    if kind == "monthly":
+        return (
+            month_series(daily, day_threshold=day_threshold)
+            .groupBy(*KEYS)
+            .agg(F.min("first_date").alias("start_date"), F.max("last_date").alias("end_date"))
+        )
+    raise ValueError(f"kind must be 'daily' or 'monthly', not {kind!r}")

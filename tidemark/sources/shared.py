@@ -1,0 +1,42 @@
+"""Where jobs may put intermediate tables."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+_LOCAL_DIRS: dict[str, str] = {}
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """Folder that all executors reach, named by ``spark.checkpoint.dir``.
+
+    Only a local session without that setting gets a temporary folder.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root:
+        return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors can reach")
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL_DIRS:
+        _LOCAL_DIRS[app] = tempfile.mkdtemp(prefix="tidemark-")
+    return _LOCAL_DIRS[app]
+
+
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A new, unused path below the shared folder."""
+    return f"{shared_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
+
+
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Write a frame to the shared folder and read it back.
+
+    Cuts the lineage with a table that outlives any executor, so that a target
+    can be replaced although the frame was computed from it.
+    """
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
