@@ -69,19 +69,24 @@ def preliminary_range(obs: DataFrame) -> DataFrame:
 
     A series without preliminary rows has no row here: nothing to read.
     """
+    days = obs.where(F.col("qc") == "p").withColumn("date", F.to_date("ts"))
+    return preliminary_days(days.withColumn("preliminary", F.lit(True)))
+
+
+def preliminary_days(daily: DataFrame) -> DataFrame:
+    """`preliminary_range` from daily summaries, which are far smaller."""
     return (
-        obs.where(F.col("qc") == "p")
+        daily.where("preliminary")
         .groupBy(*KEYS)
         .agg(
-            F.to_date(F.min("ts")).alias("start_date"),
-            F.date_add(F.to_date(F.max("ts")), 1).alias("end_date"),
+            F.min("date").alias("start_date"),
+            F.date_add(F.max("date"), 1).alias("end_date"),
         )
     )
 
 
-def verified_rows(obs: DataFrame, new: DataFrame, ranges: DataFrame | None = None) -> DataFrame:
+def verified_rows(new: DataFrame, ranges: DataFrame) -> DataFrame:
     """New rows inside the preliminary range of their series, one per time."""
-    ranges = preliminary_range(obs) if ranges is None else ranges
     day = F.to_date("ts")
     inside = new.join(ranges, KEYS).where((day >= F.col("start_date")) & (day <= F.col("end_date")))
     return one_per_time(inside)
@@ -96,7 +101,8 @@ def overlay_verified(
     missing, so a missing verified value never erases a preliminary one while
     its QC mark still counts.
     """
-    fresh = verified_rows(obs, new, ranges).select(
+    ranges = preliminary_range(obs) if ranges is None else ranges
+    fresh = verified_rows(new, ranges).select(
         *_AT, F.col("value").alias("new_value"), F.col("qc").alias("new_qc")
     )
     return obs.join(fresh, _AT, "left").select(

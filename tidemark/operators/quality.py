@@ -31,13 +31,15 @@ def daily_summary(
 
     Every aggregate combines on the map side into fixed-width buffers, so the
     shuffle carries days, not readings, and a hot station only adds map work.
-    Hours with data are the set bits of a 24-bit mask.
+    Hours with data are the set bits of a 24-bit mask. `preliminary` tells
+    whether the day still holds unverified readings.
     """
     readings = obs.select(
         *KEYS,
         F.to_date("ts").alias("date"),
         F.hour("ts").alias("hour"),
         clean_value(fill_value, fill_variables).alias("value"),
+        F.coalesce(F.col("qc") == "p", F.lit(False)).alias("preliminary"),
     )
     hour_bit = F.when(F.col("value").isNotNull(), F.expr("shiftleft(1, hour)"))
     return (
@@ -47,6 +49,7 @@ def daily_summary(
             F.min("value").alias("low"),
             F.avg("value").alias("mean"),
             F.bit_or(hour_bit).alias("hours"),
+            F.bool_or("preliminary").alias("preliminary"),
         )
         .select(
             *_DAY,
@@ -55,6 +58,7 @@ def daily_summary(
             "mean",
             ((F.col("high") + F.col("low")) / 2).alias("mid"),
             F.coalesce(F.bit_count("hours"), F.lit(0)).cast("int").alias("n_hours"),
+            "preliminary",
         )
     )
 

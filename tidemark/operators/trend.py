@@ -168,8 +168,13 @@ def trend(
     day_threshold: int | Column = DAY_THRESHOLD,
     period: int = PERIOD,
 ) -> DataFrame:
-    """The whole chain from monthly means to the trend line, for one variable."""
-    series = row_index(trim_ends(monthly_series(daily, variable, average, day_threshold)))
+    """The whole chain from monthly means to the trend line, for one variable.
+
+    The variable is picked before anything else, so that the filter reaches the
+    scan; the longer span of other variables would be trimmed anyway.
+    """
+    one = daily.where(F.col(VARIABLE) == variable)
+    series = row_index(trim_ends(monthly_series(one, variable, average, day_threshold)))
     fitted = linear_trend(deseasonalise(interpolate_gaps(series), period=period))
     return mask_interpolated(fitted)
 

@@ -1,8 +1,8 @@
 """The jobs: first load, refresh, statistics, reprocessing.
 
-Each job covers all stations of its input at once. What a job writes is first
-staged as a table in the shared folder, then published; a job that dies can
-simply be run again, because every step gives the same result twice.
+Each job covers all stations of its input at once. What a job computes from
+the tables it replaces is first staged in the shared folder, then published. A
+job that dies can simply be run again: every step gives the same result twice.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from tidemark.operators.combine import (
     last_obs,
     one_per_time,
     overlay_verified,
-    preliminary_range,
+    preliminary_days,
     splice_hourly,
     union_variables,
     unseen_rows,
@@ -80,7 +80,7 @@ def _put_metadata(store: Store, config: DataFrame, last: DataFrame, as_of: date)
 
 def _refresh_daily(store: Store, touched: DataFrame) -> None:
     """Recompute the daily summaries of the touched station years."""
-    store.put_daily(stage(daily_summary(store.observations_in(touched)), "daily"))
+    store.put_daily(daily_summary(store.observations_in(touched)))
 
 
 def initial_load(
@@ -90,32 +90,43 @@ def initial_load(
     as_of: date,
     hr_threshold: int = HR_THRESHOLD,
     day_threshold: int = DAY_THRESHOLD,
+    redownload: bool = False,
 ) -> None:
     """First load of the stations in `config`: record, daily table, statistics.
 
     `record` is the output of `combine_products`; `config` has stationname,
-    station_id, unit_system, tz and datum and is checked before any write.
+    station_id, unit_system, tz and datum and is checked before any write. A
+    station that is loaded already is only replaced with `redownload`.
     """
     checked = validate_config(config, fail=True).withColumns(
         {"hr_threshold": F.lit(hr_threshold), "day_threshold": F.lit(day_threshold)}
     )
     checked = stage(checked, "config")
-    loaded = stage(record.join(checked.select(STATION), STATION, "left_semi"), "load")
-    store.put_observations(loaded)
+    stations = checked.select(STATION)
+    if not store.metadata().join(stations, STATION, "left_semi").isEmpty() and not redownload:
+        raise ValueError("a station is loaded already; pass redownload=True to replace it")
+    # The record does not depend on the store, so it is written straight to it;
+    # all that follows reads the stored, partitioned copy.
+    store.put_observations(record.join(stations, STATION, "left_semi"))
+    if redownload:
+        store.drop_years_without(station_years(record), stations)
+    loaded = store.observations_of(stations)
     _refresh_daily(store, station_years(loaded))
     _put_metadata(store, checked, last_obs(loaded), as_of)
-    update_stats(store)
+    for kind, table in _fresh_stats(checked, store.daily()).items():
+        store.put_stats(table, kind)
 
 
 def _overlay(store: Store, batch: DataFrame) -> DataFrame | None:
     """Lay verified water levels over preliminary ones; the years that changed.
 
-    The preliminary range looks at the whole store, but only at its qc, key and
-    time columns. Years are rewritten only if some cell really changes.
+    The preliminary range of the whole record comes from the daily summaries.
+    Years are rewritten only if some cell really changes.
     """
-    fresh = batch.where(F.col(VARIABLE) == WATER_LEVEL)
-    ranges = preliminary_range(store.observations().where(F.col(VARIABLE) == WATER_LEVEL))
-    fresh = stage(verified_rows(store.observations(), fresh, ranges), "verified")
+    ranges = preliminary_days(store.daily().where(F.col(VARIABLE) == WATER_LEVEL))
+    ranges = stage(ranges, "ranges")
+    levels = batch.where(F.col(VARIABLE) == WATER_LEVEL)
+    fresh = stage(verified_rows(levels, ranges), "verified")
     old = store.observations_in(station_years(fresh))
     pair = fresh.select(*_AT, F.col("value").alias("new_value"), F.col("qc").alias("new_qc"))
     differs = (F.col("new_value").isNotNull() & ~F.col("value").eqNullSafe(F.col("new_value"))) | (
@@ -166,25 +177,38 @@ def update_data(
     return has_new
 
 
-def update_stats(store: Store, average: str = "midrange") -> dict[str, DataFrame]:
-    """Recompute the statistics, report new records, replace what changed.
-
-    Reads the daily table only. Returns the new records of the daily and of the
-    monthly table; statistics are written for stations that changed.
-    """
-    metadata = store.metadata()
-    settings = metadata.select(STATION, "hr_threshold", "day_threshold", "unit_system")
-    daily = store.daily().join(settings, STATION)
-    gated = good_day(daily, F.col("hr_threshold"))
-    fresh = {
+def _fresh_stats(
+    settings: DataFrame, daily: DataFrame, average: str = "midrange"
+) -> dict[str, DataFrame]:
+    """Both statistics tables, each station under its own thresholds."""
+    thresholds = settings.select(STATION, "hr_threshold", "day_threshold")
+    gated = good_day(daily.join(thresholds, STATION), F.col("hr_threshold"))
+    return {
         "daily": daily_stats(gated, average),
         "monthly": monthly_stats(gated, average, F.col("day_threshold")),
     }
+
+
+def update_stats(
+    store: Store, average: str = "midrange", stations: list[str] | None = None
+) -> dict[str, DataFrame]:
+    """Recompute the statistics, report new records, replace what changed.
+
+    Reads the daily table only, of all or of the named stations. Returns the
+    new records of the daily and of the monthly table; statistics are written
+    for stations that changed.
+    """
+
+    def ours(df: DataFrame) -> DataFrame:
+        return df if stations is None else df.where(F.col(STATION).isin(stations))
+
+    metadata = ours(store.metadata())
+    fresh = _fresh_stats(metadata, ours(store.daily()), average)
     units = metadata.select(STATION, F.explode("units").alias(VARIABLE, "unit"))
     report = {}
     for kind in _KINDS:
         new = stage(fresh[kind], f"{kind}-stats")
-        old = store.stats(kind)
+        old = ours(store.stats(kind))
         report[kind] = stage(new_records(old, new, units), f"{kind}-records")
         changed = stage(
             stats_changed(old, new).where("changed").select(STATION), f"{kind}-changed"
@@ -219,4 +243,4 @@ def reprocess(
             "metadata",
         )
     )
-    return update_stats(store, average)
+    return update_stats(store, average, stations)

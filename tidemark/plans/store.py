@@ -76,6 +76,36 @@ class Store:
         obs = read_observations(self.spark, self.path("observations"), with_year=True)
         return obs.join(touched, [STATION, "year"], "left_semi").select(*OBSERVATIONS.fieldNames())
 
+    def observations_of(self, stations: DataFrame) -> DataFrame:
+        """Stored observations of the listed stations, pruned by directory."""
+        return self.observations().join(stations, STATION, "left_semi")
+
+    def drop_years_without(self, years: DataFrame, stations: DataFrame) -> None:
+        """Delete stored years of the stations that are not in `years`.
+
+        Needed after a station was loaded anew, as overwriting replaces only
+        years the new record has. The driver sees directory names, no data.
+        """
+        for table in ("observations", "daily"):
+            if not self.exists(table):
+                continue
+            held = self.spark.read.schema("station_id string, year int").parquet(self.path(table))
+            folder = F.regexp_replace("_metadata.file_path", "/[^/]*$", "").alias("folder")
+            stale = (
+                held.select(STATION, "year", folder)
+                .distinct()
+                .join(stations, STATION, "left_semi")
+                .join(years, [STATION, "year"], "left_anti")
+            )
+            for row in stale.select("folder").distinct().collect():
+                self._delete(row["folder"])
+
+    def _delete(self, uri: str) -> None:
+        jvm = self.spark._jvm
+        target = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(uri))
+        files = target.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        files.delete(target, True)
+
     def put_observations(self, df: DataFrame, mode: str = "overwrite") -> None:
         write_observations(df, self.path("observations"), mode)
 

@@ -34,6 +34,7 @@ DAILY = T.StructType(
         T.StructField("mean", T.DoubleType()),
         T.StructField("mid", T.DoubleType()),
         T.StructField("n_hours", T.IntegerType()),
+        T.StructField("preliminary", T.BooleanType()),
     ]
 )
 
