@@ -242,7 +242,7 @@ def _spine(axis: str, label: str, length: int, label_expr: str) -> str:
     return f"""stats AS (
   SELECT k.station_id, k.variable, CAST(s.i AS INTEGER) AS {axis}, {label_expr} AS {label},
          g.* EXCLUDE (station_id, variable, {axis})
-  FROM (SELECT DISTINCT station_id, variable FROM grouped) k
+  FROM (SELECT DISTINCT station_id, variable FROM daily) k
   CROSS JOIN generate_series(1, {length}) AS s(i)
   LEFT JOIN grouped g ON g.station_id = k.station_id AND g.variable = k.variable
                       AND g.{axis} = s.i)"""

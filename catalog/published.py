@@ -351,7 +351,8 @@ def stats_table_header(spark, sf_dir):
     "today_value",
     f"""{DAILY_STATS_LONG}
 SELECT {_K}, date_label,
-       CAST(round_even(average_high * 10.0, 0) / 10.0 AS VARCHAR) || ' ' || {_UNIT} AS value
+       coalesce(CAST(round_even(average_high * 10.0, 0) / 10.0 AS VARCHAR), 'nan')
+         || ' ' || {_UNIT} AS value
 FROM stats WHERE date_label = strftime(DATE '{LONG_AS_OF}', '%d-%b')""",
 )
 def today_value(spark, sf_dir):

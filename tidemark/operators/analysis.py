@@ -147,7 +147,7 @@ def today_value(
 ) -> DataFrame:
     """One statistic on the calendar day of `as_of`, as text with its unit."""
     today = stats.where(F.col("date_label") == F.date_format(F.to_date(as_of), "dd-MMM"))
-    value = round_half_even(record, decimals).cast("string")
+    value = F.coalesce(round_half_even(record, decimals).cast("string"), F.lit("nan"))
     return today.join(units.select(*KEYS, "unit"), KEYS, "left").select(
         *KEYS, "date_label", F.concat_ws(" ", value, F.col("unit")).alias("value")
     )

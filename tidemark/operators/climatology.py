@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.calendar import day_label, month_label, yearday366
-from tidemark.operators.daily import average_column, month_series
+from tidemark.operators.daily import all_months, average_column, month_series
 from tidemark.operators.spine import densify
 from tidemark.schemas import DAILY_STATS, DAY_THRESHOLD, KEYS, MONTHLY_STATS
 
@@ -30,7 +30,7 @@ def _lowest(value: Column) -> Column:
     return F.min(F.when(value.isNotNull(), pick))
 
 
-def _aggregate(df: DataFrame, keys: list[str], stats: list[tuple[str, str, Column | None]]) -> DataFrame:
+def _aggregate(df: DataFrame, keys: list[str], stats: list[tuple[str, str, Column]]) -> DataFrame:
     """One aggregate for any set of statistics.
 
     Each statistic is (name, kind, value) with kind avg, max, min or years.
@@ -39,8 +39,8 @@ def _aggregate(df: DataFrame, keys: list[str], stats: list[tuple[str, str, Colum
         "avg": F.avg,
         "max": _highest,
         "min": _lowest,
-        # One input row per year, so counting rows counts years.
-        "years": lambda _: F.count("*"),
+        # One input row per year, so counting values counts years.
+        "years": F.count,
     }
     grouped = df.groupBy(*keys).agg(*[make[kind](value).alias(name) for name, kind, value in stats])
     out = []
@@ -61,64 +61,63 @@ def _aggregate(df: DataFrame, keys: list[str], stats: list[tuple[str, str, Colum
 # --- by day of year ---------------------------------------------------------
 
 
-def _day_rows(daily: DataFrame) -> DataFrame:
-    return daily.where(F.col("good_day") & F.col("high").isNotNull()).withColumns(
-        {"yearday": yearday366("date"), "year": F.year("date")}
-    )
+def _by_day(daily: DataFrame, *stats: tuple[str, str, Column]) -> DataFrame:
+    days = daily.withColumns({"yearday": yearday366("date"), "year": F.year("date")})
+    return _aggregate(days, [*KEYS, "yearday"], list(stats))
 
 
-def _by_day(daily: DataFrame, *stats: tuple[str, str, Column | None]) -> DataFrame:
-    return _aggregate(_day_rows(daily), [*KEYS, "yearday"], list(stats))
+def _good_days(daily: DataFrame) -> DataFrame:
+    return daily.where(F.col("good_day") & F.col("high").isNotNull())
 
 
 def daily_avg(daily: DataFrame, average: str = "midrange") -> DataFrame:
     """Mean of the daily averages of each day of the year."""
-    return _by_day(daily, ("daily_average", "avg", average_column(average)))
+    return _by_day(_good_days(daily), ("daily_average", "avg", average_column(average)))
 
 
 def record_high_daily_avg(daily: DataFrame, average: str = "midrange") -> DataFrame:
     """Highest daily average and its year."""
-    return _by_day(daily, ("record_high_daily_average", "max", average_column(average)))
+    return _by_day(_good_days(daily), ("record_high_daily_average", "max", average_column(average)))
 
 
 def record_low_daily_avg(daily: DataFrame, average: str = "midrange") -> DataFrame:
     """Lowest daily average and its year."""
-    return _by_day(daily, ("record_low_daily_average", "min", average_column(average)))
+    return _by_day(_good_days(daily), ("record_low_daily_average", "min", average_column(average)))
 
 
 def avg_daily_high(daily: DataFrame) -> DataFrame:
     """Mean of the daily highs."""
-    return _by_day(daily, ("average_high", "avg", F.col("high")))
+    return _by_day(_good_days(daily), ("average_high", "avg", F.col("high")))
 
 
 def lowest_daily_high(daily: DataFrame) -> DataFrame:
     """Lowest daily high and its year."""
-    return _by_day(daily, ("lowest_high", "min", F.col("high")))
+    return _by_day(_good_days(daily), ("lowest_high", "min", F.col("high")))
 
 
 def record_daily_high(daily: DataFrame) -> DataFrame:
     """Highest daily high and its year."""
-    return _by_day(daily, ("record_high", "max", F.col("high")))
+    return _by_day(_good_days(daily), ("record_high", "max", F.col("high")))
 
 
 def avg_daily_low(daily: DataFrame) -> DataFrame:
     """Mean of the daily lows."""
-    return _by_day(daily, ("average_low", "avg", F.col("low")))
+    return _by_day(_good_days(daily), ("average_low", "avg", F.col("low")))
 
 
 def highest_daily_low(daily: DataFrame) -> DataFrame:
     """Highest daily low and its year."""
-    return _by_day(daily, ("highest_low", "max", F.col("low")))
+    return _by_day(_good_days(daily), ("highest_low", "max", F.col("low")))
 
 
 def record_daily_low(daily: DataFrame) -> DataFrame:
     """Lowest daily low and its year."""
-    return _by_day(daily, ("record_low", "min", F.col("low")))
+    return _by_day(_good_days(daily), ("record_low", "min", F.col("low")))
 
 
 def number_of_years_byday(daily: DataFrame) -> DataFrame:
     """Years with data for each day of the year."""
-    return _by_day(daily, ("years", "years", None))
+    return _by_day(_good_days(daily), ("years", "years", F.col("high")))
 
 
 # --- by month of year -------------------------------------------------------
@@ -128,12 +127,14 @@ def _by_month(
     daily: DataFrame,
     average: str,
     day_threshold: int | Column,
-    *stats: tuple[str, str, Column | None],
+    *stats: tuple[str, str, Column],
 ) -> DataFrame:
-    months = month_series(daily, average, day_threshold).withColumns(
-        {"month": F.month("month_start"), "year": F.year("month_start")}
-    )
-    return _aggregate(months, [*KEYS, "month"], list(stats))
+    return _over_months(month_series(daily, average, day_threshold), *stats)
+
+
+def _over_months(months: DataFrame, *stats: tuple[str, str, Column]) -> DataFrame:
+    dated = months.withColumns({"month": F.month("month_start"), "year": F.year("month_start")})
+    return _aggregate(dated, [*KEYS, "month"], list(stats))
 
 
 def monthly_avg(
@@ -207,15 +208,21 @@ def number_of_years_bymonth(
     daily: DataFrame, average: str = "midrange", day_threshold: int = DAY_THRESHOLD
 ) -> DataFrame:
     """Years with a good month for each month of the year."""
-    return _by_month(daily, average, day_threshold, ("years", "years", None))
+    return _by_month(daily, average, day_threshold, ("years", "years", F.col("mean")))
 
 
 # --- published tables -------------------------------------------------------
 
 
 def daily_stats(daily: DataFrame, average: str = "midrange") -> DataFrame:
-    """All daily statistics on 366 labelled days; days without data are NULL."""
-    avg, high, low = average_column(average), F.col("high"), F.col("low")
+    """All daily statistics on 366 labelled days; days without data are NULL.
+
+    Bad days count for nothing but stay in, so that a series without any good
+    day is published as well, with NULL throughout.
+    """
+    good = F.col("good_day")
+    avg = F.when(good, average_column(average))
+    high, low = F.when(good, F.col("high")), F.when(good, F.col("low"))
     stats = _by_day(
         daily,
         ("daily_average", "avg", avg),
@@ -227,8 +234,9 @@ def daily_stats(daily: DataFrame, average: str = "midrange") -> DataFrame:
         ("average_low", "avg", low),
         ("highest_low", "max", low),
         ("record_low", "min", low),
-        ("years", "years", None),
+        ("years", "years", high),
     )
+    stats = stats.withColumn("years", F.nullif("years", F.lit(0)))
     labelled = densify(stats, KEYS, "yearday", 1, 366)
     return labelled.select(
         *KEYS, "yearday", day_label("yearday").alias("date_label"), *DAILY_STATS
@@ -238,12 +246,13 @@ def daily_stats(daily: DataFrame, average: str = "midrange") -> DataFrame:
 def monthly_stats(
     daily: DataFrame, average: str = "midrange", day_threshold: int | Column = DAY_THRESHOLD
 ) -> DataFrame:
-    """All monthly statistics on 12 labelled months; months without data are NULL."""
-    mean, high, low = F.col("mean"), F.col("high"), F.col("low")
-    stats = _by_month(
-        daily,
-        average,
-        day_threshold,
+    """All monthly statistics on 12 labelled months; months without data are NULL.
+
+    A series without any good month is published as well, with NULL throughout.
+    """
+    mean, high, low = (F.when(F.col("enough"), F.col(c)) for c in ("mean", "high", "low"))
+    stats = _over_months(
+        all_months(daily, average, day_threshold),
         ("monthly_average", "avg", mean),
         ("record_high_monthly_average", "max", mean),
         ("record_low_monthly_average", "min", mean),
@@ -253,8 +262,9 @@ def monthly_stats(
         ("average_low", "avg", low),
         ("highest_low", "max", low),
         ("record_low", "min", low),
-        ("years", "years", None),
+        ("years", "years", mean),
     )
+    stats = stats.withColumn("years", F.nullif("years", F.lit(0)))
     labelled = densify(stats, KEYS, "month", 1, 12)
     return labelled.select(
         *KEYS, "month", month_label("month").alias("month_label"), *MONTHLY_STATS
@@ -267,7 +277,7 @@ def data_range(
     """First and last valid date of each variable after the day or month gate."""
     if kind == "daily":
         return (
-            daily.where(F.col("good_day") & F.col("high").isNotNull())
+            _good_days(daily)
             .groupBy(*KEYS)
             .agg(F.min("date").alias("start_date"), F.max("date").alias("end_date"))
         )

@@ -56,32 +56,36 @@ def mon_daily_avgs(daily: DataFrame, average: str = "midrange") -> DataFrame:
     return _series(daily, _both_gates(), average_column(average), "average")
 
 
-def month_series(
+def all_months(
     daily: DataFrame, average: str = "midrange", day_threshold: int | Column = DAY_THRESHOLD
 ) -> DataFrame:
-    """Mean, highest and lowest daily average of each good month.
+    """Mean, highest and lowest daily average of each month, and if it is good.
 
-    Needs only the day gate: the month gate is a filter on the day count that
-    the same aggregate makes, so the month costs one shuffle and no window.
+    Needs only the day gate: the month gate compares the day count that the
+    same aggregate makes, so the month costs one shuffle and no window.
     `day_threshold` may be a column that is constant per station.
     """
-    avg = average_column(average)
+    avg = F.when(F.col("good_day"), average_column(average))
+    date = F.when(avg.isNotNull(), F.col("date"))
     threshold = F.lit(day_threshold) if isinstance(day_threshold, int) else day_threshold
-    months = (
-        daily.where(F.col("good_day") & F.col("high").isNotNull())
-        .groupBy(*KEYS, month_start("date").alias("month_start"))
-        .agg(
-            F.count("*").alias("n_days"),
-            F.avg(avg).alias("mean"),
-            F.max(avg).alias("high"),
-            F.min(avg).alias("low"),
-            F.min("date").alias("first_date"),
-            F.max("date").alias("last_date"),
-            F.max(threshold).alias("threshold"),
-        )
+    months = daily.groupBy(*KEYS, month_start("date").alias("month_start")).agg(
+        F.count(avg).alias("n_days"),
+        F.avg(avg).alias("mean"),
+        F.max(avg).alias("high"),
+        F.min(avg).alias("low"),
+        F.min(date).alias("first_date"),
+        F.max(date).alias("last_date"),
+        F.max(threshold).alias("threshold"),
     )
     enough = F.col("n_days") >= days_in_month("month_start") - F.col("threshold")
-    return months.where(enough).drop("threshold")
+    return months.withColumn("enough", enough & (F.col("n_days") > 0)).drop("threshold")
+
+
+def month_series(
+    daily: DataFrame, average: str = "midrange", day_threshold: int | Column = DAY_THRESHOLD
+) -> DataFrame:
+    """Mean, highest and lowest daily average of each good month."""
+    return all_months(daily, average, day_threshold).where("enough").drop("enough")
 
 
 def monthly_highs(
