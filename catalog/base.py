@@ -36,11 +36,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def rounded(df: DataFrame, decimals: int = 6) -> DataFrame:
     """Doubles to a fixed number of places: sums have no fixed order."""
-    return df.select(
+    return df.selectExpr(
         *[
-            F.round(f.name, decimals).alias(f.name)
+            f"round(`{f.name}`, {decimals}) AS `{f.name}`"
             if isinstance(f.dataType, T.DoubleType)
-            else F.col(f.name)
+            else f"`{f.name}`"
             for f in df.schema.fields
         ]
     )

@@ -22,15 +22,10 @@ FIRST_CHART_YEAR = 1987
 
 def _counts_by_year(stats: DataFrame) -> DataFrame:
     names = record_names(stats.columns)
-    records = F.array(
-        *[
-            F.struct(F.lit(n).alias("record"), F.col(f"{n}_year").alias("year"))
-            for n in names
-        ]
-    )
-    rows = stats.select(*KEYS, F.inline(records)).where(F.col("year").isNotNull())
+    records = ", ".join(f"struct('{n}' AS record, {n}_year AS year)" for n in names)
+    rows = stats.selectExpr(*KEYS, f"inline(array({records}))").where("year IS NOT NULL")
     return rows.groupBy(*KEYS, "year").agg(
-        *[F.count_if(F.col("record") == n).cast("int").alias(n) for n in names]
+        *[F.expr(f"CAST(count_if(record = '{n}') AS INT)").alias(n) for n in names]
     )
 
 

@@ -20,50 +20,56 @@ from tidemark.operators.spine import densify
 from tidemark.schemas import DAILY_STATS, DAY_THRESHOLD, KEYS, MONTHLY_STATS
 
 
-def _highest(value: Column) -> Column:
-    pick = F.struct(value.alias("value"), (-F.col("year")).alias("year"))
-    return F.max(F.when(value.isNotNull(), pick))
-
-
-def _lowest(value: Column) -> Column:
-    pick = F.struct(value.alias("value"), F.col("year").alias("year"))
-    return F.min(F.when(value.isNotNull(), pick))
-
-
-def _aggregate(df: DataFrame, keys: list[str], stats: list[tuple[str, str, Column]]) -> DataFrame:
-    """One aggregate for any set of statistics.
-
-    Each statistic is (name, kind, value) with kind avg, max, min or years.
+# What each kind of statistic makes of a column, and what it publishes.
+_AGGREGATE = {
+    "avg": "avg({v})",
+    "max": "max(CASE WHEN {v} IS NOT NULL THEN struct({v} AS value, -year AS year) END)",
+    "min": "min(CASE WHEN {v} IS NOT NULL THEN struct({v} AS value, year AS year) END)",
+    # One input row per year, so counting values counts years.
+    "years": "count({v})",
+}
+_PUBLISH = {
+    "avg": ["{n}"],
+    "max": ["{n}.value AS {n}", "CAST(-{n}.year AS INT) AS {n}_year"],
+    "min": ["{n}.value AS {n}", "CAST({n}.year AS INT) AS {n}_year"],
+    "years": ["CAST(nullif({n}, 0) AS INT) AS {n}"],
+}
+
+Stat = tuple[str, str, str]
+
+
+def _aggregate(df: DataFrame, keys: list[str], stats: list[Stat]) -> DataFrame:
+    """One aggregate for any set of statistics (name, kind, column).
+
+    `df` has one row per key and year, with the year in `year`.
     """
-    make = {
-        "avg": F.avg,
-        "max": _highest,
-        "min": _lowest,
-        # One input row per year, so counting values counts years.
-        "years": F.count,
-    }
-    grouped = df.groupBy(*keys).agg(*[make[kind](value).alias(name) for name, kind, value in stats])
-    out = []
-    for name, kind, _ in stats:
-        if kind in ("max", "min"):
-            year = F.col(f"{name}.year")
-            out += [
-                F.col(f"{name}.value").alias(name),
-                (-year if kind == "max" else year).cast("int").alias(f"{name}_year"),
-            ]
-        elif kind == "years":
-            out.append(F.col(name).cast("int").alias(name))
-        else:
-            out.append(F.col(name))
-    return grouped.select(*keys, *out)
+    grouped = df.groupBy(*keys).agg(
+        *[F.expr(_AGGREGATE[kind].format(v=column)).alias(name) for name, kind, column in stats]
+    )
+    published = [p.format(n=name) for name, kind, _ in stats for p in _PUBLISH[kind]]
+    return grouped.selectExpr(*keys, *published)
 
 
 # --- by day of year ---------------------------------------------------------
 
 
-def _by_day(daily: DataFrame, *stats: tuple[str, str, Column]) -> DataFrame:
-    days = daily.withColumns({"yearday": yearday366("date"), "year": F.year("date")})
-    return _aggregate(days, [*KEYS, "yearday"], list(stats))
+def _days(daily: DataFrame, average: str = "midrange") -> DataFrame:
+    """Daily values with their place in the calendar; bad days are NULL."""
+    good = F.col("good_day")
+    return daily.select(
+        *KEYS,
+        yearday366("date").alias("yearday"),
+        F.year("date").alias("year"),
+        F.when(good, average_column(average)).alias("average"),
+        F.when(good, F.col("high")).alias("high"),
+        F.when(good, F.col("low")).alias("low"),
+    )
+
+
+def _by_day(daily: DataFrame, stat: Stat, average: str = "midrange") -> DataFrame:
+    """One statistic over the good days."""
+    days = _days(_good_days(daily), average)
+    return _aggregate(days, [*KEYS, "yearday"], [stat])
 
 
 def _good_days(daily: DataFrame) -> DataFrame:
@@ -72,76 +78,72 @@ def _good_days(daily: DataFrame) -> DataFrame:
 
 def daily_avg(daily: DataFrame, average: str = "midrange") -> DataFrame:
     """Mean of the daily averages of each day of the year."""
-    return _by_day(_good_days(daily), ("daily_average", "avg", average_column(average)))
+    return _by_day(daily, ("daily_average", "avg", "average"), average)
 
 
 def record_high_daily_avg(daily: DataFrame, average: str = "midrange") -> DataFrame:
     """Highest daily average and its year."""
-    return _by_day(_good_days(daily), ("record_high_daily_average", "max", average_column(average)))
+    return _by_day(daily, ("record_high_daily_average", "max", "average"), average)
 
 
 def record_low_daily_avg(daily: DataFrame, average: str = "midrange") -> DataFrame:
     """Lowest daily average and its year."""
-    return _by_day(_good_days(daily), ("record_low_daily_average", "min", average_column(average)))
+    return _by_day(daily, ("record_low_daily_average", "min", "average"), average)
 
 
 def avg_daily_high(daily: DataFrame) -> DataFrame:
     """Mean of the daily highs."""
-    return _by_day(_good_days(daily), ("average_high", "avg", F.col("high")))
+    return _by_day(daily, ("average_high", "avg", "high"))
 
 
 def lowest_daily_high(daily: DataFrame) -> DataFrame:
     """Lowest daily high and its year."""
-    return _by_day(_good_days(daily), ("lowest_high", "min", F.col("high")))
+    return _by_day(daily, ("lowest_high", "min", "high"))
 
 
 def record_daily_high(daily: DataFrame) -> DataFrame:
     """Highest daily high and its year."""
-    return _by_day(_good_days(daily), ("record_high", "max", F.col("high")))
+    return _by_day(daily, ("record_high", "max", "high"))
 
 
 def avg_daily_low(daily: DataFrame) -> DataFrame:
     """Mean of the daily lows."""
-    return _by_day(_good_days(daily), ("average_low", "avg", F.col("low")))
+    return _by_day(daily, ("average_low", "avg", "low"))
 
 
 def highest_daily_low(daily: DataFrame) -> DataFrame:
     """Highest daily low and its year."""
-    return _by_day(_good_days(daily), ("highest_low", "max", F.col("low")))
+    return _by_day(daily, ("highest_low", "max", "low"))
 
 
 def record_daily_low(daily: DataFrame) -> DataFrame:
     """Lowest daily low and its year."""
-    return _by_day(_good_days(daily), ("record_low", "min", F.col("low")))
+    return _by_day(daily, ("record_low", "min", "low"))
 
 
 def number_of_years_byday(daily: DataFrame) -> DataFrame:
     """Years with data for each day of the year."""
-    return _by_day(_good_days(daily), ("years", "years", F.col("high")))
+    return _by_day(daily, ("years", "years", "high"))
 
 
 # --- by month of year -------------------------------------------------------
 
 
-def _by_month(
-    daily: DataFrame,
-    average: str,
-    day_threshold: int | Column,
-    *stats: tuple[str, str, Column],
-) -> DataFrame:
-    return _over_months(month_series(daily, average, day_threshold), *stats)
+def _over_months(months: DataFrame, stats: list[Stat]) -> DataFrame:
+    dated = months.withColumns({"month": F.month("month_start"), "year": F.year("month_start")})
+    return _aggregate(dated, [*KEYS, "month"], stats)
 
 
-def _over_months(months: DataFrame, *stats: tuple[str, str, Column]) -> DataFrame:
-    dated = months.withColumns({"month": F.month("month_start"), "year": F.year("month_start")})
-    return _aggregate(dated, [*KEYS, "month"], list(stats))
+def _by_month(daily: DataFrame, average: str, day_threshold: int | Column, stat: Stat) -> DataFrame:
+    """One statistic over the good months."""
+    return _over_months(month_series(daily, average, day_threshold), [stat])
 
 
 def monthly_avg(
     daily: DataFrame, average: str = "midrange", day_threshold: int = DAY_THRESHOLD
 ) -> DataFrame:
     """Mean over the years of the monthly means."""
-    return _by_month(daily, average, day_threshold, ("monthly_average", "avg", F.col("mean")))
+    return _by_month(daily, average, day_threshold, ("monthly_average", "avg", "mean"))
 
 
 def record_high_monthly_avg(
@@ -149,7 +151,7 @@ def record_high_monthly_avg(
 ) -> DataFrame:
     """Highest monthly mean and its year."""
     return _by_month(
-        daily, average, day_threshold, ("record_high_monthly_average", "max", F.col("mean"))
+        daily, average, day_threshold, ("record_high_monthly_average", "max", "mean")
     )
 
 
@@ -158,7 +160,7 @@ def record_low_monthly_avg(
 ) -> DataFrame:
     """Lowest monthly mean and its year."""
     return _by_month(
-        daily, average, day_threshold, ("record_low_monthly_average", "min", F.col("mean"))
+        daily, average, day_threshold, ("record_low_monthly_average", "min", "mean")
     )
 
 
@@ -166,53 +168,75 @@ def avg_monthly_high(
     daily: DataFrame, average: str = "midrange", day_threshold: int = DAY_THRESHOLD
 ) -> DataFrame:
     """Mean of the monthly highs."""
-    return _by_month(daily, average, day_threshold, ("average_high", "avg", F.col("high")))
+    return _by_month(daily, average, day_threshold, ("average_high", "avg", "high"))
 
 
 def lowest_monthly_high(
     daily: DataFrame, average: str = "midrange", day_threshold: int = DAY_THRESHOLD
 ) -> DataFrame:
     """Lowest monthly high and its year."""
-    return _by_month(daily, average, day_threshold, ("lowest_high", "min", F.col("high")))
+    return _by_month(daily, average, day_threshold, ("lowest_high", "min", "high"))
 
 
 def record_monthly_high(
     daily: DataFrame, average: str = "midrange", day_threshold: int = DAY_THRESHOLD
 ) -> DataFrame:
     """Highest monthly high and its year."""
-    return _by_month(daily, average, day_threshold, ("record_high", "max", F.col("high")))
+    return _by_month(daily, average, day_threshold, ("record_high", "max", "high"))
 
 
 def avg_monthly_low(
     daily: DataFrame, average: str = "midrange", day_threshold: int = DAY_THRESHOLD
 ) -> DataFrame:
     """Mean of the monthly lows."""
-    return _by_month(daily, average, day_threshold, ("average_low", "avg", F.col("low")))
+    return _by_month(daily, average, day_threshold, ("average_low", "avg", "low"))
 
 
 def highest_monthly_low(
     daily: DataFrame, average: str = "midrange", day_threshold: int = DAY_THRESHOLD
 ) -> DataFrame:
     """Highest monthly low and its year."""
-    return _by_month(daily, average, day_threshold, ("highest_low", "max", F.col("low")))
+    return _by_month(daily, average, day_threshold, ("highest_low", "max", "low"))
 
 
 def record_monthly_low(
     daily: DataFrame, average: str = "midrange", day_threshold: int = DAY_THRESHOLD
 ) -> DataFrame:
     """Lowest monthly low and its year."""
-    return _by_month(daily, average, day_threshold, ("record_low", "min", F.col("low")))
+    return _by_month(daily, average, day_threshold, ("record_low", "min", "low"))
 
 
 def number_of_years_bymonth(
     daily: DataFrame, average: str = "midrange", day_threshold: int = DAY_THRESHOLD
 ) -> DataFrame:
     """Years with a good month for each month of the year."""
-    return _by_month(daily, average, day_threshold, ("years", "years", F.col("mean")))
+    return _by_month(daily, average, day_threshold, ("years", "years", "mean"))
 
 
 # --- published tables -------------------------------------------------------
 
+_HIGHS_AND_LOWS = [
+    ("average_high", "avg", "high"),
+    ("lowest_high", "min", "high"),
+    ("record_high", "max", "high"),
+    ("average_low", "avg", "low"),
+    ("highest_low", "max", "low"),
+    ("record_low", "min", "low"),
+    ("years", "years", "high"),
+]
+_DAILY = [
+    ("daily_average", "avg", "average"),
+    ("record_high_daily_average", "max", "average"),
+    ("record_low_daily_average", "min", "average"),
+    *_HIGHS_AND_LOWS,
+]
+_MONTHLY = [
+    ("monthly_average", "avg", "mean"),
+    ("record_high_monthly_average", "max", "mean"),
+    ("record_low_monthly_average", "min", "mean"),
+    *_HIGHS_AND_LOWS,
+]
+
 
 def daily_stats(daily: DataFrame, average: str = "midrange") -> DataFrame:
     """All daily statistics on 366 labelled days; days without data are NULL.
@@ -220,23 +244,7 @@ def daily_stats(daily: DataFrame, average: str = "midrange") -> DataFrame:
     Bad days count for nothing but stay in, so that a series without any good
     day is published as well, with NULL throughout.
     """
-    good = F.col("good_day")
-    avg = F.when(good, average_column(average))
-    high, low = F.when(good, F.col("high")), F.when(good, F.col("low"))
-    stats = _by_day(
-        daily,
-        ("daily_average", "avg", avg),
-        ("record_high_daily_average", "max", avg),
-        ("record_low_daily_average", "min", avg),
-        ("average_high", "avg", high),
-        ("lowest_high", "min", high),
-        ("record_high", "max", high),
-        ("average_low", "avg", low),
-        ("highest_low", "max", low),
-        ("record_low", "min", low),
-        ("years", "years", high),
-    )
-    stats = stats.withColumn("years", F.nullif("years", F.lit(0)))
+    stats = _aggregate(_days(daily, average), [*KEYS, "yearday"], _DAILY)
     labelled = densify(stats, KEYS, "yearday", 1, 366)
     return labelled.select(
         *KEYS, "yearday", day_label("yearday").alias("date_label"), *DAILY_STATS
@@ -250,21 +258,9 @@ def monthly_stats(
 
     A series without any good month is published as well, with NULL throughout.
     """
-    mean, high, low = (F.when(F.col("enough"), F.col(c)) for c in ("mean", "high", "low"))
-    stats = _over_months(
-        all_months(daily, average, day_threshold),
-        ("monthly_average", "avg", mean),
-        ("record_high_monthly_average", "max", mean),
-        ("record_low_monthly_average", "min", mean),
-        ("average_high", "avg", high),
-        ("lowest_high", "min", high),
-        ("record_high", "max", high),
-        ("average_low", "avg", low),
-        ("highest_low", "max", low),
-        ("record_low", "min", low),
-        ("years", "years", mean),
-    )
-    stats = stats.withColumn("years", F.nullif("years", F.lit(0)))
+    masked = {c: F.when(F.col("enough"), F.col(c)) for c in ("mean", "high", "low")}
+    months = all_months(daily, average, day_threshold).withColumns(masked)
+    stats = _over_months(months, _MONTHLY)
     labelled = densify(stats, KEYS, "month", 1, 12)
     return labelled.select(
         *KEYS, "month", month_label("month").alias("month_label"), *MONTHLY_STATS

@@ -63,11 +63,10 @@ def drop_empty_stats(stats: DataFrame, keep: list[str] | None = None) -> DataFra
     return stats.select(*[c for c in stats.columns if c in keep or filled[c] > 0])
 
 
-def _same(a: Column, b: Column) -> Column:
+def _same(a: str, b: str) -> str:
     """Equal, both missing, or different only by summation order."""
-    scale = F.greatest(F.lit(1.0), F.abs(a), F.abs(b))
-    near = F.abs(a - b) <= scale * TOLERANCE
-    return F.coalesce(near, a.isNull() & b.isNull())
+    near = f"abs({a} - {b}) <= {TOLERANCE} * greatest(1, abs({a}), abs({b}))"
+    return f"coalesce({near}, {a} IS NULL AND {b} IS NULL)"
 
 
 def _pair(old: DataFrame, new: DataFrame, how: str) -> DataFrame:
@@ -86,12 +85,11 @@ def stats_changed(old: DataFrame, new: DataFrame) -> DataFrame:
     """For each station: does any statistic differ between two tables?"""
     axis, label = axis_column(new.columns), label_column(new.columns)
     stats = [c for c in new.columns if c not in (*KEYS, axis, label)]
-    same = F.lit(True)
-    for c in stats:
-        same = same & _same(F.col(f"old.{c}"), F.col(f"new.{c}"))
-    present = F.col("old").isNotNull() & F.col("new").isNotNull()
+    same = " AND ".join(
+        ["old IS NOT NULL", "new IS NOT NULL", *[_same(f"old.{c}", f"new.{c}") for c in stats]]
+    )
     pairs = _pair(old, new, "full")
-    return pairs.groupBy(STATION).agg(F.bool_or(~(present & same)).alias("changed"))
+    return pairs.groupBy(STATION).agg(F.expr(f"bool_or(NOT ({same}))").alias("changed"))
 
 
 def new_records(old: DataFrame, new: DataFrame, units: DataFrame | None = None) -> DataFrame:
@@ -102,24 +100,15 @@ def new_records(old: DataFrame, new: DataFrame, units: DataFrame | None = None)
     where the value changed. `units` has (station_id, variable, unit).
     """
     label = label_column(new.columns)
-    records = F.array(
-        *[
-            F.struct(
-                F.lit(name).alias("record"),
-                F.col(f"new.{name}").alias("value"),
-                F.col(f"new.{name}_year").alias("year"),
-                F.col(f"old.{name}").alias("old_value"),
-                F.col(f"old.{name}_year").alias("old_year"),
-            )
-            for name in record_names(new.columns)
-        ]
+    records = ", ".join(
+        f"struct('{n}' AS record, new.{n} AS value, new.{n}_year AS year, "
+        f"old.{n} AS old_value, old.{n}_year AS old_year)"
+        for n in record_names(new.columns)
     )
-    rows = (
-        _pair(old, new, "right")
-        .select(*KEYS, F.col(f"new.{label}").alias(label), F.explode(records).alias("r"))
-        .select(*KEYS, label, "r.*")
+    rows = _pair(old, new, "right").selectExpr(
+        *KEYS, f"new.{label} AS {label}", f"inline(array({records}))"
     )
-    value_changed = ~_same(F.col("value"), F.col("old_value"))
+    value_changed = ~F.expr(_same("value", "old_value"))
     year_changed = ~F.col("year").eqNullSafe(F.col("old_year"))
     changed = rows.where(F.col("value").isNotNull() & (value_changed | year_changed))
 

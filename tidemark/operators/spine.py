@@ -44,10 +44,10 @@ def densify(
     values = [c for c in df.columns if c not in keys and c != axis]
     ranged = df.withColumns({"__lo": lo, "__hi": hi}).where("__lo <= __hi")
     steps = ranged.withColumn("__step", F.explode(F.sequence("__lo", "__hi")))
-    return steps.select(
-        *keys,
-        F.col("__step").cast("int").alias(axis),
-        *[F.when(F.col("__step") == step, F.col(c)).alias(c) for c in values],
+    return steps.selectExpr(
+        *[f"`{k}`" for k in keys],
+        f"CAST(__step AS INT) AS `{axis}`",
+        *[f"CASE WHEN __step = `{axis}` THEN `{c}` END AS `{c}`" for c in values],
     )
 
 
