@@ -34,12 +34,12 @@ from tidemark.operators.published import yesterday_summary
 from tidemark.plans import jobs
 from tidemark.plans.store import Store
 from tidemark.schemas import KEYS, WATER_LEVEL
+from tidemark.shared import fresh_path
 from tidemark.sources import metadata as M
 from tidemark.sources import observations as O
 from tidemark.sources import products as P
 from tidemark.sources import stations as S
 from tidemark.sources import statistics as T
-from tidemark.sources.shared import fresh_path
 
 _K = "station_id, variable"
 

@@ -74,10 +74,52 @@ def harmonic_fit_monthly(spark, sf_dir):
     )
 
 
-# A search over a grid of frequencies; tested against brute force.
-@query("harmonic_search")
+def _search_sql() -> str:
+    """Best of a grid of frequencies, then of two finer grids around it."""
+
+    def step(name: str, tried: str) -> str:
+        return f"""{name}_sums AS (
+  SELECT {_K}, curve, f, avg(y) AS my, var_pop(y) AS yy,
+         var_pop(cos(p * f)) AS cc, var_pop(sin(p * f)) AS ss,
+         covar_pop(cos(p * f), sin(p * f)) AS cs,
+         covar_pop(cos(p * f), y) AS cy, covar_pop(sin(p * f), y) AS sy
+  FROM ({tried}) GROUP BY {_K}, curve, f),
+{name} AS (
+  SELECT {_K}, curve, f,
+    yy - ((cy * ss - sy * cs) * cy + (sy * cc - cy * cs) * sy) / (cc * ss - cs * cs) AS error
+  FROM {name}_sums WHERE cc * ss - cs * cs > 1e-12
+  QUALIFY row_number() OVER (PARTITION BY {_K}, curve ORDER BY error, f) = 1)"""
+
+    def around(name: str, width: str) -> str:
+        return f"""SELECT q.*, b.f + g.i * {width}::DOUBLE AS f FROM points q
+          JOIN {name} b ON b.station_id = q.station_id AND b.variable = q.variable
+                       AND b.curve = q.curve, generate_series(-10, 10) AS g(i)"""
+
+    curves = " UNION ALL ".join(
+        f"SELECT {_K}, '{c}' AS curve, (month - 1) / 12.0::DOUBLE AS p, {c} AS y FROM stats"
+        for c in ("average_high", "monthly_average", "average_low")
+    )
+    n = round((4 * math.pi - 1) / 0.1)
+    grid = f"""SELECT q.*, 1.0::DOUBLE + g.i * 0.1::DOUBLE AS f
+          FROM points q, generate_series(0, {n}) AS g(i)"""
+    return f"""{MONTHLY_STATS_LONG},
+points AS (SELECT * FROM ({curves}) WHERE y IS NOT NULL),
+{step('coarse', grid)},
+{step('fine', around('coarse', '0.01'))},
+{step('best', around('fine', '0.001'))}
+SELECT {_K}, curve, round(f, 6) AS frequency, round(error, 6) AS error FROM best"""
+
+
+@query("harmonic_search", _search_sql())
 def harmonic_search(spark, sf_dir):
-    return rounded(V.harmonic_search(stats_long(spark, sf_dir, "monthly")))
+    best = V.harmonic_search(rounded(stats_long(spark, sf_dir, "monthly")))
+    return rounded(best.select("station_id", "variable", "curve", "frequency", "error"))
+
+
+# The fitted values of the search; tested against brute force.
+@query("harmonic_fit_free")
+def harmonic_fit_free(spark, sf_dir):
+    return rounded(V.harmonic_fit_free(stats_long(spark, sf_dir)))
 
 
 # --- trend -------------------------------------------------------------------

@@ -1,4 +1,5 @@
 import datetime as dt
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -162,3 +163,16 @@ def test_refresh_on_landing(spark, tmp_path):
     same_as_one_shot(store, level)
     with pytest.raises(ValueError, match="first load"):
         refresh_on_landing(store, {"hourly_height": landing}, check, AS_OF)
+
+
+def test_refresh_opens_touched_directories_only(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    o = obs(spark, history("1", [1, 2], 2018) + history("1", [1]) + history("2", [1]))
+    jobs.initial_load(store, o, config(spark, "1", "2"), AS_OF)
+    touched = spark.createDataFrame([("1", 2020)], "station_id string, year int")
+    part = store.observations_in(touched)
+    assert {(r.station_id, r.ts.year) for r in part.collect()} == {("1", 2020)}
+    plan = part._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*station_id#\d+ = 1[^\]]*year#\d+ = 2020", plan)
+    nothing = store.observations_in(touched.where("year = 1"))
+    assert nothing.isEmpty()

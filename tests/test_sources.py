@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.helpers import AIR, LEVEL, day_rows, obs
+from tidemark import shared
 from tidemark.dimensions import STATIONS
 from tidemark.operators.combine import last_obs
 from tidemark.operators.published import yesterday_summary
@@ -14,7 +15,6 @@ from tidemark.schemas import PRODUCTS
 from tidemark.sources import metadata as M
 from tidemark.sources import observations as O
 from tidemark.sources import products as P
-from tidemark.sources import shared
 from tidemark.sources import stations as S
 
 

@@ -150,7 +150,7 @@ def test_harmonic_fit_needs_three_points(spark):
 
 def test_harmonic_search_against_brute_force(spark):
     def f(i):
-        return 20 + 8 * math.cos(5.3 * i / 366 + 2.5)
+        return 20 + 8 * math.cos(5.237 * i / 366 + 2.5)
 
     best = V.harmonic_search(daily_stats(daily_frame(spark, year_of(f))))
     r = best.where("curve = 'average_high'").first()
@@ -159,10 +159,12 @@ def test_harmonic_search_against_brute_force(spark):
     errors = {}
     for k in range(1000, 12567):
         freq = k / 1000
-        errors[freq] = np.mean((least_squares(x, y, freq)[0] - y) ** 2) if abs(freq - 5.3) < 0.5 else np.inf
+        errors[freq] = np.mean((least_squares(x, y, freq)[0] - y) ** 2) if abs(freq - 5.237) < 0.5 else np.inf
     want = min(errors, key=errors.get)
     assert abs(r.frequency - want) < 2e-3 and r.error < 1e-6
     assert best.count() == 3
+    fitted = V.harmonic_fit_free(daily_stats(daily_frame(spark, year_of(f)))).orderBy("yearday").collect()
+    assert np.allclose([q.average_low_curve for q in fitted], y - 2, atol=1e-3)
 
 
 def test_monthly_curves(spark):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.calendar import format_date
 from tidemark.schemas import KEYS, STATION, VARIABLE, WATER_LEVEL
+from tidemark.shared import stage
 
 _AT = [*KEYS, "ts"]
 APPEND_KEYS = {"ts": [STATION, "ts"], "ts,variable": _AT}
@@ -47,15 +48,19 @@ def splice_hourly(hourly: DataFrame, levels: DataFrame) -> DataFrame:
 
     Hourly rows run through the day after the first level and lose their last
     row; at equal times the hourly row stays, even if its value is missing. The
-    per-series bounds are one row per series, joined without a hint: Spark
-    broadcasts them only under its size limit.
+    bounds are one row per series and staged: Spark sees their size and leaves
+    the readings in place unless there are very many series.
     """
-    first_level = levels.groupBy(*KEYS).agg(F.min("ts").alias("first_level"))
+    first_level = stage(
+        levels.groupBy(*KEYS).agg(F.min("ts").alias("first_level")), "first-level"
+    )
     through = F.date_add(F.to_date("first_level"), 1)
     in_range = hourly.join(first_level, KEYS, "left").where(
         F.col("first_level").isNull() | (F.to_date("ts") <= through)
     )
-    last_hourly = in_range.groupBy(*KEYS).agg(F.max("ts").alias("last_hourly"))
+    last_hourly = stage(
+        in_range.groupBy(*KEYS).agg(F.max("ts").alias("last_hourly")), "last-hourly"
+    )
     older = in_range.join(last_hourly, KEYS).where(F.col("ts") < F.col("last_hourly"))
     both = (
         older.select(*_AT, "value", "qc", F.lit(0).alias("rank"))
@@ -101,13 +106,15 @@ def overlay_verified(
     missing, so a missing verified value never erases a preliminary one while
     its QC mark still counts.
     """
-    ranges = preliminary_range(obs) if ranges is None else ranges
-    fresh = verified_rows(new, ranges).select(
-        *_AT, F.col("value").alias("new_value"), F.col("qc").alias("new_qc")
-    )
-    return obs.join(fresh, _AT, "left").select(
-        *KEYS,
-        "ts",
+    ranges = stage(preliminary_range(obs), "ranges") if ranges is None else ranges
+    return lay_over(obs, stage(verified_rows(new, ranges), "verified"))
+
+
+def lay_over(obs: DataFrame, fresh: DataFrame) -> DataFrame:
+    """Stored rows with the non-missing cells of `fresh` (one row per time)."""
+    pair = fresh.select(*_AT, F.col("value").alias("new_value"), F.col("qc").alias("new_qc"))
+    return obs.join(pair, _AT, "left").select(
+        *_AT,
         F.coalesce("new_value", "value").alias("value"),
         F.coalesce("new_qc", "qc").alias("qc"),
     )

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.schemas import KEYS, axis_column
+from tidemark.shared import stage
 
 ANNUAL = 2 * math.pi
 
@@ -84,6 +85,25 @@ def harmonic_fit(stats: DataFrame, frequency: float = ANNUAL) -> DataFrame:
     return stats.withColumns(parts).withColumns(fitted).drop(*parts)
 
 
+def harmonic_fit_free(stats: DataFrame, **search: float) -> DataFrame:
+    """Like `harmonic_fit`, with the best frequency found for each curve."""
+    curves = curve_columns(stats.columns)
+    stats = stage(stats, "stats")
+    position = _position(stats.columns)
+    best = harmonic_search(stats, **search).select(
+        *KEYS, "curve", F.struct("frequency", "a", "b", "offset").alias("fit")
+    )
+    wide = best.groupBy(*KEYS).agg(
+        *[F.max(F.when(F.col("curve") == c, F.col("fit"))).alias(f"__{c}") for c in curves]
+    )
+    fitted = {}
+    for c in curves:
+        fit, x = F.col(f"__{c}"), position * F.col(f"__{c}.frequency")
+        fitted[f"{c}_curve"] = fit["offset"] + fit["a"] * F.cos(x) + fit["b"] * F.sin(x)
+    parts = [f"__{c}" for c in curves]
+    return stats.join(wide, KEYS, "left").withColumns(fitted).drop(*parts)
+
+
 def _best_frequency(points: DataFrame, grid: Column) -> DataFrame:
     """Per series and curve: the frequency of the grid with the least error."""
     x = F.col("position") * F.col("frequency")
@@ -123,14 +143,14 @@ def harmonic_search(
     points = stats.select(
         *KEYS, _position(stats.columns).alias("position"), F.inline(curves)
     ).where(F.col("y").isNotNull())
+    # Every grid goes over the points again: 366 or 12 for each curve.
+    points = stage(points, "curve-points")
     n = int(round((high - low) / step))
-    grid = F.transform(F.sequence(F.lit(0), F.lit(n)), lambda i: F.lit(low) + i * F.lit(step))
+    grid = F.expr(f"transform(sequence(0, {n}), i -> {low!r}D + i * {step!r}D)")
     best = _best_frequency(points, grid)
     for _ in range(refine):
         step = step / 10
         centre = best.select(*KEYS, "curve", F.col("frequency").alias("centre"))
-        around = F.transform(
-            F.sequence(F.lit(-10), F.lit(10)), lambda i, s=step: F.col("centre") + i * F.lit(s)
-        )
+        around = F.expr(f"transform(sequence(-10, 10), i -> centre + i * {step!r}D)")
         best = _best_frequency(points.join(centre, [*KEYS, "curve"]), around)
     return best

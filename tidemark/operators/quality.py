@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.calendar import days_in_month, month_start
 from tidemark.functions.scalars import nan_to_null, null_fill_value
 from tidemark.schemas import DAY_THRESHOLD, FILL_VALUE, HR_THRESHOLD, KEYS
+from tidemark.shared import stage
 
 _DAY = [*KEYS, "date"]
 
@@ -107,15 +108,17 @@ def apply_gates(
 def _drop_days(obs: DataFrame, bad: DataFrame, fill_value, fill_variables) -> DataFrame:
     """Observations outside the listed days.
 
-    Bad days are the small minority, so the anti join carries only those: Spark
-    broadcasts them while they are under its size limit and otherwise falls
-    back to a sort-merge join on (station, variable, day).
+    Bad days are the small minority, so the anti join carries only those. They
+    are staged, so that their size is known: under Spark's broadcast limit the
+    observations stay where they are, beyond it both sides are shuffled on
+    (station, variable, day).
     """
     order = obs.columns
+    bad = stage(bad.select(*_DAY), "bad-days")
     dated = obs.withColumn("date", F.to_date("ts")).withColumn(
         "value", clean_value(fill_value, fill_variables)
     )
-    return dated.join(bad.select(*_DAY), _DAY, "left_anti").select(*order)
+    return dated.join(bad, _DAY, "left_anti").select(*order)
 
 
 def filter_days_by_hours(

@@ -7,7 +7,7 @@ job that dies can simply be run again: every step gives the same result twice.
 
 from __future__ import annotations
 
-from datetime import date
+from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,8 +16,8 @@ from tidemark.functions.scalars import validate_config
 from tidemark.operators.climatology import daily_stats, monthly_stats
 from tidemark.operators.combine import (
     last_obs,
+    lay_over,
     one_per_time,
-    overlay_verified,
     preliminary_days,
     splice_hourly,
     union_variables,
@@ -36,9 +36,9 @@ from tidemark.schemas import (
     VARIABLE,
     WATER_LEVEL,
 )
+from tidemark.shared import stage
 from tidemark.sources.metadata import build_metadata
 from tidemark.sources.products import discard_flagged
-from tidemark.sources.shared import stage
 
 _AT = [*KEYS, "ts"]
 _KINDS = ("daily", "monthly")
@@ -65,9 +65,9 @@ def _day(as_of: date) -> Column:
 
 def _put_metadata(store: Store, config: DataFrame, last: DataFrame, as_of: date) -> None:
     """Replace the metadata of the configured stations."""
-    gated = good_day(
-        store.daily().join(config.select(STATION, "hr_threshold"), STATION), F.col("hr_threshold")
-    )
+    yesterday = as_of - timedelta(days=1)
+    recent = store.daily(yesterday.year).join(config.select(STATION, "hr_threshold"), STATION)
+    gated = good_day(recent, F.col("hr_threshold"))
     rows = build_metadata(
         config,
         last,
@@ -136,7 +136,7 @@ def _overlay(store: Store, batch: DataFrame) -> DataFrame | None:
     if changed.isEmpty():
         return None
     stored = store.observations_in(changed)
-    store.put_observations(stage(overlay_verified(stored, fresh, ranges), "overlay"))
+    store.put_observations(stage(lay_over(stored, fresh), "overlay"))
     return changed
 
 

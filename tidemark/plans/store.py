@@ -5,8 +5,9 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.schemas import DAILY, METADATA, OBSERVATIONS, STATION
 from tidemark.sources.metadata import read_metadata, write_metadata
@@ -55,8 +56,12 @@ class Store:
     def observations(self) -> DataFrame:
         return self._read("observations", read_observations, OBSERVATIONS)
 
-    def daily(self) -> DataFrame:
-        return self._read("daily", read_daily, DAILY)
+    def daily(self, year: int | None = None) -> DataFrame:
+        """Daily summaries, of one year's directories if named."""
+        if year is None:
+            return self._read("daily", read_daily, DAILY)
+        days = self._read("daily", lambda s, p: read_daily(s, p, True), _with_year(DAILY))
+        return days.where(F.col("year") == year).drop("year")
 
     def stats(self, kind: str) -> DataFrame:
         return self._read(
@@ -69,16 +74,19 @@ class Store:
     def observations_in(self, touched: DataFrame) -> DataFrame:
         """Stored observations of the listed (station_id, year) pairs.
 
-        The pairs are partition columns, so Spark prunes the directories.
+        The pairs name directories. They become a filter on the partition
+        columns, so that no other directory is opened; the driver holds names
+        of directories, which it has to list anyway, and no data.
         """
-        if not self.exists("observations"):
-            return self.spark.createDataFrame([], OBSERVATIONS)
-        obs = read_observations(self.spark, self.path("observations"), with_year=True)
-        return obs.join(touched, [STATION, "year"], "left_semi").select(*OBSERVATIONS.fieldNames())
+        obs = self._read(
+            "observations", lambda s, p: read_observations(s, p, True), _with_year(OBSERVATIONS)
+        )
+        return obs.where(_directories(touched)).drop("year")
 
     def observations_of(self, stations: DataFrame) -> DataFrame:
         """Stored observations of the listed stations, pruned by directory."""
-        return self.observations().join(stations, STATION, "left_semi")
+        ids = [r[STATION] for r in stations.select(STATION).distinct().collect()]
+        return self.observations().where(F.col(STATION).isin(ids))
 
     def drop_years_without(self, years: DataFrame, stations: DataFrame) -> None:
         """Delete stored years of the stations that are not in `years`.
@@ -119,6 +127,25 @@ class Store:
         write_metadata(df, self.path("metadata"))
 
 
+def _with_year(schema: T.StructType) -> T.StructType:
+    return T.StructType([*schema.fields, T.StructField("year", T.IntegerType())])
+
+
+def _directories(touched: DataFrame) -> Column:
+    """Filter on station_id and year that holds for the listed pairs only."""
+    years: dict[str, set[int]] = {}
+    for row in touched.select(STATION, "year").distinct().collect():
+        years.setdefault(row[STATION], set()).add(row["year"])
+    # Stations that share their years, which is the rule, share one clause.
+    clauses: dict[tuple[int, ...], list[str]] = {}
+    for station, held in years.items():
+        clauses.setdefault(tuple(sorted(held)), []).append(station)
+    condition = F.lit(False)
+    for held, stations in clauses.items():
+        condition = condition | (F.col(STATION).isin(stations) & F.col("year").isin(*held))
+    return condition
+
+
 def station_years(df: DataFrame, time: str = "ts") -> DataFrame:
     """The (station_id, year) pairs a frame falls in."""
     return df.select(STATION, F.year(time).alias("year")).distinct()

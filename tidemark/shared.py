@@ -27,15 +27,22 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new, unused path below the shared folder."""
-    return f"{shared_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
+    """A new, unused path below the shared folder.
+
+    All paths of an application lie in one folder, which may be dropped once
+    the application has ended.
+    """
+    app = spark.sparkContext.applicationId
+    return f"{shared_dir(spark)}/tidemark/{app}/{name}-{uuid.uuid4().hex}"
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write a frame to the shared folder and read it back.
 
     Cuts the lineage with a table that outlives any executor, so that a target
-    can be replaced although the frame was computed from it.
+    can be replaced although the frame was computed from it. Spark also knows
+    the size of the table when it plans a join: a small one is broadcast before
+    the large side is shuffled, a large one never is.
     """
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
