@@ -74,52 +74,78 @@ def harmonic_fit_monthly(spark, sf_dir):
     )
 
 
-def _search_sql() -> str:
+def _search_sql(prefix: str, axis: str, length: int, curves: list[str]) -> str:
     """Best of a grid of frequencies, then of two finer grids around it."""
 
     def step(name: str, tried: str) -> str:
         return f"""{name}_sums AS (
-  SELECT {_K}, curve, f, avg(y) AS my, var_pop(y) AS yy,
-         var_pop(cos(p * f)) AS cc, var_pop(sin(p * f)) AS ss,
+  SELECT {_K}, curve, f, avg(y) AS my, avg(cos(p * f)) AS mc, avg(sin(p * f)) AS ms,
+         var_pop(y) AS yy, var_pop(cos(p * f)) AS cc, var_pop(sin(p * f)) AS ss,
          covar_pop(cos(p * f), sin(p * f)) AS cs,
          covar_pop(cos(p * f), y) AS cy, covar_pop(sin(p * f), y) AS sy
   FROM ({tried}) GROUP BY {_K}, curve, f),
+{name}_fits AS (
+  SELECT *, (cy * ss - sy * cs) / (cc * ss - cs * cs) AS a,
+         (sy * cc - cy * cs) / (cc * ss - cs * cs) AS b
+  FROM {name}_sums WHERE cc * ss - cs * cs > 1e-12),
 {name} AS (
-  SELECT {_K}, curve, f,
-    yy - ((cy * ss - sy * cs) * cy + (sy * cc - cy * cs) * sy) / (cc * ss - cs * cs) AS error
-  FROM {name}_sums WHERE cc * ss - cs * cs > 1e-12
-  QUALIFY row_number() OVER (PARTITION BY {_K}, curve ORDER BY error, f) = 1)"""
+  SELECT {_K}, curve, f, a, b, my - a * mc - b * ms AS c0, yy - a * cy - b * sy AS error
+  FROM {name}_fits
+  QUALIFY row_number() OVER (PARTITION BY {_K}, curve
+                             ORDER BY yy - a * cy - b * sy, f) = 1)"""
 
     def around(name: str, width: str) -> str:
         return f"""SELECT q.*, b.f + g.i * {width}::DOUBLE AS f FROM points q
           JOIN {name} b ON b.station_id = q.station_id AND b.variable = q.variable
                        AND b.curve = q.curve, generate_series(-10, 10) AS g(i)"""
 
-    curves = " UNION ALL ".join(
-        f"SELECT {_K}, '{c}' AS curve, (month - 1) / 12.0::DOUBLE AS p, {c} AS y FROM stats"
-        for c in ("average_high", "monthly_average", "average_low")
+    union = " UNION ALL ".join(
+        f"SELECT {_K}, '{c}' AS curve, ({axis} - 1) / {length}.0::DOUBLE AS p, {c} AS y FROM stats"
+        for c in curves
     )
     n = round((4 * math.pi - 1) / 0.1)
     grid = f"""SELECT q.*, 1.0::DOUBLE + g.i * 0.1::DOUBLE AS f
           FROM points q, generate_series(0, {n}) AS g(i)"""
-    return f"""{MONTHLY_STATS_LONG},
-points AS (SELECT * FROM ({curves}) WHERE y IS NOT NULL),
+    return f"""{prefix},
+points AS (SELECT * FROM ({union}) WHERE y IS NOT NULL),
 {step('coarse', grid)},
 {step('fine', around('coarse', '0.01'))},
-{step('best', around('fine', '0.001'))}
-SELECT {_K}, curve, round(f, 6) AS frequency, round(error, 6) AS error FROM best"""
+{step('best', around('fine', '0.001'))}"""
+
+
+_MONTH_CURVES = ["average_high", "monthly_average", "average_low"]
+_DAY_CURVES = ["average_high", "daily_average", "average_low"]
 
 
-@query("harmonic_search", _search_sql())
+@query(
+    "harmonic_search",
+    f"""{_search_sql(MONTHLY_STATS_LONG, "month", 12, _MONTH_CURVES)}
+SELECT {_K}, curve, round(f, 6) AS frequency, round(error, 6) AS error FROM best""",
+)
 def harmonic_search(spark, sf_dir):
     best = V.harmonic_search(rounded(stats_long(spark, sf_dir, "monthly")))
     return rounded(best.select("station_id", "variable", "curve", "frequency", "error"))
 
 
-# The fitted values of the search; tested against brute force.
-@query("harmonic_fit_free")
+_FREE = ", ".join(
+    f"""max(CASE WHEN b.curve = '{c}'
+      THEN round(c0 + a * cos((yearday - 1) / 366.0::DOUBLE * f)
+                 + b.b * sin((yearday - 1) / 366.0::DOUBLE * f), 4) END) AS {c}_curve"""
+    for c in _DAY_CURVES
+)
+
+
+@query(
+    "harmonic_fit_free",
+    f"""{_search_sql(DAILY_STATS_LONG, "yearday", 366, _DAY_CURVES)}
+SELECT s.station_id, s.variable, s.yearday, {_FREE}
+FROM stats s LEFT JOIN best b ON b.station_id = s.station_id AND b.variable = s.variable
+GROUP BY s.station_id, s.variable, s.yearday""",
+)
 def harmonic_fit_free(spark, sf_dir):
-    return rounded(V.harmonic_fit_free(stats_long(spark, sf_dir)))
+    fitted = V.harmonic_fit_free(rounded(stats_long(spark, sf_dir)))
+    curves = [f"{c}_curve" for c in _DAY_CURVES]
+    return rounded(fitted.select("station_id", "variable", "yearday", *curves), 4)
 
 
 # --- trend -------------------------------------------------------------------

@@ -80,8 +80,8 @@ def interpolate_gaps(series: DataFrame) -> DataFrame:
             backward.rowsBetween(Window.unboundedPreceding, Window.currentRow)
         ),
     }
-    share = (F.col("rownum") - F.col("before.rownum")) / (
-        F.col("after.rownum") - F.col("before.rownum")
+    share = F.try_divide(
+        F.col("rownum") - F.col("before.rownum"), F.col("after.rownum") - F.col("before.rownum")
     )
     line = F.col("before.value") + share * (F.col("after.value") - F.col("before.value"))
     filled = F.when(F.col("value").isNotNull(), F.col("value")).otherwise(line)
