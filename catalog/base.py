@@ -151,7 +151,8 @@ def daily_sql(hr: int, day: int, source: str = "obs") -> str:
   SELECT station_id, variable, CAST(ts AS DATE) AS date,
          max(v) AS high, min(v) AS low, avg(v) AS mean, (max(v) + min(v)) / 2 AS mid,
          CAST(count(DISTINCT CASE WHEN v IS NOT NULL THEN hour(ts) END) AS INTEGER) AS n_hours,
-         bool_or(coalesce(qc = 'p', false)) AS preliminary
+         bool_or(coalesce(qc = 'p', false)) AS preliminary,
+         max(CASE WHEN value IS NOT NULL THEN ts END) AS last_obs
   FROM (SELECT *, nullif(value, 31.8) AS v FROM {source})
   GROUP BY station_id, variable, CAST(ts AS DATE)),
 daily AS (

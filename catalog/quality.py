@@ -28,7 +28,7 @@ _K = "station_id, variable"
 @query(
     "good_day",
     f"""{DAILY_HOURLY}
-SELECT {_K}, date, {r6('high', 'low', 'mean', 'mid')}, n_hours, preliminary, good_day FROM daily""",
+SELECT {_K}, date, {r6('high', 'low', 'mean', 'mid')}, n_hours, preliminary, last_obs, good_day FROM daily""",
 )
 def good_day(spark, sf_dir):
     return rounded(Q.good_day(Q.daily_summary(obs_hourly(spark, sf_dir))))
@@ -37,7 +37,7 @@ def good_day(spark, sf_dir):
 @query(
     "good_month",
     f"""{DAILY_LONG}
-SELECT {_K}, date, {r6('high', 'low', 'mean', 'mid')}, n_hours, preliminary, good_day, good_month FROM daily""",
+SELECT {_K}, date, {r6('high', 'low', 'mean', 'mid')}, n_hours, preliminary, last_obs, good_day, good_month FROM daily""",
 )
 def good_month(spark, sf_dir):
     return rounded(daily_long(spark, sf_dir))

@@ -281,7 +281,7 @@ def update_data(spark, sf_dir):
     f"""WITH {OBS_HOURLY},
 {_REFRESHED},
 {daily_sql(4, 2, 'refreshed')}
-SELECT {_K}, date, {r6('high', 'low', 'mean', 'mid')}, n_hours, preliminary FROM daily""",
+SELECT {_K}, date, {r6('high', 'low', 'mean', 'mid')}, n_hours, preliminary, last_obs FROM daily""",
 )
 def update_data_daily(spark, sf_dir):
     """The stored daily summaries after a refresh."""

@@ -176,3 +176,32 @@ def test_refresh_opens_touched_directories_only(spark, tmp_path):
     assert re.search(r"PartitionFilters: \[[^\]]*station_id#\d+ = 1[^\]]*year#\d+ = 2020", plan)
     nothing = store.observations_in(touched.where("year = 1"))
     assert nothing.isEmpty()
+
+
+@pytest.mark.parametrize("step, nth", [
+    ("put_observations", 1), ("put_observations", 2), ("put_daily", 1), ("put_metadata", 1), ("put_stats", 1)])
+def test_a_refresh_that_died_is_made_good(spark, tmp_path, monkeypatch, step, nth):
+    store = Store(spark, str(tmp_path / "store"))
+    o = obs(spark, history("1"))
+    early = o.where(F.col("ts") < dt.datetime(2020, 1, 5))
+    jobs.initial_load(store, early, config(spark, "1"), AS_OF)
+    verified = o.where(F.dayofmonth("ts") >= 4).withColumn(
+        "qc", F.when(F.col("variable") == LEVEL, "v"))
+    real, calls = getattr(Store, step), []
+
+    def dies(self, *args, **kwargs):
+        calls.append(1)
+        if len(calls) == nth:
+            raise RuntimeError("lost")
+        return real(self, *args, **kwargs)
+
+    monkeypatch.setattr(Store, step, dies)
+    with pytest.raises(RuntimeError, match="lost"):
+        jobs.update_data(store, verified, AS_OF)
+        jobs.update_stats(store)
+    monkeypatch.undo()
+    jobs.update_data(store, verified, AS_OF)
+    jobs.update_stats(store)
+    same_as_one_shot(store, o.where(F.dayofmonth("ts") < 4).unionByName(verified))
+    meta = store.metadata().first()
+    assert meta.last_obs[AIR] == dt.datetime(2020, 1, 6, 23)

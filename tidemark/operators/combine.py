@@ -164,6 +164,15 @@ def last_obs(obs: DataFrame) -> DataFrame:
     )
 
 
+def last_obs_of_days(daily: DataFrame) -> DataFrame:
+    """`last_obs` from daily summaries, which are far smaller."""
+    return (
+        daily.where(F.col("last_obs").isNotNull())
+        .groupBy(*KEYS)
+        .agg(F.max("last_obs").alias("last_obs"))
+    )
+
+
 def fetch_plan(
     inventory: DataFrame,
     last: DataFrame,

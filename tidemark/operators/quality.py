@@ -33,7 +33,9 @@ def daily_summary(
     Every aggregate combines on the map side into fixed-width buffers, so the
     shuffle carries days, not readings, and a hot station only adds map work.
     Hours with data are the set bits of a 24-bit mask. `preliminary` tells
-    whether the day still holds unverified readings.
+    whether the day still holds unverified readings, `last_obs` the time of its
+    last reading, fill values included; with these two, no later step has to
+    look at the observations again.
     """
     readings = obs.select(
         *KEYS,
@@ -41,6 +43,7 @@ def daily_summary(
         F.hour("ts").alias("hour"),
         clean_value(fill_value, fill_variables).alias("value"),
         F.coalesce(F.col("qc") == "p", F.lit(False)).alias("preliminary"),
+        F.when(nan_to_null("value").isNotNull(), F.col("ts")).alias("observed"),
     )
     hour_bit = F.when(F.col("value").isNotNull(), F.expr("shiftleft(1, hour)"))
     return (
@@ -51,6 +54,7 @@ def daily_summary(
             F.avg("value").alias("mean"),
             F.bit_or(hour_bit).alias("hours"),
             F.bool_or("preliminary").alias("preliminary"),
+            F.max("observed").alias("last_obs"),
         )
         .select(
             *_DAY,
@@ -60,6 +64,7 @@ def daily_summary(
             ((F.col("high") + F.col("low")) / 2).alias("mid"),
             F.coalesce(F.bit_count("hours"), F.lit(0)).cast("int").alias("n_hours"),
             "preliminary",
+            "last_obs",
         )
     )
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.scalars import validate_config
 from tidemark.operators.climatology import daily_stats, monthly_stats
 from tidemark.operators.combine import (
-    last_obs,
+    last_obs_of_days,
     lay_over,
     one_per_time,
     preliminary_days,
@@ -78,11 +78,6 @@ def _put_metadata(store: Store, config: DataFrame, last: DataFrame, as_of: date)
     store.put_metadata(stage(rows, "metadata"))
 
 
-def _refresh_daily(store: Store, touched: DataFrame) -> None:
-    """Recompute the daily summaries of the touched station years."""
-    store.put_daily(daily_summary(store.observations_in(touched)))
-
-
 def initial_load(
     store: Store,
     record: DataFrame,
@@ -105,39 +100,38 @@ def initial_load(
     stations = checked.select(STATION)
     if not store.metadata().join(stations, STATION, "left_semi").isEmpty() and not redownload:
         raise ValueError("a station is loaded already; pass redownload=True to replace it")
-    # The record does not depend on the store, so it is written straight to it;
-    # all that follows reads the stored, partitioned copy.
+    # The record does not depend on the store, so it is written straight to it
+    # and read back once, for the daily table; the rest follows from that.
     store.put_observations(record.join(stations, STATION, "left_semi"))
     if redownload:
         store.drop_years_without(station_years(record), stations)
-    loaded = store.observations_of(stations)
-    _refresh_daily(store, station_years(loaded))
-    _put_metadata(store, checked, last_obs(loaded), as_of)
-    for kind, table in _fresh_stats(checked, store.daily()).items():
+    store.put_daily(daily_summary(store.observations_of(stations)))
+    daily = store.daily().join(stations, STATION, "left_semi")
+    for kind, table in _fresh_stats(checked, daily).items():
         store.put_stats(table, kind)
+    # Last, as a station with metadata counts as loaded.
+    _put_metadata(store, checked, last_obs_of_days(daily), as_of)
 
 
-def _overlay(store: Store, batch: DataFrame) -> DataFrame | None:
-    """Lay verified water levels over preliminary ones; the years that changed.
+def _overlay(store: Store, batch: DataFrame) -> None:
+    """Lay verified water levels over preliminary ones.
 
     The preliminary range of the whole record comes from the daily summaries.
     Years are rewritten only if some cell really changes.
     """
     ranges = preliminary_days(store.daily().where(F.col(VARIABLE) == WATER_LEVEL))
-    ranges = stage(ranges, "ranges")
     levels = batch.where(F.col(VARIABLE) == WATER_LEVEL)
-    fresh = stage(verified_rows(levels, ranges), "verified")
+    fresh = stage(verified_rows(levels, stage(ranges, "ranges")), "verified")
     old = store.observations_in(station_years(fresh))
     pair = fresh.select(*_AT, F.col("value").alias("new_value"), F.col("qc").alias("new_qc"))
     differs = (F.col("new_value").isNotNull() & ~F.col("value").eqNullSafe(F.col("new_value"))) | (
         F.col("new_qc").isNotNull() & ~F.col("qc").eqNullSafe(F.col("new_qc"))
     )
     changed = stage(station_years(old.join(pair, _AT).where(differs)), "changed-years")
-    if changed.isEmpty():
-        return None
-    stored = store.observations_in(changed)
-    store.put_observations(stage(lay_over(stored, fresh), "overlay"))
-    return changed
+    if not changed.isEmpty():
+        store.put_observations(
+            stage(lay_over(store.observations_in(changed), fresh), "overlay")
+        )
 
 
 def update_data(
@@ -147,28 +141,25 @@ def update_data(
 
     Only stations with metadata take part. Verified water levels replace
     preliminary ones, rows at unseen times are appended, then the daily
-    summaries of the touched years and the metadata follow. Returns whether the batch brought any new time.
+    summaries of all years in the batch and the metadata follow, whether or not
+    the batch changed them: a run that died half way is made good by the next.
+    Returns whether the batch brought any new time.
     """
     config = store.metadata()
     ours = batch.select(*OBSERVATIONS.fieldNames()).join(config.select(STATION), STATION, "left_semi")
     batch = stage(one_per_time(ours), "batch")
+    touched = stage(station_years(batch), "touched-years")
     # Both steps look at the same stored times: the overlay adds none.
-    stored = store.observations_in(station_years(batch))
-    added = stage(unseen_rows(stored, batch, append_key), "new-rows")
-    overlaid = _overlay(store, batch) if store.exists("observations") else None
+    added = stage(unseen_rows(store.observations_in(touched), batch, append_key), "new-rows")
+    _overlay(store, batch)
     has_new = not added.isEmpty()
     if has_new:
         store.put_observations(added, mode="append")
-
-    touched = station_years(added) if has_new else None
-    if overlaid is not None:
-        touched = overlaid if touched is None else touched.union(overlaid).distinct()
-    if touched is not None:
-        _refresh_daily(store, touched)
+    store.put_daily(daily_summary(store.observations_in(touched)))
 
     before = config.select(STATION, F.explode("last_obs").alias(VARIABLE, "last_obs"))
     last = (
-        before.unionByName(last_obs(added))
+        before.unionByName(last_obs_of_days(store.daily_in(touched)))
         .groupBy(*KEYS)
         .agg(F.max("last_obs").alias("last_obs"))
     )

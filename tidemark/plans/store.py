@@ -83,6 +83,11 @@ class Store:
         )
         return obs.where(_directories(touched)).drop("year")
 
+    def daily_in(self, touched: DataFrame) -> DataFrame:
+        """Daily summaries of the listed (station_id, year) pairs."""
+        days = self._read("daily", lambda s, p: read_daily(s, p, True), _with_year(DAILY))
+        return days.where(_directories(touched)).drop("year")
+
     def observations_of(self, stations: DataFrame) -> DataFrame:
         """Stored observations of the listed stations, pruned by directory."""
         ids = [r[STATION] for r in stations.select(STATION).distinct().collect()]

@@ -35,6 +35,7 @@ DAILY = T.StructType(
         T.StructField("mid", T.DoubleType()),
         T.StructField("n_hours", T.IntegerType()),
         T.StructField("preliminary", T.BooleanType()),
+        T.StructField("last_obs", T.TimestampNTZType()),
     ]
 )
 
