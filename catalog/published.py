@@ -121,10 +121,11 @@ def current_year_records(spark, sf_dir):
     return rounded(P.current_year_records(stats_long(spark, sf_dir), _YEAR))
 
 
-# No record dates from 1990, so both added columns are empty and go.
-@query("drop_empty_stats", f"{MONTHLY_STATS_LONG}\nSELECT * FROM stats")
+# No record dates from 1990, so both added columns are empty and go. The columns
+# of the daily table hold data at every scale, which SQL has to know beforehand.
+@query("drop_empty_stats", f"{DAILY_STATS_LONG}\nSELECT * FROM stats")
 def drop_empty_stats(spark, sf_dir):
-    stats = P.current_year_records(stats_long(spark, sf_dir, "monthly"), 1990)
+    stats = P.current_year_records(stats_long(spark, sf_dir), 1990)
     return rounded(P.drop_empty_stats(stats))
 
 
