@@ -35,7 +35,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.blocks import (
-    CHUNK_BYTES,
     arrow_rows,
     arrow_schema,
     block_of,
@@ -146,7 +145,7 @@ def _anchors(docs: DataFrame, how: Reading, blocks: int) -> DataFrame:
     """
 
     def run(batches):
-        for ids, buf, offsets in chunks(batches, 4 * CHUNK_BYTES):
+        for ids, buf, offsets in chunks(batches):
             chunk = Chunk(how, ids, buf, offsets)
             if not len(chunk.keys):
                 continue
