@@ -45,24 +45,32 @@ def _power_table(name: str, base: int, n: int) -> np.ndarray:
     return table[:n]
 
 
-def _prefix(codes: np.ndarray) -> np.ndarray:
+def prefix_sums(codes: np.ndarray) -> np.ndarray:
+    """Sums from which the hash of any span of the symbols follows."""
     out = np.zeros(len(codes) + 1, np.uint64)
     np.cumsum(codes * _power_table("up", _BASE, len(codes)), out=out[1:])
     return out
 
 
+def spans_of(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span of symbols."""
+    down = _power_table("down", _INVERSE, len(prefix))
+    return mix((prefix[ends] - prefix[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+
+
+def grams_of(prefix: np.ndarray, k: int) -> np.ndarray:
+    """Hash of the k symbols that begin at each place."""
+    if len(prefix) <= k:
+        return np.zeros(0, np.uint64)
+    down = _power_table("down", _INVERSE, len(prefix))
+    return mix((prefix[k:] - prefix[:-k]) * down[: len(prefix) - k])
+
+
 def byte_codes(buf: np.ndarray) -> np.ndarray:
     """A 64-bit symbol for each byte."""
     return _BYTE_CODES[buf]
 
 
-def symbol_spans(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of symbols."""
-    prefix = _prefix(codes)
-    down = _power_table("down", _INVERSE, len(codes) + 1)
-    return mix((prefix[ends] - prefix[starts]) * down[starts] + (ends - starts).astype(np.uint64))
-
-
 def lower(buf: np.ndarray) -> np.ndarray:
     """A to Z in lower case, all other bytes as they are."""
     return _LOWER[buf]
@@ -86,16 +94,7 @@ def word_bounds(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each byte span."""
-    return symbol_spans(byte_codes(buf), starts, ends)
-
-
-def byte_grams(buf: np.ndarray, k: int) -> np.ndarray:
-    """Hash of the k bytes that begin at each place."""
-    if len(buf) < k:
-        return np.zeros(0, np.uint64)
-    prefix = _prefix(byte_codes(buf))
-    down = _power_table("down", _INVERSE, len(buf) + 1)
-    return mix((prefix[k:] - prefix[:-k]) * down[: len(buf) - k + 1])
+    return spans_of(prefix_sums(byte_codes(buf)), starts, ends)
 
 
 def symbol_grams(symbols: np.ndarray, k: int) -> np.ndarray:

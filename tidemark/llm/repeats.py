@@ -49,11 +49,11 @@ from tidemark.llm.blocks import (
 )
 from tidemark.llm.hashing import (
     byte_codes,
-    byte_grams,
+    grams_of,
     owned_windows,
+    prefix_sums,
     span_hashes,
-    symbol_grams,
-    symbol_spans,
+    spans_of,
     word_bounds,
 )
 from tidemark.shared import stage
@@ -83,20 +83,21 @@ class Chunk:
         self.how, self.ids, self.buf, self.offsets = how, ids, buf, offsets
         if how.words:
             self.starts, self.ends = word_bounds(buf, offsets)
-            self.symbols = span_hashes(buf, self.starts, self.ends)
+            symbols = span_hashes(buf, self.starts, self.ends)
             self.bounds = np.searchsorted(self.starts, offsets)
-            grams = symbol_grams(self.symbols, how.gram)
         else:
-            self.symbols = byte_codes(buf)
+            symbols = byte_codes(buf)
             self.bounds = offsets
-            grams = byte_grams(buf, how.gram)
+        self.size = len(symbols)
+        self.prefix = prefix_sums(symbols)
+        grams = grams_of(self.prefix, how.gram)
         anchor, self.first, self.last = owned_windows(grams, self.bounds, how.length, how.gram)
         self.keys = grams[anchor]
         self.doc = np.searchsorted(self.bounds, self.first, "right") - 1
 
     def spans(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
         """Hash of the symbols of the windows from first to last."""
-        return symbol_spans(self.symbols, first, last + self.how.length)
+        return spans_of(self.prefix, first, last + self.how.length)
 
     def cutter(self) -> Callable[[int, int], bytes]:
         """Gives the text of the windows from first to last; words are joined by a space."""
@@ -425,7 +426,7 @@ def _covered(r: Ranges, held: list[Chunk], how: Reading, firsts: pa.Table) -> li
     for n, chunk in enumerate(held):
         mine = r.chunk[member] == n
         first = r.first[member[mine]]
-        step = np.zeros(len(chunk.symbols) + 1, np.int32)
+        step = np.zeros(chunk.size + 1, np.int32)
         np.add.at(step, first + low[row[mine]], 1)
         np.add.at(step, first + high[row[mine]] + how.length, -1)
         out.append(np.cumsum(step[:-1]) > 0)
