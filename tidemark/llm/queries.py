@@ -6,6 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import public_tokenizers
+
+from tidemark.llm import contamination, packing, permutation_index, sharding, token_counts, toxicity, url_filter
 from tidemark.llm.substring_automaton import remove_repeated_spans
 from tidemark.llm.substring_intervals import remove_repeated_bytes
 
@@ -75,3 +78,85 @@ FROM d LEFT JOIN g USING (doc_id)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of 20 words that start earlier somewhere."""
     return remove_repeated_spans(table(spark, sf_dir, "documents"), 20, keep_text=False).drop("kept")
+
+
+#: Where the public vocabularies lie; the operators take them as a parameter.
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+BYTE_BPE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+END_OF_TEXT = 50256
+
+
+def pack(docs: DataFrame) -> DataFrame:
+    """Sequences of at most 2048 ids of the byte-level vocabulary."""
+    ranks = packing.load_ranks(BYTE_BPE_RANKS)
+    return packing.pack(docs, ranks, public_tokenizers.PATTERN, END_OF_TEXT)
+
+
+@query("op3_retrieval_packing")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 2048 ids, beside lexical neighbours."""
+    return pack(table(spark, sf_dir, "documents"))
+
+
+@query("op4_edit_decontamination")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items in documents, with at most a fifth of their words edited."""
+    return contamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op5_permutation_index")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors of every fiftieth."""
+    return permutation_index.search(table(spark, sf_dir, "embeddings"))
+
+
+#: Labels of hosts whose pages make the list of blocked URLs.
+LISTED_SITES = ("ads-track", "adult-x", "casino-win", "free-bets", "spam-farm")
+_CANONICAL = r"""nullif(regexp_replace({host}, '^(www|m)\.', ''), '')
+    || regexp_replace(regexp_replace({path}, '/+$', ''), '\.html$', '')"""
+_OP6_SQL = r"""
+WITH parts AS (SELECT page_id,
+    translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''),
+              'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages),
+c AS (SELECT *, CANONICAL AS canonical FROM parts),
+listed AS (SELECT DISTINCT canonical FROM c
+           WHERE list_has_any(string_split(host, '.'), ['ads-track', 'adult-x', 'casino-win', 'free-bets', 'spam-farm'])),
+ruled AS (SELECT *, CASE
+    WHEN (host = 'example.org' OR suffix(host, '.example.org')) AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+    WHEN (host = 'example.org' OR suffix(host, '.example.org')) AND starts_with(path, '/es/') THEN 'example.org/es/'
+    WHEN (host = 'com' OR suffix(host, '.com')) AND starts_with(path, '/de/') THEN 'com/de/'
+    WHEN (host = 'com' OR suffix(host, '.com')) AND starts_with(path, '/fr/') THEN 'com/fr/'
+    WHEN (host = 'org' OR suffix(host, '.org')) AND starts_with(path, '/') THEN 'org/' END AS rule FROM c)
+SELECT page_id, host, path, rule, CASE
+    WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+    WHEN canonical IN (SELECT canonical FROM listed WHERE canonical IS NOT NULL) THEN 'block' ELSE 'allow' END AS verdict
+FROM ruled
+""".replace("CANONICAL", _CANONICAL.format(host="host", path="path"))
+
+
+@query("op6_url_bloom", _OP6_SQL)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Allow or block every page by rules, then by the list of URLs on listed sites."""
+    pages = table(spark, sf_dir, "pages")
+    return url_filter.judge(pages, url_filter.listed_sites(pages, LISTED_SITES))
+
+
+@query("op7_token_counts")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram tokens of every document."""
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), token_counts.read_vocabulary(PIECES))
+
+
+@query("op9_toxicity")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learnt from labelled rows that aren't held out."""
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+@query("op10_hash_tree")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in one of 16 shards, and where it would be with 17."""
+    return sharding.assign(table(spark, sf_dir, "documents"), sharding.uniform_tree(16))
