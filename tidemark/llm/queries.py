@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from tidemark.llm import contamination, packing, permutation_index, sharding, token_counts, toxicity, url_filter
+from tidemark.llm import contamination, jaccard, packing, permutation_index, sharding, token_counts, toxicity, url_filter
 from tidemark.llm.substring_automaton import remove_repeated_spans
 from tidemark.llm.substring_intervals import remove_repeated_bytes
 
@@ -30,6 +30,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_OP1_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN []::VARCHAR[] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+        ELSE [array_to_string(ws[i:i + 2], ' ') for i in range(1, len(ws) - 1)] END) AS g FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+r AS (SELECT doc_id, g, n, row_number() OVER (PARTITION BY doc_id ORDER BY c, g) AS k
+      FROM s JOIN (SELECT g, count(*) AS c FROM s GROUP BY g) USING (g) JOIN n USING (doc_id)),
+p AS (SELECT DISTINCT x.doc_id AS a, y.doc_id AS b
+      FROM (SELECT * FROM r WHERE 10 * k <= n + 10) AS x JOIN (SELECT * FROM r WHERE 10 * k <= n + 10) AS y USING (g)
+      WHERE x.doc_id < y.doc_id AND 10 * x.n >= 9 * y.n AND 10 * y.n >= 9 * x.n),
+i AS (SELECT a, b, count(*) AS c FROM p JOIN s AS x ON x.doc_id = a JOIN s AS y ON y.doc_id = b AND y.g = x.g GROUP BY a, b),
+e AS (SELECT a, b FROM i JOIN n AS x ON x.doc_id = a JOIN n AS y ON y.doc_id = b WHERE 100 * c >= 90 * (x.n + y.n - c)),
+sym AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+walk AS (SELECT doc_id AS a, doc_id AS c FROM d UNION SELECT sym.b, walk.c FROM walk JOIN sym ON sym.a = walk.a WHERE walk.c < sym.b)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.c AS component_id
+FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a, min(c) AS c FROM walk GROUP BY a) AS m ON m.a = d.doc_id
+"""
+
+
+@query("op1_parity_sketch_join", _OP1_SQL)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents whose sets of three-word shingles have a Jaccard similarity of 0.9."""
+    rule = jaccard.Rule(k=3, share=90, over=100)
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"), rule).drop("links")
+
+
 _OP2_SQL = """
 WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
 t AS (SELECT doc_id, h, unnest(range(1, length(h) // 2 + 1)) AS p FROM h),

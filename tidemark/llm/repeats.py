@@ -42,10 +42,12 @@ from tidemark.llm.blocks import (
     expand,
     groups,
     pack_documents,
+    pack_sorted,
     spread,
     squeeze,
     texts_only,
     unpack_documents,
+    unpack_sorted,
 )
 from tidemark.llm.hashing import (
     byte_codes,
@@ -121,17 +123,6 @@ def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
     return (keys >> np.uint64(32)) % np.uint64(buckets)
 
 
-def pack_sorted(values: np.ndarray) -> bytes:
-    """Sorted 32-bit numbers as compressed differences, byte planes apart."""
-    steps = np.diff(values, prepend=np.uint32(0)).astype("<u4")
-    return squeeze(steps.view(np.uint8).reshape(-1, 4).T.tobytes())
-
-
-def unpack_sorted(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(expand(data), np.uint8).reshape(4, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view("<u4").ravel(), dtype=np.uint32)
-
-
 _ANCHORS = "bucket int, lows binary, blocks binary, twice binary"
 _REPEATED = "block int, bucket int, lows binary, heavy binary"
 _CONTEXTS = "shard int, block int, numbers binary, lows binary, windows binary, docs binary, places binary, lengths binary, texts binary"
