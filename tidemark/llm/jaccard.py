@@ -159,6 +159,18 @@ def band_sizes(rule: Rule, band: int) -> tuple[int, int]:
     return low, high - 1
 
 
+def without_near_duplicates(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
+    """The documents that come first in their group, with all their columns.
+
+    Of each group of `near_duplicates` the rows with the smallest doc_id stay;
+    rows without doc_id all do.
+    """
+    found = near_duplicates(docs, rule).where("doc_id != component_id")
+    gone = stage(found.select(F.col("doc_id").alias("id")).distinct(), "gone")
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    return docs.join(gone, F.col("doc_id").cast("long") == gone["id"], "left_anti")
+
+
 def rows_of(table: DataFrame, ids: DataFrame) -> DataFrame:
     """Rows of a table whose doc_id is in `ids` (a staged table, column id, distinct).
 
@@ -490,7 +502,9 @@ def _mixed(stars: DataFrame, labels: DataFrame) -> DataFrame:
     """Members, center included, of the stars that aren't within one component."""
     every = stars.unionByName(stars.select("band", "center", F.col("center").alias("doc"))).distinct()
     every = every.join(labels.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    every = stage(every, "members")
     state = every.groupBy("band", "center").agg(
         F.count("*").alias("held"), F.min("component").alias("low"), F.max("component").alias("high")
     )
-    return every.join(state.where("low != high").drop("low", "high"), ["band", "center"])
+    # Written first, so the join may split the rows of a large star.
+    return every.join(stage(state.where("low != high").drop("low", "high"), "mixed"), ["band", "center"])
