@@ -6,6 +6,7 @@ import hashlib
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tidemark.llm.blocks import NO_ID
 from tidemark.llm.repeats import Chunk, Contexts, Reading, remove_repeats
@@ -126,7 +127,7 @@ def _resolver(length: int):
     return resolve
 
 
-RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
+RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, text_sha256 string, new_text string"
 
 
 def _finish(keep_text: bool):
@@ -134,7 +135,8 @@ def _finish(keep_text: bool):
         data = chunk.buf.tobytes()
         for i, doc in enumerate(chunk.ids.tolist()):
             lo, hi = int(chunk.bounds[i]), int(chunk.bounds[i + 1])
-            words = data[chunk.offsets[i] : chunk.offsets[i + 1]].split()
+            text = data[chunk.offsets[i] : chunk.offsets[i + 1]]
+            words = text.split()
             mask = covered[lo:hi]
             removed = int(mask.sum())
             if removed:
@@ -145,12 +147,47 @@ def _finish(keep_text: bool):
                 hi - lo,
                 removed,
                 hashlib.sha256(kept).hexdigest(),
-                kept.decode("utf-8", "replace") if keep_text else None,
+                hashlib.sha256(text).hexdigest() if keep_text else None,
+                (kept if removed else text).decode("utf-8", "replace") if keep_text else None,
             )
 
     return finish
 
 
+def without_repeated_spans(docs: DataFrame, length: int = 20) -> DataFrame:
+    """The documents with `remove_repeated_spans` carried out on their texts.
+
+    All columns stay; n_chars, if there is one, follows the text. Documents of
+    which nothing is left go. Texts move once, as results: the other columns
+    are joined by id and checksum of the text, so rows that repeat an id find
+    their own.
+    """
+    columns = [c for c in docs.columns if c != "text"]
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rest = docs.select(
+        F.struct(*columns).alias("rest"),
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"),
+        F.sha2(text.cast("binary"), 256).alias("sha256"),
+        F.col("text").isNull().alias("missing"),
+    )
+    found = remove_repeated_spans(docs, length).where("n_words = 0 OR n_removed < n_words").select(
+        F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.col("text_sha256").alias("sha256"), "n_removed", "new_text"
+    )
+    found = found.dropDuplicates(["id", "sha256"])
+    joined = rest.join(found, ["id", "sha256"])
+    cut = F.col("n_removed") > 0
+    out = []
+    for c in docs.columns:
+        if c == "text":
+            out.append(F.when(~F.col("missing"), F.col("new_text")).alias(c))
+        elif c == "n_chars":
+            kind = docs.schema[c].dataType
+            out.append(F.when(cut, F.char_length("new_text")).otherwise(F.col("rest").getField(c)).cast(kind).alias(c))
+        else:
+            out.append(F.col("rest").getField(c).alias(c))
+    return joined.select(*out)
+
+
 def remove_repeated_spans(docs: DataFrame, length: int = 20, keep_text: bool = True) -> DataFrame:
     """Remove spans of `length` or more words that occur earlier.
 
@@ -158,8 +195,9 @@ def remove_repeated_spans(docs: DataFrame, length: int = 20, keep_text: bool = T
     `[^\\x20\\x09-\\x0D]+`, unchanged. A word goes if a window of `length` words
     covers it that also starts earlier: in a document with a smaller doc_id, or
     before it in the same one. Returns a row per input row: doc_id, n_words,
-    n_removed, kept_sha256, and the kept words joined by one space as `kept`
-    if `keep_text`.
+    n_removed, kept_sha256 (of the kept words joined by one space) and, with
+    `keep_text`, text_sha256 (of the text before) and new_text: the text as it
+    was if nothing is removed, else the kept words joined by one space.
 
     A null text has no words. Rows without doc_id count as one document after
     all others. Rows that repeat a doc_id are the same document. An empty table
