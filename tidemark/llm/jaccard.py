@@ -1,18 +1,19 @@
 """N-gram Jaccard join by parity sketches.
 
-A document is the set of its word shingles. Each shingle is hashed to one part
-of a sketch and flips three bits of the 64 there, so documents whose sets differ
-by d shingles have sketches that differ in at most d parts and 3 d bits. For
-documents of one size band the similarity limits d; with more parts than that,
-similar documents agree in a whole part, and meet there. Pairs that meet are
-held against each other by the Hamming distance of their sketches, then by the
-exact sets.
+A document is the set of its word shingles. Each shingle flips a bit of a
+parity sketch, so the Hamming distance of two sketches is at most the number of
+shingles in which the sets differ. For documents of one size band the similarity
+limits that number d. A second sketch has more than d parts; a shingle falls to
+one part and flips three bits of the 64 there, so similar documents agree in a
+whole part, and meet there. Pairs that meet are held against each other by the
+Hamming distance of their parity sketches, then by the exact sets.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -69,6 +70,10 @@ class Rule:
         d = self.differing(size)
         return d + 2 + -(-d // 16)
 
+    def words(self, size: int) -> int:
+        """Words of a parity sketch, of 64 bits for 40 shingles."""
+        return max(4, -(-size // 40))
+
     def linked(self, common: int, a: int, b: int) -> bool:
         return self.over * common >= self.share * (a + b - common)
 
@@ -98,7 +103,7 @@ def shingle_sets(buf: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarr
 
 
 def sketch(hashes: np.ndarray, parts: int) -> np.ndarray:
-    """The parity sketch of one set, given sorted: `parts` words of 64 bits."""
+    """The sketch in parts of one set, given sorted: `parts` words of 64 bits."""
     out = np.zeros(parts, np.uint64)
     if len(hashes):
         part = ((hashes >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
@@ -111,7 +116,15 @@ def sketch(hashes: np.ndarray, parts: int) -> np.ndarray:
     return out
 
 
-SKETCHES = "doc_id long, n long, sign_a long, sign_b long, bands binary, sketches binary"
+def parity(hashes: np.ndarray, words: int) -> np.ndarray:
+    """The parity sketch of a set: each shingle flips one of 64 * `words` bits."""
+    bits = 64 * words
+    at = ((mix(hashes + np.uint64(3)) >> np.uint64(32)) * np.uint64(bits)) >> np.uint64(32)
+    odd = (np.bincount(at.astype(np.int64), minlength=bits) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.uint64)
+
+
+SKETCHES = "doc_id long, n long, sign_a long, sign_b long, bands binary, sketches binary, parities binary"
 
 
 def sketches(docs: DataFrame, rule: Rule) -> DataFrame:
@@ -126,13 +139,13 @@ def sketches(docs: DataFrame, rule: Rule) -> DataFrame:
         for ids, buf, offsets in chunks(batches):
             hashes, bounds = shingle_sets(buf, offsets, rule.k)
             ends = rule.bands(int(np.diff(bounds).max(initial=0)))
-            n, signs, bands, words = np.diff(bounds), np.zeros((2, len(ids)), np.uint64), [], []
+            n, signs, bands, words, parities = np.diff(bounds), np.zeros((2, len(ids)), np.uint64), [], [], []
             some = np.flatnonzero(n)
             if len(some):
                 signs[0, some] = np.add.reduceat(mix(hashes + np.uint64(1)), bounds[:-1][some])
                 signs[1, some] = np.bitwise_xor.reduceat(mix(hashes + np.uint64(2)), bounds[:-1][some])
             for i, size in enumerate(n.tolist()):
-                own, found = [], []
+                own, found, odd = [], [], []
                 if size:
                     band = int(np.searchsorted(ends, size, "right")) - 1
                     # The next band too, if a document there can be similar.
@@ -141,17 +154,20 @@ def sketches(docs: DataFrame, rule: Rule) -> DataFrame:
                         if (b == band or rule.linked(size, size, low)) and rule.differing(high):
                             own.append(b)
                             found.append(sketch(hashes[bounds[i] : bounds[i + 1]], rule.parts(high)))
+                            odd.append(parity(hashes[bounds[i] : bounds[i + 1]], rule.words(high)))
                 bands.append(np.array(own, np.int32).tobytes())
                 words.append(np.concatenate(found).tobytes() if found else b"")
+                parities.append(np.concatenate(odd).tobytes() if odd else b"")
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids), pa.array(n), pa.array(signs[0].view(np.int64)), pa.array(signs[1].view(np.int64)), pa.array(bands, pa.binary()), pa.array(words, pa.binary())],
+                [pa.array(ids), pa.array(n), pa.array(signs[0].view(np.int64)), pa.array(signs[1].view(np.int64)), pa.array(bands, pa.binary()), pa.array(words, pa.binary()), pa.array(parities, pa.binary())],
                 schema=schema,
             )
 
     return texts_only(docs).mapInArrow(run, SKETCHES)
 
 
-def band_sizes(rule: Rule, band: int) -> tuple[int, int]:
+@cache
+def band_sizes(band: int) -> tuple[int, int]:
     """Least and largest set size of a band."""
     low = high = 1
     for _ in range(band + 1):
@@ -185,12 +201,13 @@ def rows_of(table: DataFrame, ids: DataFrame) -> DataFrame:
 _POSTINGS = "bucket int, lows binary, docs binary, bands binary"
 
 
-def _words_by_band(bands: bytes, words: bytes, rule: Rule) -> dict[int, np.ndarray]:
+def _words_by_band(bands: bytes, words: bytes, size) -> dict[int, np.ndarray]:
+    """The words of each band; `size` gives their number from the band's largest set."""
     out, all_words, at = {}, np.frombuffer(words, np.uint64), 0
     for band in np.frombuffer(bands, np.int32).tolist():
-        parts = rule.parts(band_sizes(rule, band)[1])
-        out[band] = all_words[at : at + parts]
-        at += parts
+        n = size(band_sizes(band)[1])
+        out[band] = all_words[at : at + n]
+        at += n
     return out
 
 
@@ -200,7 +217,7 @@ def _part_keys(band: int, words: np.ndarray, rule: Rule) -> np.ndarray:
     Empty parts say little. Linked documents agree in more parts than are left
     out here, unless so many are empty that these must count too.
     """
-    differing = rule.differing(band_sizes(rule, band)[1])
+    differing = rule.differing(band_sizes(band)[1])
     part = np.flatnonzero(words)
     if len(words) - len(part) >= len(words) - differing:
         part = np.arange(len(words))
@@ -219,7 +236,7 @@ def _postings(table: DataFrame, rule: Rule, buckets: int) -> DataFrame:
                 if (n, a, b) in seen:
                     continue
                 seen.add((n, a, b))
-                for band, part in _words_by_band(own, words, rule).items():
+                for band, part in _words_by_band(own, words, rule.parts).items():
                     keys.append(_part_keys(band, part, rule))
                     docs.append(np.full(len(keys[-1]), doc))
                     bands.append(np.full(len(keys[-1]), band, np.uint8))
@@ -271,7 +288,7 @@ def _stars(postings: DataFrame) -> DataFrame:
 
 def _near(left: np.ndarray, right: np.ndarray, most: int) -> np.ndarray:
     """Which sketches of `right` differ from `left` in at most `most` shingles."""
-    return np.bitwise_count(left[None] ^ right).sum(1, dtype=np.int64) <= FLIPS * most
+    return np.bitwise_count(left[None] ^ right).sum(1, dtype=np.int64) <= most
 
 
 _PAIRS = "a long, b long"
@@ -284,7 +301,7 @@ def _star_pairs(rows: DataFrame, rule: Rule) -> DataFrame:
         for batch in batches:
             out = []
             for band, center, doc, a, b in zip(*(batch.column(c).to_pylist() for c in ("band", "center", "doc", "words", "center_words")), strict=True):
-                most = rule.differing(band_sizes(rule, band)[1])
+                most = rule.differing(band_sizes(band)[1])
                 x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
                 if _near(x, y[None], most)[0]:
                     out.append((min(center, doc), max(center, doc)))
@@ -348,7 +365,7 @@ def _rest_pairs(members: DataFrame, rule: Rule, buckets: int, forest: bool) -> D
         at = np.flatnonzero(np.r_[True, (band[1:] != band[:-1]) | (center[1:] != center[:-1])])
         out: set[tuple[int, int]] = set()
         for i, j in zip(at.tolist(), [*at[1:].tolist(), len(band)], strict=True):
-            most = rule.differing(band_sizes(rule, int(band[i]))[1])
+            most = rule.differing(band_sizes(int(band[i]))[1])
             out.update(_cross_pairs(*_members_of(table.slice(i, j - i)), None, most, forest))
         return pa.Table.from_batches([arrow_rows(_PAIRS, sorted(out))])
 
@@ -363,7 +380,7 @@ def _rest_pairs(members: DataFrame, rule: Rule, buckets: int, forest: bool) -> D
         doc, component = (np.concatenate([np.frombuffer(r[c], np.int64) for r in rows]) for c in (1, 2))
         words = np.frombuffer(b"".join(r[3] for r in rows), np.uint64).reshape(len(doc), -1)
         side = np.repeat([r[0] for r in rows], [len(r[1]) // 8 for r in rows]) if len(rows) > 1 else None
-        most = rule.differing(band_sizes(rule, key[0].as_py())[1])
+        most = rule.differing(band_sizes(key[0].as_py())[1])
         return pa.Table.from_batches([arrow_rows(_PAIRS, _cross_pairs(doc, component, words, side, most, forest))])
 
     few = members.where(F.col("held") <= STAR_ROWS).drop("held")
@@ -439,7 +456,7 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     stars = stage(_stars(_postings(table, rule, buckets)).distinct(), "stars")
     # Documents stand for their classes; those of one class need no link.
     heads = stage(stars.select(F.col("doc").alias("id")).union(stars.select("center")).distinct(), "heads")
-    met = stage(rows_of(table, heads).join(classes, sign), "met")
+    met = stage(rows_of(table.drop("sketches"), heads).join(classes, sign), "met")
     stars = _as_classes(stars, met)
     words = _words(met, rule)
     pairs = stage(_star_pairs(_with_words(stars, words), rule).distinct(), "pairs")
@@ -479,17 +496,17 @@ def _as_classes(stars: DataFrame, met: DataFrame) -> DataFrame:
 
 
 def _words(met: DataFrame, rule: Rule) -> DataFrame:
-    """(of_band, of_doc, words): the sketch of each class in each of its bands."""
+    """(of_band, of_doc, words): the parity sketch of each class in each of its bands."""
     ddl = "of_band int, of_doc long, words binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc, bands, words in zip(*(batch.column(c).to_pylist() for c in ("class", "bands", "sketches")), strict=True):
-                out.extend((b, doc, w.tobytes()) for b, w in _words_by_band(bands, words, rule).items())
+            for doc, bands, words in zip(*(batch.column(c).to_pylist() for c in ("class", "bands", "parities")), strict=True):
+                out.extend((b, doc, w.tobytes()) for b, w in _words_by_band(bands, words, rule.words).items())
             yield arrow_rows(ddl, out)
 
-    return stage(met.select("class", "bands", "sketches").mapInArrow(run, ddl).dropDuplicates(["of_band", "of_doc"]), "words")
+    return stage(met.select("class", "bands", "parities").mapInArrow(run, ddl).dropDuplicates(["of_band", "of_doc"]), "words")
 
 
 def _with_words(stars: DataFrame, words: DataFrame) -> DataFrame:
