@@ -1,29 +1,21 @@
-"""Where jobs may put intermediate tables."""
+"""Where jobs put intermediate tables, and how these go again."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_LOCAL_DIRS: dict[str, str] = {}
-
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder that all executors reach, named by ``spark.checkpoint.dir``.
 
-    Only a local session without that setting gets a temporary folder.
+    Where that is unset, a folder in the warehouse, which they reach too.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors can reach")
-    app = spark.sparkContext.applicationId
-    if app not in _LOCAL_DIRS:
-        _LOCAL_DIRS[app] = tempfile.mkdtemp(prefix="tidemark-")
-    return _LOCAL_DIRS[app]
+    if not root:
+        root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
+    return root.rstrip("/")
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
@@ -36,6 +28,13 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tidemark/{app}/{name}-{uuid.uuid4().hex}"
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a folder in whatever file system it lies."""
+    jvm = spark._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write a frame to the shared folder and read it back.
 
@@ -44,6 +43,47 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     the size of the table when it plans a join: a small one is broadcast before
     the large side is shuffled, a large one never is.
     """
-    path = fresh_path(df.sparkSession, name)
+    return _stage(df, fresh_path(df.sparkSession, name))
+
+
+def _stage(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Workspace:
+    """Staged tables of one job, removed together.
+
+    ``drop`` may be called as soon as nothing that is still to be computed reads
+    them; used as a context manager, that is the end of the block.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self._tables: list[tuple[str, DataFrame]] = []
+
+    def stage(self, df: DataFrame, name: str) -> DataFrame:
+        path = fresh_path(self.spark, name)
+        self._tables.append((path, None))
+        staged = _stage(df, path)
+        self._tables[-1] = (path, staged)
+        return staged
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Remove the given tables of this workspace."""
+        self._remove([t for t in self._tables if any(t[1] is x for x in tables)])
+
+    def drop_all(self, keep: tuple[DataFrame, ...] = ()) -> None:
+        """Remove all tables but those to keep."""
+        self._remove([t for t in self._tables if not any(t[1] is x for x in keep)])
+
+    def _remove(self, gone: list[tuple[str, DataFrame]]) -> None:
+        for path, _ in gone:
+            delete(self.spark, path)
+        self._tables = [t for t in self._tables if not any(t is g for g in gone)]
+
+    def __enter__(self) -> Workspace:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.drop_all()
