@@ -5,30 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.shared import stage
+from tidemark.shared import Workspace
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, work: Workspace) -> DataFrame:
     """(node, component) for every node of a link (a, b): the smallest node reachable.
 
     Each round gives a node the smallest component among its neighbours, then the
     component of that component, until nothing changes. The smallest value of a
     group combines before the shuffle, so a node with very many links costs no
-    more than others. Every round is written to the shared folder.
+    more than others. Every round is written to the workspace, the one before goes.
     """
-    both = stage(
+    both = work.stage(
         links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(),
         "links",
     )
-    labels = stage(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("component")), "labels")
+    least = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least"))
+    held = work.stage(least.select("node", F.least("node", "least").alias("component")), "labels")
     while True:
+        labels = held.select("node", "component")
         near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("component").alias("near"))
-        closer = labels.join(near, labels["node"] == near["a"]).select("node", "component", F.least("component", "near").alias("next"))
+        closer = labels.join(near, labels["node"] == near["a"])
+        closer = closer.select("node", "component", F.least("component", "near").alias("next"))
         up = labels.select(F.col("node").alias("of"), F.col("component").alias("up"))
-        moved = stage(
-            closer.join(up, closer["next"] == up["of"]).select("node", F.col("component").alias("was"), F.least("next", "up").alias("component")),
-            "labels",
-        )
-        labels = moved.select("node", "component")
+        moved = closer.join(up, closer["next"] == up["of"])
+        moved = moved.select("node", F.col("component").alias("was"), F.least("next", "up").alias("component"))
+        moved = work.stage(moved, "labels")
+        work.drop(held)
+        held = moved
         if moved.where("was != component").isEmpty():
-            return labels
+            work.drop(both)
+            return moved.select("node", "component")

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.blocks import (
+    CHUNK_BYTES,
     NO_ID,
     arrow_rows,
     arrow_schema,
@@ -35,7 +36,7 @@ from tidemark.llm.blocks import (
 )
 from tidemark.llm.components import components
 from tidemark.llm.hashing import grams_of, lower, mix, prefix_sums, span_hashes, spans_of, word_bounds
-from tidemark.shared import stage
+from tidemark.shared import Workspace, stage
 
 #: Ratio of the ends of a size band; more than 1 / the least similarity.
 BAND_RATIO = 1.3
@@ -54,13 +55,6 @@ class Rule:
     share: int = 80
     over: int = 100
 
-    def bands(self, largest: int) -> list[int]:
-        """Lower ends of the size bands up to one beyond `largest`."""
-        ends = [1]
-        while ends[-1] <= largest:
-            ends.append(max(ends[-1] + 1, int(np.ceil(ends[-1] * BAND_RATIO))))
-        return ends
-
     def differing(self, size: int) -> int:
         """Most shingles in which linked sets of at most `size` can differ."""
         return 2 * size * (self.over - self.share) // (self.over + self.share)
@@ -124,42 +118,49 @@ def parity(hashes: np.ndarray, words: int) -> np.ndarray:
     return np.packbits(odd).view(np.uint64)
 
 
-SKETCHES = "doc_id long, n long, sign_a long, sign_b long, bands binary, sketches binary, parities binary"
+SKETCHES = "doc_id long, n long, sign_a long, sign_b long, bands binary, parities binary"
 
 
-def sketches(docs: DataFrame, rule: Rule) -> DataFrame:
-    """Per document: set size, two checksums of the set, and sketches for its size bands.
+def _signs(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Two checksums of each set."""
+    out = np.zeros((2, len(bounds) - 1), np.uint64)
+    some = np.flatnonzero(np.diff(bounds))
+    if len(some):
+        out[0, some] = np.add.reduceat(mix(hashes + np.uint64(1)), bounds[:-1][some])
+        out[1, some] = np.bitwise_xor.reduceat(mix(hashes + np.uint64(2)), bounds[:-1][some])
+    return out.view(np.int64)
+
+
+def bands_of(size: int, rule: Rule) -> list[int]:
+    """The size band of a set, and the next one if a set there can be similar.
 
-    `bands` are the numbers of one or two bands, `sketches` the words of each.
-    A band in which only equal sets can link has none.
+    None in which only equal sets can link.
     """
+    band = 0
+    while band_sizes(band)[1] < size:
+        band += 1
+    return [
+        b
+        for b in (band, band + 1)
+        if size and (b == band or rule.linked(size, size, band_sizes(b)[0])) and rule.differing(band_sizes(b)[1])
+    ]
+
+
+def sketches(docs: DataFrame, rule: Rule) -> DataFrame:
+    """Per document: set size, two checksums, its size bands and a parity sketch for each."""
     schema = arrow_schema(SKETCHES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, buf, offsets in chunks(batches):
             hashes, bounds = shingle_sets(buf, offsets, rule.k)
-            ends = rule.bands(int(np.diff(bounds).max(initial=0)))
-            n, signs, bands, words, parities = np.diff(bounds), np.zeros((2, len(ids)), np.uint64), [], [], []
-            some = np.flatnonzero(n)
-            if len(some):
-                signs[0, some] = np.add.reduceat(mix(hashes + np.uint64(1)), bounds[:-1][some])
-                signs[1, some] = np.bitwise_xor.reduceat(mix(hashes + np.uint64(2)), bounds[:-1][some])
+            n, signs, bands, words = np.diff(bounds), _signs(hashes, bounds), [], []
             for i, size in enumerate(n.tolist()):
-                own, found, odd = [], [], []
-                if size:
-                    band = int(np.searchsorted(ends, size, "right")) - 1
-                    # The next band too, if a document there can be similar.
-                    for b in (band, band + 1):
-                        low, high = ends[b], (ends[b + 1] if b + 1 < len(ends) else max(ends[b] + 1, int(np.ceil(ends[b] * BAND_RATIO)))) - 1
-                        if (b == band or rule.linked(size, size, low)) and rule.differing(high):
-                            own.append(b)
-                            found.append(sketch(hashes[bounds[i] : bounds[i + 1]], rule.parts(high)))
-                            odd.append(parity(hashes[bounds[i] : bounds[i + 1]], rule.words(high)))
+                own = bands_of(size, rule)
+                found = [parity(hashes[bounds[i] : bounds[i + 1]], rule.words(band_sizes(b)[1])) for b in own]
                 bands.append(np.array(own, np.int32).tobytes())
                 words.append(np.concatenate(found).tobytes() if found else b"")
-                parities.append(np.concatenate(odd).tobytes() if odd else b"")
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids), pa.array(n), pa.array(signs[0].view(np.int64)), pa.array(signs[1].view(np.int64)), pa.array(bands, pa.binary()), pa.array(words, pa.binary()), pa.array(parities, pa.binary())],
+                [pa.array(ids), pa.array(n), pa.array(signs[0]), pa.array(signs[1]), pa.array(bands, pa.binary()), pa.array(words, pa.binary())],
                 schema=schema,
             )
 
@@ -181,8 +182,10 @@ def without_near_duplicates(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     Of each group of `near_duplicates` the rows with the smallest doc_id stay;
     rows without doc_id all do.
     """
-    found = near_duplicates(docs, rule).where("doc_id != component_id")
+    found, work = _near_duplicates(docs, rule)
+    found = found.where("doc_id != component_id")
     gone = stage(found.select(F.col("doc_id").alias("id")).distinct(), "gone")
+    work.drop_all()
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
     return docs.join(gone, F.col("doc_id").cast("long") == gone["id"], "left_anti")
 
@@ -224,21 +227,22 @@ def _part_keys(band: int, words: np.ndarray, rule: Rule) -> np.ndarray:
     return mix(mix(words[part] + np.uint64(band)) + part.astype(np.uint64))
 
 
-def _postings(table: DataFrame, rule: Rule, buckets: int) -> DataFrame:
+def _postings(docs: DataFrame, rule: Rule, buckets: int) -> DataFrame:
     """Part keys of all different sets, packed by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, docs, bands, seen = [], [], [], set()
-            rows = sorted(zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n", "sign_a", "sign_b", "bands", "sketches")), strict=True))
-            for doc, n, a, b, own, words in rows:
-                # Equal sets are one class already; their first one stands for them.
-                if (n, a, b) in seen:
-                    continue
-                seen.add((n, a, b))
-                for band, part in _words_by_band(own, words, rule.parts).items():
-                    keys.append(_part_keys(band, part, rule))
-                    docs.append(np.full(len(keys[-1]), doc))
+        for ids, buf, offsets in chunks(batches, 2 * CHUNK_BYTES):
+            hashes, bounds = shingle_sets(buf, offsets, rule.k)
+            signs = _signs(hashes, bounds)
+            # Equal sets are one class already; their first one stands for them.
+            order = np.lexsort((ids, signs[1], signs[0]))
+            new = np.r_[True, (signs[0][order][1:] != signs[0][order][:-1]) | (signs[1][order][1:] != signs[1][order][:-1])]
+            keys, docs, bands = [], [], []
+            for i in order[new[: len(order)]].tolist():
+                own = hashes[bounds[i] : bounds[i + 1]]
+                for band in bands_of(len(own), rule):
+                    keys.append(_part_keys(band, sketch(own, rule.parts(band_sizes(band)[1])), rule))
+                    docs.append(np.full(len(keys[-1]), ids[i]))
                     bands.append(np.full(len(keys[-1]), band, np.uint8))
             if not keys:
                 continue
@@ -254,7 +258,7 @@ def _postings(table: DataFrame, rule: Rule, buckets: int) -> DataFrame:
                 ],
             )
 
-    return table.mapInArrow(run, _POSTINGS)
+    return texts_only(docs).mapInArrow(run, _POSTINGS)
 
 
 _STARS = "band int, center long, doc long"
@@ -398,9 +402,9 @@ def _rest_pairs(members: DataFrame, rule: Rule, buckets: int, forest: bool) -> D
     )
 
 
-def _verify(docs: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
-    """The pairs (a, b) whose exact sets link."""
-    ids = stage(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids")
+def _verify(docs: DataFrame, pairs: DataFrame, rule: Rule, work: Workspace) -> DataFrame:
+    """The pairs (a, b) whose exact sets link, written."""
+    ids = work.stage(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids")
     ddl = "doc long, hashes binary"
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -423,7 +427,10 @@ def _verify(docs: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
     found = rows_of(texts, ids).mapInArrow(sets, ddl)
     x = found.select(F.col("doc").alias("a"), F.col("hashes").alias("x"))
     y = found.select(F.col("doc").alias("b"), F.col("hashes").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(check, _PAIRS).distinct()
+    links = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(check, _PAIRS).distinct()
+    links = work.stage(links, "links")
+    work.drop(ids)
+    return links
 
 
 def near_duplicates(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
@@ -437,65 +444,72 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
 
     A document without words, or with a null text, has the empty set and links
     with nothing. Equal sets are one class from the start, so copies are never
-    paired. Rows that repeat a doc_id are one document. Rows without
-    doc_id come after all others: alone their component is null. An empty table
-    gives no rows.
+    paired. Rows that repeat a doc_id are one document, and so are all rows
+    without one, after all others; their component is null if they link with
+    nothing. An empty table gives no rows.
     """
+    rows, _ = _near_duplicates(docs, rule)
+    return rows
+
+
+def _near_duplicates(docs: DataFrame, rule: Rule) -> tuple[DataFrame, Workspace]:
+    """The rows of `near_duplicates`, and the tables that they are read from."""
     spark = docs.sparkSession
-    buckets = spread(spark)
-    table = stage(sketches(docs, rule), "sketches")
+    work, buckets = Workspace(spark), spread(spark)
+    table = work.stage(sketches(docs, rule), "sketches")
     sign = ["n", "sign_a", "sign_b"]
     classes = table.where("n > 0").groupBy(*sign).agg(F.min("doc_id").alias("class"))
-    classes = stage(classes, "classes")
-    ids = table.select("doc_id", *sign).distinct()
-    # Of each id its classes: rows that repeat an id with other texts tie classes together.
-    of_class = ids.join(classes, sign).select("doc_id", "class")
-    ties = of_class.where(F.col("doc_id") != F.col("class")).select(F.col("class").alias("a"), F.col("doc_id").alias("b"))
-    ties = ties.join(of_class.select(F.col("doc_id").alias("b")).groupBy("b").count().where("count > 1").select("b"), "b", "left_semi")
-
-    stars = stage(_stars(_postings(table, rule, buckets)).distinct(), "stars")
+    classes = work.stage(classes, "classes")
+    # Rows that repeat an id with other texts tie their classes together.
+    several = table.where("n > 0").select("doc_id", *sign).distinct().groupBy("doc_id").count().where("count > 1")
+    ties = table.join(several.select("doc_id"), "doc_id", "left_semi").join(classes, sign)
+    ties = ties.where(F.col("doc_id") != F.col("class")).select(F.col("class").alias("a"), F.col("doc_id").alias("b"))
+
+    stars = work.stage(_stars(_postings(docs, rule, buckets)).distinct(), "stars")
     # Documents stand for their classes; those of one class need no link.
-    heads = stage(stars.select(F.col("doc").alias("id")).union(stars.select("center")).distinct(), "heads")
-    met = stage(rows_of(table.drop("sketches"), heads).join(classes, sign), "met")
-    stars = _as_classes(stars, met)
-    words = _words(met, rule)
-    pairs = stage(_star_pairs(_with_words(stars, words), rule).distinct(), "pairs")
-    links = stage(_verify(docs, pairs, rule), "links").unionByName(ties.select("a", "b"))
-    labels = components(links)
+    heads = work.stage(stars.select(F.col("doc").alias("id")).union(stars.select("center")).distinct(), "heads")
+    met = work.stage(rows_of(table, heads).join(classes, sign), "met")
+    stars = _as_classes(stars, met, work)
+    words = _words(met, rule, work)
+    pairs = work.stage(_star_pairs(_with_words(stars, words), rule).distinct(), "pairs")
+    links = _verify(docs, pairs, rule, work).unionByName(work.stage(ties.distinct(), "ties"))
+    labels = components(links, work)
     tested = pairs
     for forest in (True, False):
-        members = _mixed(stars, labels)
+        members = _mixed(stars, labels, work)
         members = members.join(words, (members["band"] == words["of_band"]) & (members["doc"] == words["of_doc"]))
         more = _rest_pairs(members.select("band", "center", "doc", "component", "words", "held"), rule, buckets, forest)
-        more = stage(more.join(tested, ["a", "b"], "left_anti"), "pairs")
+        more = work.stage(more.join(tested, ["a", "b"], "left_anti"), "pairs")
         if more.isEmpty():
             continue
-        links = links.unionByName(stage(_verify(docs, more, rule), "links"))
+        links = links.unionByName(_verify(docs, more, rule, work))
         tested = tested.unionByName(more)
-        labels = components(links)
+        labels = components(links, work)
     count = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count("*").alias("links"))
     labels = labels.join(count, "node", "left").withColumnsRenamed({"node": "class"})
-    known = classes.join(labels, "class", "left")
-    rows = table.join(known, sign, "left")
+    known = work.stage(classes.join(labels, "class", "left"), "known")
+    # Nothing else is read any more.
+    work.drop_all(keep=(table, known))
     component = F.coalesce("component", "class", "doc_id")
-    return rows.select(
+    rows = table.join(known, sign, "left").select(
         F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id"),
         F.col("n").alias("n_shingles"),
         F.when(component != NO_ID, component).alias("component_id"),
         F.coalesce("links", F.lit(0)).cast("long").alias("links"),
     )
+    return rows, work
 
 
-def _as_classes(stars: DataFrame, met: DataFrame) -> DataFrame:
+def _as_classes(stars: DataFrame, met: DataFrame, work: Workspace) -> DataFrame:
     """Stars of classes: center and members by the smallest id of their class."""
-    of = stage(met.groupBy("doc_id").agg(F.min("class").alias("class")), "of-class")
+    of = work.stage(met.groupBy("doc_id").agg(F.min("class").alias("class")), "of-class")
     member = of.select(F.col("doc_id").alias("doc"), F.col("class").alias("member"))
     middle = of.select(F.col("doc_id").alias("center"), F.col("class").alias("middle"))
     rows = stars.join(member, "doc").join(middle, "center").where("member != middle")
-    return stage(rows.select("band", F.col("middle").alias("center"), F.col("member").alias("doc")).distinct(), "class-stars")
+    return work.stage(rows.select("band", F.col("middle").alias("center"), F.col("member").alias("doc")).distinct(), "class-stars")
 
 
-def _words(met: DataFrame, rule: Rule) -> DataFrame:
+def _words(met: DataFrame, rule: Rule, work: Workspace) -> DataFrame:
     """(of_band, of_doc, words): the parity sketch of each class in each of its bands."""
     ddl = "of_band int, of_doc long, words binary"
 
@@ -506,7 +520,7 @@ def _words(met: DataFrame, rule: Rule) -> DataFrame:
                 out.extend((b, doc, w.tobytes()) for b, w in _words_by_band(bands, words, rule.words).items())
             yield arrow_rows(ddl, out)
 
-    return stage(met.select("class", "bands", "parities").mapInArrow(run, ddl).dropDuplicates(["of_band", "of_doc"]), "words")
+    return work.stage(met.select("class", "bands", "parities").mapInArrow(run, ddl).dropDuplicates(["of_band", "of_doc"]), "words")
 
 
 def _with_words(stars: DataFrame, words: DataFrame) -> DataFrame:
@@ -515,13 +529,13 @@ def _with_words(stars: DataFrame, words: DataFrame) -> DataFrame:
     return stars.join(mine, ["band", "doc"]).join(its, ["band", "center"])
 
 
-def _mixed(stars: DataFrame, labels: DataFrame) -> DataFrame:
+def _mixed(stars: DataFrame, labels: DataFrame, work: Workspace) -> DataFrame:
     """Members, center included, of the stars that aren't within one component."""
     every = stars.unionByName(stars.select("band", "center", F.col("center").alias("doc"))).distinct()
     every = every.join(labels.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    every = stage(every, "members")
+    every = work.stage(every, "members")
     state = every.groupBy("band", "center").agg(
         F.count("*").alias("held"), F.min("component").alias("low"), F.max("component").alias("high")
     )
     # Written first, so the join may split the rows of a large star.
-    return every.join(stage(state.where("low != high").drop("low", "high"), "mixed"), ["band", "center"])
+    return every.join(work.stage(state.where("low != high").drop("low", "high"), "mixed"), ["band", "center"])
