@@ -11,9 +11,9 @@ Hamming distance of their parity sketches, then by the exact sets.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +21,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.blocks import (
-    CHUNK_BYTES,
     NO_ID,
     arrow_rows,
     arrow_schema,
@@ -136,9 +135,7 @@ def bands_of(size: int, rule: Rule) -> list[int]:
 
     None in which only equal sets can link.
     """
-    band = 0
-    while band_sizes(band)[1] < size:
-        band += 1
+    band = bisect_right(_ENDS, size) - 1
     return [
         b
         for b in (band, band + 1)
@@ -167,13 +164,19 @@ def sketches(docs: DataFrame, rule: Rule) -> DataFrame:
     return texts_only(docs).mapInArrow(run, SKETCHES)
 
 
-@cache
+def _band_ends(largest: int = 1 << 40) -> tuple[int, ...]:
+    ends = [1]
+    while ends[-1] <= largest:
+        ends.append(max(ends[-1] + 1, int(np.ceil(ends[-1] * BAND_RATIO))))
+    return tuple(ends)
+
+
+_ENDS = _band_ends()
+
+
 def band_sizes(band: int) -> tuple[int, int]:
     """Least and largest set size of a band."""
-    low = high = 1
-    for _ in range(band + 1):
-        low, high = high, max(high + 1, int(np.ceil(high * BAND_RATIO)))
-    return low, high - 1
+    return _ENDS[band], _ENDS[band + 1] - 1
 
 
 def without_near_duplicates(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
@@ -231,7 +234,7 @@ def _postings(docs: DataFrame, rule: Rule, buckets: int) -> DataFrame:
     """Part keys of all different sets, packed by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, buf, offsets in chunks(batches, 2 * CHUNK_BYTES):
+        for ids, buf, offsets in chunks(batches):
             hashes, bounds = shingle_sets(buf, offsets, rule.k)
             signs = _signs(hashes, bounds)
             # Equal sets are one class already; their first one stands for them.
@@ -413,7 +416,8 @@ def _verify(docs: DataFrame, pairs: DataFrame, rule: Rule, work: Workspace) -> D
             yield arrow_rows(ddl, [(i, hashes[a:b].tobytes()) for i, a, b in zip(own.tolist(), bounds[:-1], bounds[1:], strict=True)])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        # Sets are large: few rows at a time.
+        for batch in (b.slice(at, 100) for b in batches for at in range(0, b.num_rows, 100)):
             out = []
             for a, b, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "x", "y")), strict=True):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
