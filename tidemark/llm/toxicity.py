@@ -8,6 +8,7 @@ Trained in numpy on a bounded sample, applied to whole texts inside tasks.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.blocks import CHUNK_BYTES, arrow_schema, bytes_of, cut, texts_only
 from tidemark.llm.hashing import byte_codes, lower, mix, prefix_sums, spans_of, word_bounds
 
-#: Rows of the sample that is learnt from: the bound on what the driver gets.
+#: Rows of the sample that is learnt from, in one task.
 SAMPLE_ROWS = 6_000
 #: Bytes of a row's text beyond which it isn't taken into the sample.
 SAMPLE_BYTES = 20_000
@@ -49,14 +50,14 @@ def read_words(buf: np.ndarray, offsets: np.ndarray) -> Words:
     prefix = prefix_sums(byte_codes(buf))
     _, first, word = np.unique(spans_of(prefix, starts, ends), return_index=True, return_inverse=True)
     s, e = starts[first], ends[first]
-    rows = np.zeros((len(first), 1 + len(PREFIXES)), np.int64)
+    rows = np.zeros((len(first), 1 + len(PREFIXES)), np.int32)
     shift = np.uint64(64 - TABLE_BITS)
     for j, size in enumerate((None, *PREFIXES)):
         stop = e if size is None else np.minimum(e, s + size)
         hashed = mix(spans_of(prefix, s, stop) + np.uint64(j + 1)) >> shift
         # Row 0 is empty: for words that aren't longer than the leading part.
         rows[:, j] = 1 + hashed.astype(np.int64) if size is None else np.where(e - s > size, 1 + hashed.astype(np.int64), 0)
-    return Words(rows, word.reshape(-1), np.searchsorted(starts, offsets))
+    return Words(rows, word.reshape(-1).astype(np.int32), np.searchsorted(starts, offsets))
 
 
 @dataclass
@@ -220,16 +221,26 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, usua
     marked = marked.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     spread = F.xxhash64("doc_id", F.lit("sample"))
     # The sample is chosen from ids and sizes; texts are only read for the chosen.
-    rows = texts_only(docs, F.col("lang").cast("string").alias("lang"))
-    fits = rows.where(F.octet_length("text").between(1, SAMPLE_BYTES)).select("doc_id")
-    chosen = marked.join(fits, "doc_id", "left_semi").orderBy(spread).limit(sample_rows)
-    table = (
-        rows.where(F.octet_length("text").between(1, SAMPLE_BYTES))
-        .join(chosen, "doc_id").withColumn("spread", spread).orderBy("spread", "text").limit(sample_rows).toArrow()
-    )
-    texts = [t.encode() for t in table.column("text").to_pylist()]
-    toxic = np.array(table.column("toxic").to_pylist(), np.int64)
-    lang = np.array([x or "" for x in table.column("lang").to_pylist()], object)
+    rows = texts_only(docs, F.col("lang").cast("string").alias("lang")).where(F.octet_length("text").between(1, SAMPLE_BYTES))
+    chosen = marked.join(rows.select("doc_id"), "doc_id", "left_semi").orderBy(spread).limit(sample_rows)
+    sample = rows.join(chosen, "doc_id").withColumn("spread", spread).orderBy("spread", "text").limit(sample_rows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        table = pa.Table.from_batches(held) if held else None
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(_fit_sample(table, usual))], pa.binary())], ["fitted"])
+
+    # One task learns; the driver gets the classifier, whose size is fixed.
+    found = sample.select("text", "lang", "toxic").coalesce(1).mapInArrow(run, "fitted binary").collect()
+    arrays, thresholds = pickle.loads(found[0]["fitted"]) if found else _fit_sample(None, usual)
+    return Toxicity(Classifier(*arrays), thresholds, usual)
+
+
+def _fit_sample(table: pa.Table | None, usual: float) -> tuple[tuple, dict[str, float]]:
+    """The parts of a classifier, and thresholds by language, from rows (text, lang, toxic)."""
+    columns = [table.column(c).to_pylist() if table is not None else [] for c in ("text", "lang", "toxic")]
+    texts = [t.encode() for t in columns[0]]
+    lang, toxic = np.array([x or "" for x in columns[1]], object), np.array(columns[2], np.int64)
     check = np.arange(len(texts)) % 5 == 4
     model = train([t for t, c in zip(texts, check, strict=True) if not c], toxic[~check])
     thresholds = {}
@@ -242,7 +253,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, usua
             own = lang[check] == name
             if toxic[check][own].sum() >= 20:
                 thresholds[name] = calibrate(scores[own], toxic[check][own], usual)
-    return Toxicity(model, thresholds, usual)
+    return tuple(vars(model).values()), thresholds
 
 
 def _scores(model: Classifier, batch: pa.RecordBatch) -> np.ndarray:
