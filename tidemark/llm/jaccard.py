@@ -64,8 +64,8 @@ class Rule:
         return d + 2 + -(-d // 16)
 
     def words(self, size: int) -> int:
-        """Words of a parity sketch, of 64 bits for 40 shingles."""
-        return max(4, -(-size // 40))
+        """Words of a parity sketch, of 64 bits for 24 shingles."""
+        return max(4, -(-size // 24))
 
     def linked(self, common: int, a: int, b: int) -> bool:
         return self.over * common >= self.share * (a + b - common)
