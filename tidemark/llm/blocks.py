@@ -102,40 +102,62 @@ def unpack_sorted(data: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view("<u4").ravel(), dtype=np.uint32)
 
 
-PACKED_DOCS = "block int, ids binary, lengths binary, texts binary"
+PACKED_DOCS = "block int, ids binary, lengths binary, texts binary, rest binary"
 
 
-def pack_documents(docs: DataFrame, blocks: int) -> DataFrame:
-    """Whole documents by block, compressed: a few rows per task and block."""
+def pack_documents(docs: DataFrame, blocks: int, *more: str) -> DataFrame:
+    """Whole documents by block, compressed: a few rows per task and block.
 
-    def run(batches):
-        for ids, buf, offsets in chunks(batches, 4 * CHUNK_BYTES):
-            block = block_of(ids, blocks)
-            order = np.argsort(block, kind="stable")
-            lengths = np.diff(offsets)
-            rows = []
-            for b, lo, hi in groups(block[order]):
-                mine = order[lo:hi]
-                text = b"".join(buf[offsets[i] : offsets[i + 1]].tobytes() for i in mine)
-                rows.append((b, ids[mine].tobytes(), lengths[mine].tobytes(), squeeze(text)))
-            yield arrow_rows(PACKED_DOCS, rows)
+    Columns named by `more` go along.
+    """
 
-    return texts_only(docs).mapInArrow(run, PACKED_DOCS)
+    def run(batches):
+        for batch in batches:
+            ids = ids_of(batch.column("doc_id"))
+            for rows, buf, offsets in cut(np.arange(len(ids)), *bytes_of(batch.column("text")), 4 * CHUNK_BYTES):
+                block = block_of(ids[rows], blocks)
+                order = np.argsort(block, kind="stable")
+                lengths = np.diff(offsets)
+                out = []
+                for b, lo, hi in groups(block[order]):
+                    mine = order[lo:hi]
+                    text = b"".join(buf[offsets[i] : offsets[i + 1]].tobytes() for i in mine)
+                    rest = _ipc(batch.select(more).take(pa.array(rows[mine]))) if more else b""
+                    out.append((b, ids[rows[mine]].tobytes(), lengths[mine].tobytes(), squeeze(text), rest))
+                yield arrow_rows(PACKED_DOCS, out)
+
+    return texts_only(docs, *more).mapInArrow(run, PACKED_DOCS)
+
+
+def _ipc(batch: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as writer:
+        writer.write_batch(batch)
+    return squeeze(sink.getvalue().to_pybytes())
+
+
+def _packed_rows(table: pa.Table) -> list[tuple]:
+    """Rows in an order that doesn't depend on how they arrived.
+
+    So a block that is worked on again, or after a lost executor, gives the same
+    numbering.
+    """
+    return sorted(zip(*(table.column(c).to_pylist() for c in ("ids", "lengths", "texts", "rest")), strict=True))
 
 
 def unpack_documents(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(ids, bytes, offsets) chunks of a block, ordered by content of the rows.
-
-    The order doesn't depend on how the rows arrived, so a block that is
-    worked on again, or after a lost executor, gives the same numbering.
-    """
-    rows = sorted(zip(*(table.column(c).to_pylist() for c in ("ids", "lengths", "texts")), strict=True))
-    for ids, lengths, texts in rows:
+    """(ids, bytes, offsets) chunks of a block."""
+    for ids, lengths, texts, _ in _packed_rows(table):
         sizes = np.frombuffer(lengths, np.int64)
         offsets = np.r_[0, np.cumsum(sizes)]
         yield from cut(np.frombuffer(ids, np.int64), np.frombuffer(expand(texts), np.uint8), offsets)
 
 
+def unpack_rest(table: pa.Table) -> pa.Table:
+    """The columns that went along, in the order of the documents."""
+    return pa.concat_tables(pa.ipc.open_stream(expand(r[3])).read_all() for r in _packed_rows(table))
+
+
 _TYPES = {
     "int": pa.int32(),
     "long": pa.int64(),

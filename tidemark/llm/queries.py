@@ -104,7 +104,7 @@ FROM d LEFT JOIN g USING (doc_id)
 @query("op8_substring_automata", _OP8_SQL)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of 20 words that start earlier somewhere."""
-    return remove_repeated_spans(table(spark, sf_dir, "documents"), 20, keep_text=False).drop("text_sha256", "new_text")
+    return remove_repeated_spans(table(spark, sf_dir, "documents"), 20, keep_text=False).drop("new_text")
 
 
 #: Where the public vocabularies lie; the operators take them as a parameter.

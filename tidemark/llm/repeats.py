@@ -33,6 +33,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm.blocks import (
     arrow_rows,
@@ -47,6 +48,7 @@ from tidemark.llm.blocks import (
     squeeze,
     texts_only,
     unpack_documents,
+    unpack_rest,
     unpack_sorted,
 )
 from tidemark.llm.hashing import (
@@ -430,11 +432,16 @@ def remove_repeats(
     resolve: Callable[[Contexts, np.ndarray], Found],
     finish: Callable[[Chunk, np.ndarray], Iterator[tuple]],
     ddl: str,
+    more: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Rows that `finish` gives for each chunk and its covered symbols."""
+    """Rows that `finish` gives for each chunk and its covered symbols, one a document.
+
+    Columns of the documents named by `more` go along.
+    """
     blocks = spread(docs.sparkSession)
     repeated = stage(_repeated(_anchors(docs, how, blocks)), "repeated")
     packed = pack_documents(docs, blocks)
+    schema = T.StructType([*T.StructType.fromDDL(ddl).fields, *(docs.schema[c] for c in more)])
     firsts = stage(_firsts(_contexts(packed, repeated, how, blocks), how, resolve), "firsts")
     told = repeated.select("block", "bucket", "lows", "heavy", *(F.lit(None).cast("binary").alias(c) for c in ("numbers", "froms", "tos", "docs", "places")))
     told = told.unionByName(firsts, allowMissingColumns=True)
@@ -445,6 +452,12 @@ def remove_repeats(
         r = _block_ranges(held, right.filter(is_key), blocks)
         covered = _covered(r, held, how, right.filter(pa.compute.invert(is_key)))
         rows = [x for chunk, mask in zip(held, covered, strict=True) for x in finish(chunk, mask)]
-        return pa.Table.from_batches([arrow_rows(ddl, rows)])
-
-    return packed.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(run, ddl)
+        out = pa.Table.from_batches([arrow_rows(ddl, rows)])
+        if more and left.num_rows:
+            rest = unpack_rest(left)
+            for c in more:
+                out = out.append_column(c, rest.column(c))
+        return out
+
+    packed = pack_documents(docs, blocks, *more) if more else packed
+    return packed.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(run, schema)

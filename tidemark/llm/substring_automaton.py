@@ -127,7 +127,7 @@ def _resolver(length: int):
     return resolve
 
 
-RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, text_sha256 string, new_text string"
+RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, new_text string"
 
 
 def _finish(keep_text: bool):
@@ -147,7 +147,6 @@ def _finish(keep_text: bool):
                 hi - lo,
                 removed,
                 hashlib.sha256(kept).hexdigest(),
-                hashlib.sha256(text).hexdigest() if keep_text else None,
                 (kept if removed else text).decode("utf-8", "replace") if keep_text else None,
             )
 
@@ -158,37 +157,27 @@ def without_repeated_spans(docs: DataFrame, length: int = 20) -> DataFrame:
     """The documents with `remove_repeated_spans` carried out on their texts.
 
     All columns stay; n_chars, if there is one, follows the text. Documents of
-    which nothing is left go. Texts move once, as results: the other columns
-    are joined by id and checksum of the text, so rows that repeat an id find
-    their own.
+    which nothing is left go. The other columns travel with the texts, so
+    nothing is joined.
     """
-    columns = [c for c in docs.columns if c != "text"]
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rest = docs.select(
-        F.struct(*columns).alias("rest"),
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"),
-        F.sha2(text.cast("binary"), 256).alias("sha256"),
-        F.col("text").isNull().alias("missing"),
-    )
-    found = remove_repeated_spans(docs, length).where("n_words = 0 OR n_removed < n_words").select(
-        F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.col("text_sha256").alias("sha256"), "n_removed", "new_text"
-    )
-    found = found.dropDuplicates(["id", "sha256"])
-    joined = rest.join(found, ["id", "sha256"])
-    cut = F.col("n_removed") > 0
+    row = F.struct(*(c for c in docs.columns if c != "text"))
+    rows = docs.select("doc_id", "text", F.struct(row.alias("row"), F.col("text").isNull().alias("missing")).alias("rest"))
+    found = remove_repeated_spans(rows, length, more=("rest",)).where("n_words = 0 OR n_removed < n_words")
     out = []
     for c in docs.columns:
+        held = F.col("rest").getField("row").getField(c)
         if c == "text":
-            out.append(F.when(~F.col("missing"), F.col("new_text")).alias(c))
+            held = F.when(~F.col("rest").getField("missing"), F.col("new_text"))
         elif c == "n_chars":
-            kind = docs.schema[c].dataType
-            out.append(F.when(cut, F.char_length("new_text")).otherwise(F.col("rest").getField(c)).cast(kind).alias(c))
-        else:
-            out.append(F.col("rest").getField(c).alias(c))
-    return joined.select(*out)
+            length_now = F.char_length("new_text").cast(docs.schema[c].dataType)
+            held = F.when(F.col("n_removed") > 0, length_now).otherwise(held)
+        out.append(held.alias(c))
+    return found.select(*out)
 
 
-def remove_repeated_spans(docs: DataFrame, length: int = 20, keep_text: bool = True) -> DataFrame:
+def remove_repeated_spans(
+    docs: DataFrame, length: int = 20, keep_text: bool = True, more: tuple[str, ...] = ()
+) -> DataFrame:
     """Remove spans of `length` or more words that occur earlier.
 
     Takes a table with doc_id and text; other columns don't matter. Words are
@@ -196,8 +185,8 @@ def remove_repeated_spans(docs: DataFrame, length: int = 20, keep_text: bool = T
     covers it that also starts earlier: in a document with a smaller doc_id, or
     before it in the same one. Returns a row per input row: doc_id, n_words,
     n_removed, kept_sha256 (of the kept words joined by one space) and, with
-    `keep_text`, text_sha256 (of the text before) and new_text: the text as it
-    was if nothing is removed, else the kept words joined by one space.
+    `keep_text`, new_text: the text as it was if nothing is removed, else the
+    kept words joined by one space. Columns named by `more` are passed through.
 
     A null text has no words. Rows without doc_id count as one document after
     all others. Rows that repeat a doc_id are the same document. An empty table
@@ -209,4 +198,4 @@ def remove_repeated_spans(docs: DataFrame, length: int = 20, keep_text: bool = T
     something, however large the reference is.
     """
     how = Reading(words=True, length=length, gram=max(1, min(5, length)), within=True)
-    return remove_repeats(docs, how, _resolver(length), _finish(keep_text), RESULT)
+    return remove_repeats(docs, how, _resolver(length), _finish(keep_text), RESULT, more)
