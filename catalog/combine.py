@@ -88,7 +88,7 @@ spliced AS (
   SELECT {_K}, ts, value, qc FROM (
     SELECT *, 0 AS src FROM older UNION ALL SELECT *, 1 AS src FROM levels)
   QUALIFY row_number() OVER (PARTITION BY {_K}, ts
-                             ORDER BY src, value NULLS FIRST, qc NULLS FIRST) = 1)"""
+                             ORDER BY src, qc IS NOT DISTINCT FROM 'v' DESC, value IS NULL, value, qc) = 1)"""
 
 
 @query("splice_hourly", f"WITH {OBS_HOURLY},\n{SPLICE_SQL}\nSELECT * FROM spliced")
@@ -122,7 +122,7 @@ inside AS (
   SELECT f.* FROM fresh f JOIN span s ON s.station_id = f.station_id AND s.variable = f.variable
   WHERE CAST(f.ts AS DATE) BETWEEN s.a AND s.b
   QUALIFY row_number() OVER (PARTITION BY f.station_id, f.variable, f.ts
-                             ORDER BY f.value NULLS FIRST) = 1)
+                             ORDER BY f.qc IS NOT DISTINCT FROM 'v' DESC, f.value IS NULL, f.value) = 1)
 SELECT o.station_id, o.variable, o.ts, coalesce(i.value, o.value) AS value,
        coalesce(i.qc, o.qc) AS qc
 FROM obs o LEFT JOIN inside i
@@ -172,7 +172,7 @@ SELECT * FROM fresh f WHERE NOT EXISTS (
   SELECT 1 FROM stored s WHERE s.station_id = f.station_id AND s.ts = f.ts)""",
 )
 def append_new(spark, sf_dir):
-    return C.append_new(*stored_and_new(spark, sf_dir))
+    return C.append_new(*stored_and_new(spark, sf_dir), "ts")
 
 
 @query(
@@ -195,7 +195,7 @@ SELECT station_id, bool_or(NOT EXISTS (
 FROM fresh f GROUP BY station_id""",
 )
 def has_new_data(spark, sf_dir):
-    return C.has_new_data(*stored_and_new(spark, sf_dir))
+    return C.has_new_data(*stored_and_new(spark, sf_dir), "ts")
 
 
 @query(

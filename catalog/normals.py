@@ -17,7 +17,7 @@ from catalog.base import (
     rounded,
     stat_sql,
 )
-from tidemark.operators import climatology as S
+from tidemark.operators import normals as S
 
 _K = "station_id, variable"
 

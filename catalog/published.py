@@ -29,7 +29,7 @@ from catalog.combine import ntz
 from tidemark.dimensions import station_units
 from tidemark.operators import analysis as A
 from tidemark.operators import published as P
-from tidemark.operators.climatology import daily_stats, data_range, monthly_stats
+from tidemark.operators.normals import daily_stats, data_range, monthly_stats
 from tidemark.operators.quality import daily_table
 from tidemark.schemas import DAILY_STATS, MONTHLY_STATS, WATER_LEVEL, record_names
 

@@ -103,8 +103,8 @@ def test_append_by_time_drops_a_late_variable(spark):
         ("s", LEVEL, "2020-01-01 01:00", 3.0, "v"),
         ("t", AIR, "2020-01-01 00:00", 4.0),
     ])
-    assert C.append_new(old, new).count() == 3
-    assert C.append_new(old, new, "ts,variable").count() == 4
+    assert C.append_new(old, new, "ts").count() == 3
+    assert C.append_new(old, new).count() == 4
     assert {r.station_id: r.has_new for r in C.has_new_data(old, new).collect()} == {"s": True, "t": True}
     assert not C.has_new_data(old, old).first().has_new
 
@@ -149,5 +149,17 @@ def test_append_against_brute_force(spark, old, new):
 
     seen = {h for _, h in old}
     want = rows(old) + rows({k: x for k, x in new.items() if k[1] not in seen})
-    result = C.append_new(obs(spark, rows(old)), obs(spark, rows(new)))
+    result = C.append_new(obs(spark, rows(old)), obs(spark, rows(new)), "ts")
     assert [r[:4] for r in got(result)] == sorted(want, key=repr)
+
+
+def test_one_reading_per_time_prefers_verified_then_present(spark):
+    rows = [
+        ("s", LEVEL, "2020-01-01 00:00", 4.0, "p"), ("s", LEVEL, "2020-01-01 00:00", 40.0, "v"),
+        ("s", LEVEL, "2020-01-01 01:00", None, "p"), ("s", LEVEL, "2020-01-01 01:00", 7.0, "v"),
+        ("s", LEVEL, "2020-01-01 02:00", None, "p"), ("s", LEVEL, "2020-01-01 02:00", 5.0, "p"),
+    ]
+    got = {r.ts.hour: (r.value, r.qc) for r in C.one_per_time(obs(spark, rows)).collect()}
+    assert got == {0: (40.0, "v"), 1: (7.0, "v"), 2: (5.0, "p")}
+    wide = {r.ts.hour: (r[LEVEL], r[f"{LEVEL} QC"]) for r in C.assemble_variables(obs(spark, rows), [LEVEL]).collect()}
+    assert wide == got

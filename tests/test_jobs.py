@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.helpers import AIR, LEVEL, day_rows, obs
-from tidemark.operators.climatology import daily_stats, monthly_stats
+from tidemark.operators.normals import daily_stats, monthly_stats
 from tidemark.operators.quality import daily_summary, daily_table
 from tidemark.plans import jobs
 from tidemark.plans.store import Store

@@ -2,7 +2,7 @@ import datetime as dt
 import random
 
 from tests.helpers import AIR, LEVEL, brute_year_of, daily_frame
-from tidemark.operators import climatology as S
+from tidemark.operators import normals as S
 from tidemark.schemas import DAILY_STATS, MONTHLY_STATS
 
 

@@ -5,11 +5,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.helpers import AIR, LEVEL, daily_frame
-from tests.test_climatology import random_days
+from tests.test_normals import random_days
 from tidemark.dimensions import station_units
 from tidemark.operators import analysis as A
 from tidemark.operators import published as P
-from tidemark.operators.climatology import daily_stats, data_range, monthly_stats
+from tidemark.operators.normals import daily_stats, data_range, monthly_stats
 from tidemark.schemas import DAILY_STATS, record_names
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tests.helpers import AIR, LEVEL, daily_frame
 from tidemark.operators import curves as V
 from tidemark.operators import trend as R
-from tidemark.operators.climatology import daily_stats, monthly_stats
+from tidemark.operators.normals import daily_stats, monthly_stats
 
 
 def month(i, first=(1990, 1)):

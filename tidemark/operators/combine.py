@@ -27,19 +27,33 @@ def assemble_variables(obs: DataFrame, variables: list[str]) -> DataFrame:
     Times are the union over all variables. `variables` is explicit, so no
     extra job has to look for the column names. Water level brings its QC mark.
     """
-    columns = [
-        F.min(F.when(F.col(VARIABLE) == v, F.col("value"))).alias(v) for v in variables
-    ]
+    picks = {v: F.min(F.when(F.col(VARIABLE) == v, _preference())) for v in variables}
+    wide = obs.where(F.col(VARIABLE).isin(variables)).groupBy(STATION, "ts")
+    wide = wide.agg(*(pick.alias(v) for v, pick in picks.items()))
+    columns = [F.col(f"`{v}`.value").alias(v) for v in variables]
     if WATER_LEVEL in variables:
-        qc = F.min(F.when(F.col(VARIABLE) == WATER_LEVEL, F.col("qc")))
-        columns.append(qc.alias(f"{WATER_LEVEL} QC"))
-    return obs.where(F.col(VARIABLE).isin(variables)).groupBy(STATION, "ts").agg(*columns)
+        columns.append(F.col(f"`{WATER_LEVEL}`.qc").alias(f"{WATER_LEVEL} QC"))
+    return wide.select(STATION, "ts", *columns)
+
+
+def _preference(rank: Column | None = None) -> Column:
+    """Readings of one time in order of preference: the least struct counts.
+
+    Lowest rank first, then verified before other readings, present before
+    missing ones, then the lowest value. Value and mark stay together.
+    """
+    return F.struct(
+        (F.lit(0) if rank is None else rank).alias("rank"),
+        F.when(F.col("qc") == "v", 0).otherwise(1).alias("unverified"),
+        F.col("value").isNull().alias("missing"),
+        "value",
+        "qc",
+    )
 
 
 def one_per_time(obs: DataFrame, rank: Column | None = None) -> DataFrame:
-    """One row per station, variable and time: lowest rank, then lowest value."""
-    rank = F.lit(0) if rank is None else rank
-    pick = F.min(F.struct(rank.alias("rank"), "value", "qc")).alias("pick")
+    """One row per station, variable and time, by rank and `_preference`."""
+    pick = F.min(_preference(rank)).alias("pick")
     return obs.groupBy(*_AT).agg(pick).select(*_AT, "pick.value", "pick.qc")
 
 
@@ -120,8 +134,8 @@ def lay_over(obs: DataFrame, fresh: DataFrame) -> DataFrame:
     )
 
 
-def unseen_rows(obs: DataFrame, new: DataFrame, append_key: str = "ts") -> DataFrame:
-    """New rows whose time the station does not hold yet.
+def unseen_rows(obs: DataFrame, new: DataFrame, append_key: str = "ts,variable") -> DataFrame:
+    """New rows whose time, of their variable, the station does not hold yet.
 
     The stored side is only probed for the new times (a semi join with the
     small side as build side), and the anti join then works on small data.
@@ -131,17 +145,17 @@ def unseen_rows(obs: DataFrame, new: DataFrame, append_key: str = "ts") -> DataF
     return new.join(known, keys, "left_anti")
 
 
-def append_new(obs: DataFrame, new: DataFrame, append_key: str = "ts") -> DataFrame:
+def append_new(obs: DataFrame, new: DataFrame, append_key: str = "ts,variable") -> DataFrame:
     """Stored rows plus the new rows at unseen times.
 
-    With ``append_key='ts'`` a time counts as seen once any variable has it, so
-    a variable that arrives late for a known time is dropped;
-    ``'ts,variable'`` accepts it.
+    A variable that arrives late for a known time is new. With
+    ``append_key='ts'`` a time counts as seen once any variable has it, and the
+    late variable is dropped.
     """
     return obs.unionByName(unseen_rows(obs, new, append_key).select(*obs.columns))
 
 
-def has_new_data(obs: DataFrame, new: DataFrame, append_key: str = "ts") -> DataFrame:
+def has_new_data(obs: DataFrame, new: DataFrame, append_key: str = "ts,variable") -> DataFrame:
     """For each station in `new`: does it bring any unseen time?"""
     stations = new.select(STATION).distinct()
     fresh = unseen_rows(obs, new, append_key).select(STATION).distinct()

@@ -118,7 +118,7 @@ def new_records(old: DataFrame, new: DataFrame, units: DataFrame | None = None)
     else:
         changed = changed.join(units.select(*KEYS, "unit"), KEYS, "left")
     words = F.replace(F.col("record"), F.lit("_"), F.lit(" "))
-    title = F.concat(F.upper(F.substring(words, 1, 1)), F.substring(words, 2, 100))
+    title = F.concat(F.upper(F.substring(words, 1, 1)), F.substr(words, F.lit(2)))
 
     def shown(c: str) -> Column:
         number = F.coalesce(round_half_even(c, 3).cast("string"), F.lit("nan"))

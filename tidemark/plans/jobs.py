@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import validate_config
-from tidemark.operators.climatology import daily_stats, monthly_stats
+from tidemark.operators.normals import daily_stats, monthly_stats
 from tidemark.operators.combine import (
     last_obs_of_days,
     lay_over,
@@ -102,6 +102,7 @@ def initial_load(
         raise ValueError("a station is loaded already; pass redownload=True to replace it")
     # The record does not depend on the store, so it is written straight to it
     # and read back once, for the daily table; the rest follows from that.
+    record = one_per_time(record.select(*OBSERVATIONS.fieldNames()))
     store.put_observations(record.join(stations, STATION, "left_semi"))
     if redownload:
         store.drop_years_without(station_years(record), stations)
@@ -135,7 +136,7 @@ def _overlay(store: Store, batch: DataFrame) -> None:
 
 
 def update_data(
-    store: Store, batch: DataFrame, as_of: date, append_key: str = "ts"
+    store: Store, batch: DataFrame, as_of: date, append_key: str = "ts,variable"
 ) -> bool:
     """Refresh the record with newly landed observations.
 

@@ -35,6 +35,7 @@ def refresh_on_landing(
     checkpoint: str,
     as_of: date,
     fmt: str = "csv",
+    append_key: str = "ts,variable",
 ) -> StreamingQuery:
     """Process everything that has landed, then stop.
 
@@ -46,7 +47,7 @@ def refresh_on_landing(
     streams = [landed_stream(store, path, product, fmt) for product, path in landing.items()]
 
     def refresh(batch: DataFrame, _: int) -> None:
-        update_data(store, batch, as_of)
+        update_data(store, batch, as_of, append_key)
         update_stats(store)
 
     return (
