@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.blocks import arrow_rows, bytes_of, cut, ids_back, ids_of, texts_only
+from tidemark.llm.blocks import CHUNK_BYTES, arrow_rows, bytes_of, cut, ids_back, ids_of, texts_only
 from tidemark.llm.hashing import byte_codes, lower, mix, prefix_sums, spans_of, symbol_grams
 
 #: Edits allowed, as a share of the item's words.
@@ -270,7 +270,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, share: float = EDITS) -> D
             for batch in batches:
                 ids = ids_of(batch.column("doc_id"))
                 buf, offsets = bytes_of(batch.column("text"))
-                for own, part, at in cut(ids, buf, offsets):
+                for own, part, at in cut(ids, buf, offsets, CHUNK_BYTES // 2):
                     found = find_items(*words(part, at), items, embedding)
                     doc = ids_back(own[[f[0] for f in found]] if found else own[:0]).to_pylist()
                     yield arrow_rows(
@@ -296,7 +296,7 @@ def remove_leaks(docs: DataFrame, benchmark: DataFrame, share: float = EDITS) ->
             for batch in batches:
                 buf, offsets = bytes_of(batch.column("text"))
                 clean = np.ones(batch.num_rows, bool)
-                for rows, part, at in cut(np.arange(batch.num_rows), buf, offsets):
+                for rows, part, at in cut(np.arange(batch.num_rows), buf, offsets, CHUNK_BYTES // 2):
                     clean[rows[[f[0] for f in find_items(*words(part, at), items, embedding)]]] = False
                 yield batch.filter(pa.array(clean))
 

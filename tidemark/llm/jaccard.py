@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.blocks import (
+    CHUNK_BYTES,
     NO_ID,
     arrow_rows,
     arrow_schema,
@@ -148,7 +149,7 @@ def sketches(docs: DataFrame, rule: Rule) -> DataFrame:
     schema = arrow_schema(SKETCHES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, buf, offsets in chunks(batches):
+        for ids, buf, offsets in chunks(batches, CHUNK_BYTES // 2):
             hashes, bounds = shingle_sets(buf, offsets, rule.k)
             n, signs, bands, words = np.diff(bounds), _signs(hashes, bounds), [], []
             for i, size in enumerate(n.tolist()):
@@ -234,7 +235,7 @@ def _postings(docs: DataFrame, rule: Rule, buckets: int) -> DataFrame:
     """Part keys of all different sets, packed by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, buf, offsets in chunks(batches):
+        for ids, buf, offsets in chunks(batches, CHUNK_BYTES // 2):
             hashes, bounds = shingle_sets(buf, offsets, rule.k)
             signs = _signs(hashes, bounds)
             # Equal sets are one class already; their first one stands for them.
@@ -411,7 +412,7 @@ def _verify(docs: DataFrame, pairs: DataFrame, rule: Rule, work: Workspace) -> D
     ddl = "doc long, hashes binary"
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for own, buf, offsets in chunks(batches):
+        for own, buf, offsets in chunks(batches, CHUNK_BYTES // 2):
             hashes, bounds = shingle_sets(buf, offsets, rule.k)
             yield arrow_rows(ddl, [(i, hashes[a:b].tobytes()) for i, a, b in zip(own.tolist(), bounds[:-1], bounds[1:], strict=True)])
 
