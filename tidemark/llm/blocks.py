@@ -7,6 +7,7 @@ destinations, `spread(spark)`, which follows `spark.sql.shuffle.partitions`.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -53,6 +54,19 @@ def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf[at[0] : at[-1]], at - at[0]
 
 
+def give_back() -> None:
+    """Return freed memory to the system.
+
+    Spark keeps Python workers for later tasks; what one stage has freed would
+    otherwise stay with them and add to what the next stages need.
+    """
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # Not glibc.
+        pass
+
+
 def cut(ids: np.ndarray, buf: np.ndarray, offsets: np.ndarray, limit: int = CHUNK_BYTES):
     """Consecutive documents of at most `limit` bytes together, one at least."""
     at, n = 0, len(ids)
@@ -60,6 +74,7 @@ def cut(ids: np.ndarray, buf: np.ndarray, offsets: np.ndarray, limit: int = CHUN
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1)
         yield ids[at:to], buf[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
         at = to
+    give_back()
 
 
 def chunks(batches: Iterable[pa.RecordBatch], limit: int = CHUNK_BYTES) -> Iterator[tuple]:

@@ -27,6 +27,7 @@ from tidemark.llm.blocks import (
     arrow_schema,
     chunks,
     expand,
+    give_back,
     groups,
     pack_sorted,
     spread,
@@ -272,6 +273,7 @@ def _stars(postings: DataFrame) -> DataFrame:
     """For documents that meet under a key, the smallest of them, and each of them with it."""
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        give_back()
         lows, docs, bands = [], [], []
         for a, b, c in zip(*(table.column(n).to_pylist() for n in ("lows", "docs", "bands")), strict=True):
             lows.append(unpack_sorted(a))

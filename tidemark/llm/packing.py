@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.blocks import arrow_schema, ids_back, ids_of, texts_only
+from tidemark.llm.blocks import arrow_schema, give_back, ids_back, ids_of, texts_only
 from tidemark.shared import stage
 
 WINDOW = 2048
@@ -263,5 +263,6 @@ def pack(docs: DataFrame, ranks: dict[bytes, int], pattern: str, special: int, w
                 schema=schema,
             )
             first += int(sequence.max()) + 1
+            give_back()
 
     return tokens.mapInArrow(run, PIECES)

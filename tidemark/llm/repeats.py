@@ -41,6 +41,7 @@ from tidemark.llm.blocks import (
     block_of,
     chunks,
     expand,
+    give_back,
     groups,
     pack_documents,
     pack_sorted,
@@ -167,6 +168,7 @@ def _repeated(anchors: DataFrame) -> DataFrame:
     """For each block, its minimizers that occur more than once anywhere."""
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        give_back()
         lows, blocks, twice = [], [], []
         for a, b, c in zip(*(table.column(n).to_pylist() for n in ("lows", "blocks", "twice")), strict=True):
             lows.append(unpack_sorted(a))
@@ -354,6 +356,7 @@ def _firsts(contexts: DataFrame, how: Reading, resolve: Callable[[Contexts, np.n
     """Where windows occur first, told to the blocks that have them later."""
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        give_back()
         c = _read_contexts(table, how)
         # A key with one context only needs no closer look.
         _, where, count = np.unique(c.key, return_inverse=True, return_counts=True)
