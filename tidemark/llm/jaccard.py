@@ -352,6 +352,7 @@ def _cross_pairs(doc: np.ndarray, component: np.ndarray, words: np.ndarray, side
     return out
 
 
+_FOUND = "band int, center long, a long, b long"
 _PACKED = "band int, center long, own int, docs binary, components binary, words binary"
 
 
@@ -362,7 +363,7 @@ def _members_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _rest_pairs(members: DataFrame, rule: Rule, buckets: int, forest: bool) -> DataFrame:
-    """Pairs within stars, between components, whose sketches allow a link.
+    """Pairs (band, center, a, b) within stars, between components, whose sketches allow a link.
 
     `members` are rows (band, center, doc, component, words, held); held is the
     size of the star. A star of more than STAR_ROWS is cut into blocks, which
@@ -373,11 +374,12 @@ def _rest_pairs(members: DataFrame, rule: Rule, buckets: int, forest: bool) -> D
         table = table.sort_by([("band", "ascending"), ("center", "ascending"), ("doc", "ascending")])
         band, center = table.column("band").to_numpy(), table.column("center").to_numpy()
         at = np.flatnonzero(np.r_[True, (band[1:] != band[:-1]) | (center[1:] != center[:-1])])
-        out: set[tuple[int, int]] = set()
+        out: list[tuple[int, int, int, int]] = []
         for i, j in zip(at.tolist(), [*at[1:].tolist(), len(band)], strict=True):
             most = rule.differing(band_sizes(int(band[i]))[1])
-            out.update(_cross_pairs(*_members_of(table.slice(i, j - i)), None, most, forest))
-        return pa.Table.from_batches([arrow_rows(_PAIRS, sorted(out))])
+            star = int(band[i]), int(center[i])
+            out.extend((*star, a, b) for a, b in _cross_pairs(*_members_of(table.slice(i, j - i)), None, most, forest))
+        return pa.Table.from_batches([arrow_rows(_FOUND, out)])
 
     def packed(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         table = table.sort_by("doc")
@@ -391,7 +393,8 @@ def _rest_pairs(members: DataFrame, rule: Rule, buckets: int, forest: bool) -> D
         words = np.frombuffer(b"".join(r[3] for r in rows), np.uint64).reshape(len(doc), -1)
         side = np.repeat([r[0] for r in rows], [len(r[1]) // 8 for r in rows]) if len(rows) > 1 else None
         most = rule.differing(band_sizes(key[0].as_py())[1])
-        return pa.Table.from_batches([arrow_rows(_PAIRS, _cross_pairs(doc, component, words, side, most, forest))])
+        star = key[0].as_py(), key[1].as_py()
+        return pa.Table.from_batches([arrow_rows(_FOUND, [(*star, a, b) for a, b in _cross_pairs(doc, component, words, side, most, forest)])])
 
     few = members.where(F.col("held") <= STAR_ROWS).drop("held")
     few = few.withColumn("bucket", F.pmod(F.xxhash64("band", "center"), F.lit(buckets)))
@@ -402,9 +405,8 @@ def _rest_pairs(members: DataFrame, rule: Rule, buckets: int, forest: bool) -> D
     many = many.join(sizes, ["band", "center"]).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     many = many.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")}).drop("blocks", "other")
     return (
-        few.groupBy("bucket").applyInArrow(small, _PAIRS)
-        .unionByName(many.groupBy("band", "center", "low", "high").applyInArrow(large, _PAIRS))
-        .distinct()
+        few.groupBy("bucket").applyInArrow(small, _FOUND)
+        .unionByName(many.groupBy("band", "center", "low", "high").applyInArrow(large, _FOUND))
     )
 
 
@@ -485,8 +487,11 @@ def _near_duplicates(docs: DataFrame, rule: Rule) -> tuple[DataFrame, Workspace]
     for forest in (True, False):
         members = _mixed(stars, labels, work)
         members = members.join(words, (members["band"] == words["of_band"]) & (members["doc"] == words["of_doc"]))
-        more = _rest_pairs(members.select("band", "center", "doc", "component", "words", "held"), rule, buckets, forest)
-        more = work.stage(more.join(tested, ["a", "b"], "left_anti"), "pairs")
+        found = _rest_pairs(members.select("band", "center", "doc", "component", "words", "held"), rule, buckets, forest)
+        found = work.stage(found, "found")
+        # A star without such a pair has none either once components have grown.
+        stars = stars.join(found.select("band", "center").distinct(), ["band", "center"], "left_semi")
+        more = work.stage(found.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
         if more.isEmpty():
             continue
         links = links.unionByName(_verify(docs, more, rule, work))
