@@ -304,20 +304,30 @@ def _near(left: np.ndarray, right: np.ndarray, most: int) -> np.ndarray:
 _PAIRS = "a long, b long"
 
 
-def _star_pairs(rows: DataFrame, rule: Rule) -> DataFrame:
-    """Pairs of a star's center and member whose sketches allow a link."""
+def _near_stars(rows: DataFrame, rule: Rule) -> DataFrame:
+    """The stars' members whose words, or a part of them, allow a link with the center."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for band, center, doc, a, b in zip(*(batch.column(c).to_pylist() for c in ("band", "center", "doc", "words", "center_words")), strict=True):
-                most = rule.differing(band_sizes(band)[1])
+            kept = []
+            for band, a, b in zip(*(batch.column(c).to_pylist() for c in ("band", "words", "center_words")), strict=True):
                 x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-                if _near(x, y[None], most)[0]:
-                    out.append((min(center, doc), max(center, doc)))
-            yield arrow_rows(_PAIRS, out)
+                kept.append(bool(_near(x, y[None], rule.differing(band_sizes(band)[1]))[0]))
+            yield batch.select(["band", "center", "doc"]).filter(pa.array(kept, pa.bool_()))
+
+    return rows.select("band", "center", "doc", "words", "center_words").mapInArrow(run, _STARS)
 
-    return rows.mapInArrow(run, _PAIRS)
+
+def _star_pairs(stars: DataFrame, words: DataFrame, rule: Rule, work: Workspace) -> DataFrame:
+    """Pairs (a, b) of a star's center and member whose sketches allow a link.
+
+    A third of the words bounds the difference too and leaves few unlike pairs;
+    only for the others the whole sketches move.
+    """
+    lead = words.withColumn("words", F.expr("substring(words, 1, int(8 * ceil(length(words) / 24)))"))
+    near = work.stage(_near_stars(_with_words(stars, lead), rule), "near-stars")
+    near = _near_stars(_with_words(near, words), rule)
+    return near.select(F.least("center", "doc").alias("a"), F.greatest("center", "doc").alias("b")).distinct()
 
 
 def _cross_pairs(doc: np.ndarray, component: np.ndarray, words: np.ndarray, side: np.ndarray | None, most: int, forest: bool) -> list[tuple[int, int]]:
@@ -480,7 +490,7 @@ def _near_duplicates(docs: DataFrame, rule: Rule) -> tuple[DataFrame, Workspace]
     met = work.stage(rows_of(table, heads).join(classes, sign), "met")
     stars = _as_classes(stars, met, work)
     words = _words(met, rule, work)
-    pairs = work.stage(_star_pairs(_with_words(stars, words), rule).distinct(), "pairs")
+    pairs = work.stage(_star_pairs(stars, words, rule, work), "pairs")
     links = _verify(docs, pairs, rule, work).unionByName(work.stage(ties.distinct(), "ties"))
     labels = components(links, work)
     tested = pairs
