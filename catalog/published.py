@@ -186,9 +186,9 @@ def _new_records_sql(kind: str) -> str:
 rows AS ({parts})
 SELECT {_K}, {label}, record, value, year, old_value, old_year,
   CASE WHEN value IS DISTINCT FROM old_value THEN
-    upper(record[1]) || replace(record[2:], '_', ' ') || ' ' || lower(variable) || ' set '
-    || {label} || ' ' || year || ': ' || {_text('value')} || ' ' || {_UNIT} || ' (previously '
-    || {_text('old_value')} || ' ' || {_UNIT} || ' in '
+    upper(record[1]) || replace(record[2:], '_', ' ') || ' of ' || lower(variable) || ' on '
+    || {label} || ' is ' || {_text('value')} || ' ' || {_UNIT} || ' (' || year || '), was '
+    || {_text('old_value')} || ' ' || {_UNIT} || ' ('
     || coalesce(CAST(old_year AS VARCHAR), 'nan') || ')' END AS message
 FROM rows
 WHERE value IS NOT NULL
@@ -261,7 +261,7 @@ def daily_records_set(spark, sf_dir):
     return A.daily_records_set(stats_long(spark, sf_dir, "monthly"))
 
 
-_FIXED = _record_counts_sql(DAILY_STATS_LONG, DAILY_STATS, "1987", str(_YEAR))
+_FIXED = _record_counts_sql(DAILY_STATS_LONG, DAILY_STATS, "min(year)", str(_YEAR))
 _SERIES = " UNION ALL ".join(
     f"SELECT {_K}, year, '{n}' AS record, {n} AS n_records FROM filled"
     for n in record_names(DAILY_STATS)
@@ -316,7 +316,7 @@ def _shown(name: str, kind: str, value: str) -> str:
     "stats_table",
     f"""{DAILY_STATS_LONG},
 span AS (
-  SELECT {_K}, 'DATA RECORD: ' || strftime(min(date), '%-m/%-d/%Y') || ' - '
+  SELECT {_K}, 'Readings of ' || strftime(min(date), '%-m/%-d/%Y') || ' - '
          || strftime(max(date), '%-m/%-d/%Y') AS subtitle
   FROM days GROUP BY {_K})
 SELECT * FROM (
@@ -335,10 +335,9 @@ counts AS ({_THIS_LAST}),
 wanted AS (
   SELECT DISTINCT station_id, unnest(['Water Level', 'Wind Speed']) AS variable FROM obs)
 SELECT w.station_id, w.variable,
-  coalesce('As of today, ' || this_year || ' ' || lower(w.variable)
-    || ' record observations have been reported this year. Last year, ' || last_year
-    || ' records were reported.',
-    'Daily ' || lower(w.variable) || ' data are not available for this station.') AS heading
+  coalesce(lower(w.variable) || ', daily records: ' || this_year || ' from this year, '
+    || last_year || ' from the year before',
+    lower(w.variable) || ': no daily statistics here') AS heading
 FROM wanted w LEFT JOIN counts c ON c.station_id = w.station_id AND c.variable = w.variable""",
 )
 def stats_table_header(spark, sf_dir):

@@ -330,9 +330,9 @@ def trend_rates(spark, sf_dir):
 @query(
     "trend_title",
     f"""{TREND}, {_RATES}
-SELECT {_K}, 'RELATIVE WATER LEVEL TREND: ' || strftime(last_day(start_month), '%-m/%-d/%Y')
-  || ' - ' || strftime(last_day(end_month), '%-m/%-d/%Y') || ', ' || per_year || ' ft/yr or '
-  || per_century || ' ft in 100 years' AS heading
+SELECT {_K}, 'Trend of water level, ' || strftime(last_day(start_month), '%-m/%-d/%Y')
+  || ' - ' || strftime(last_day(end_month), '%-m/%-d/%Y') || ': ' || per_year || ' ft a year, '
+  || per_century || ' ft a century' AS heading
 FROM rates WHERE variable = 'Water Level'""",
 )
 def trend_title(spark, sf_dir):

@@ -90,7 +90,7 @@ def test_verified_levels_replace_preliminary_ones(spark, tmp_path):
     assert store.observations().where(F.col("value") == 99.0).isEmpty()
     report = jobs.update_stats(store)["daily"].where("record = 'record_high'").collect()
     assert [(r.date_label, r.value, r.old_value, r.year) for r in report] == [("04-Jan", 40.0, 4.0, 2020)]
-    assert "previously 4.0 ft in 2020" in report[0].message
+    assert "was 4.0 ft (2020)" in report[0].message
 
 
 def test_batches_of_unknown_stations_are_left_out(spark, tmp_path):

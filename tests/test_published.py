@@ -38,7 +38,7 @@ def test_new_records(spark):
     assert set(found) == {"record_high", "record_high_daily_average"}
     r = found["record_high"]
     assert (r.value, r.year, r.old_value, r.old_year) == (12.0, 2002, 10.0, 2000)
-    assert r.message == "Record high air temperature set 01-Jun 2002: 12.0 °F (previously 10.0 °F in 2000)"
+    assert r.message == "Record high of air temperature on 01-Jun is 12.0 °F (2002), was 10.0 °F (2000)"
 
 
 def test_new_records_same_year_and_first_time(spark):
@@ -47,9 +47,16 @@ def test_new_records_same_year_and_first_time(spark):
     found = {(r.date_label, r.record): r for r in P.new_records(old, new).collect()}
     r = found["01-Jun", "record_high"]
     assert (r.year, r.old_year) == (2000, 2000)
-    assert r.message == "Record high air temperature set 01-Jun 2000: 11.0 (previously 10.0 in 2000)"
+    assert r.message == "Record high of air temperature on 01-Jun is 11.0 (2000), was 10.0 (2000)"
     first = found["02-Jun", "record_low"]
-    assert first.old_value is None and "previously nan in nan" in first.message
+    assert first.old_value is None and "was nan (nan)" in first.message
+
+
+def test_tiny_change_of_an_extreme_is_a_change(spark):
+    old = stats_of(spark, [("s", AIR, "2000-06-01", 10.0, 5.0)])
+    new = stats_of(spark, [("s", AIR, "2000-06-01", 10.0 + 1e-12, 5.0)])
+    assert {r.record for r in P.new_records(old, new).collect()} == {"record_high", "lowest_high"}
+    assert P.stats_changed(old, new).first().changed
 
 
 def test_new_records_year_only_has_no_message(spark):
@@ -127,6 +134,9 @@ def test_record_counts_fill_empty_years(spark):
     assert [r.year for r in A.daily_records_set(stats).orderBy("year").collect()] == [2000, 2004]
     series = A.annual_record_series(stats, 2005, 1999).where("record = 'record_low'").orderBy("year")
     assert [r.n_records for r in series.collect()] == [0, 1, 0, 0, 0, 1, 0]
+    old = stats_of(spark, [("s", AIR, "1950-06-01", 1.0, 0.0)])
+    years = A.annual_record_series(old, 1952).where("record = 'record_low'").orderBy("year").collect()
+    assert [(r.year, r.n_records) for r in years] == [(1950, 1), (1951, 0), (1952, 0)]
 
 
 def test_this_and_last_year_and_flags(spark):
@@ -142,14 +152,12 @@ def test_stats_table_and_header(spark):
     d = daily_frame(spark, BASE)
     stats = daily_stats(d)
     table = A.stats_table(stats, data_range(d), LEVEL).where("date_label = '01-Jun'").first()
-    assert (table.record_high, table.subtitle) == (1.23, "DATA RECORD: 6/1/2000 - 6/1/2000")
+    assert (table.record_high, table.subtitle) == (1.23, "Readings of 6/1/2000 - 6/1/2000")
     assert A.stats_table(stats, data_range(d), "Salinity").isEmpty()
     wanted = spark.createDataFrame([("s", AIR), ("s", "Salinity")], "station_id string, variable string")
     text = {r.variable: r.heading for r in A.table_header(wanted, stats, 2001).collect()}
-    assert text[AIR] == (
-        "As of today, 2 air temperature record observations have been reported this year. "
-        "Last year, 4 records were reported.")
-    assert text["Salinity"] == "Daily salinity data are not available for this station."
+    assert text[AIR] == "air temperature, daily records: 2 from this year, 4 from the year before"
+    assert text["Salinity"] == "salinity: no daily statistics here"
 
 
 def test_today_value(spark):

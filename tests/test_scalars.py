@@ -63,14 +63,6 @@ def test_yearday366(spark, day, expected):
     assert values(spark, f.yearday366(F.to_date("x")), [day]) == [expected]
 
 
-def test_labels(spark):
-    days = [tuple(r) for r in f.day_labels(spark).orderBy("yearday").collect()]
-    assert len(days) == 366
-    assert days[0] == (1, "01-Jan") and days[59] == (60, "29-Feb") and days[-1] == (366, "31-Dec")
-    months = [r.month_label for r in f.month_labels(spark).orderBy("month").collect()]
-    assert months == "Jan Feb Mar Apr May Jun Jul Aug Sep Oct Nov Dec".split()
-
-
 def test_format_date_and_range(spark):
     assert values(spark, f.format_date("x"), ["2024-02-09", "2024-02-09 13:00:00"]) == ["20240209"] * 2
     c = f.format_range(F.to_date("x"), F.lit(dt.date(2024, 11, 30)))

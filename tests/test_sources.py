@@ -35,6 +35,24 @@ def test_reads_a_foreign_gzip_record(spark, tmp_path):
     ]
 
 
+def test_columns_go_by_name(spark, tmp_path):
+    (tmp_path / "wind").mkdir()
+    (tmp_path / "wind" / "f.csv").write_text(
+        "wind_flag,windgust,windspeed,note,winddir,winddir_deg,ts,station_id\n"
+        '"0,0,0",9.0,3.0,x,E,90.0,2020-01-01 00:06:00,s\n')
+    rows = {r.variable: r.value for r in P.read_product(spark, str(tmp_path / "wind"), "wind").collect()}
+    assert rows == {"Wind Speed": 3.0, "Wind Gust": 9.0}
+    (tmp_path / "one").mkdir()
+    (tmp_path / "one" / "f.csv").write_text(
+        "time_lst,Air Temperature,Water Temperature\n2020-01-01 00:00:00,1.0,2.0\n")
+    got = O.read_record_csv(spark, str(tmp_path / "one"), ["Water Temperature", AIR], station_id="007").collect()
+    assert {(r.station_id, r.variable, r.value) for r in got} == {("007", AIR, 1.0), ("007", "Water Temperature", 2.0)}
+    with pytest.raises(ValueError, match="station_id"):
+        O.read_record_csv(spark, str(tmp_path / "one"), [AIR])
+    with pytest.raises(ValueError, match="windspeed|atemp"):
+        P.read_product(spark, str(tmp_path / "wind"), "air_temperature")
+
+
 def test_observation_years_are_replaced_one_by_one(spark, tmp_path):
     path = str(tmp_path / "o")
     rows = [("007", AIR, "2019-01-01 00:00", 1.0), ("007", AIR, "2020-01-01 00:00", 2.0)]
@@ -118,13 +136,9 @@ def test_shared_dir_follows_the_session(spark, monkeypatch):
 
     class NoDir:
         class conf:
-            get = staticmethod(lambda key, default=None: default)
-
-        class sparkContext:
-            master = "yarn"
+            get = staticmethod({"spark.sql.warehouse.dir": "hdfs://x/warehouse/"}.get)
 
-    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
-        shared.shared_dir(NoDir())
+    assert shared.shared_dir(NoDir()) == "hdfs://x/warehouse/_work"
 
 
 def test_daily_round_trip(spark, tmp_path):

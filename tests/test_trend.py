@@ -105,7 +105,9 @@ def test_rates_title_axis(spark):
     assert (r.per_year, r.per_century) == (0.12, 12.0)
     units = spark.createDataFrame([("s", LEVEL, "ft")], "station_id string, variable string, unit string")
     assert R.trend_title(rates, units).first().heading == (
-        "RELATIVE WATER LEVEL TREND: 1/31/1990 - 12/31/1993, 0.12 ft/yr or 12.0 ft in 100 years")
+        "Trend of water level, 1/31/1990 - 12/31/1993: 0.12 ft a year, 12.0 ft a century")
+    small = rates.withColumns({"per_year": F.lit(0.0008), "per_century": F.lit(-0.08)})
+    assert R.trend_title(small, units).first().heading.endswith(": 0.0008 ft a year, -0.08 ft a century")
     below = R.trend_axis(series(spark, [-1.0, -2.0, None])).first()
     assert (below.y_min, below.y_max) == (-2.5, 0.45)
     mixed = R.trend_axis(series(spark, [-1.0, 2.0])).first()

@@ -16,9 +16,6 @@ from tidemark.schemas import (
     record_names,
 )
 
-# Fixed value: the first year on the axis of yearly record charts.
-FIRST_CHART_YEAR = 1987
-
 
 def _counts_by_year(stats: DataFrame) -> DataFrame:
     names = record_names(stats.columns)
@@ -48,9 +45,13 @@ def daily_records_set(stats: DataFrame) -> DataFrame:
 
 
 def annual_record_series(
-    stats: DataFrame, this_year: int, start_year: int = FIRST_CHART_YEAR
+    stats: DataFrame, this_year: int, start_year: int | None = None
 ) -> DataFrame:
-    """Record counts on a fixed axis of years, one row per statistic and year."""
+    """Record counts by year through `this_year`, one row per statistic and year.
+
+    The axis begins with the series' first year that holds a record, or with
+    `start_year`; records from before that year are then left out.
+    """
     names = record_names(stats.columns)
     axis = densify(_counts_by_year(stats), KEYS, "year", start_year, this_year).fillna(0)
     series = F.array(
@@ -104,7 +105,7 @@ def stats_table(
         F.col(c) if c in kept or c.endswith("_year") else round_stat(VARIABLE, c).alias(c)
         for c in stats.columns
     ]
-    subtitle = F.concat(F.lit("DATA RECORD: "), format_range("start_date", "end_date"))
+    subtitle = F.concat(F.lit("Readings of "), format_range("start_date", "end_date"))
     spans = ranges.select(*KEYS, subtitle.alias("subtitle"))
     return stats.select(*rounded).join(spans, KEYS, "left")
 
@@ -117,19 +118,18 @@ def table_header(
     Tells how many records fell this year and last year, or that the station
     has no such data.
     """
-    kind = "Daily" if axis_column(stats.columns) == "yearday" else "Monthly"
+    kind = "daily" if axis_column(stats.columns) == "yearday" else "monthly"
     counts = records_this_and_last_year(stats, this_year)
     name = F.lower(VARIABLE)
     heading = F.concat(
-        F.lit("As of today, "),
-        F.col("this_year").cast("string"),
-        F.lit(" "),
         name,
-        F.lit(" record observations have been reported this year. Last year, "),
+        F.lit(f", {kind} records: "),
+        F.col("this_year").cast("string"),
+        F.lit(" from this year, "),
         F.col("last_year").cast("string"),
-        F.lit(" records were reported."),
+        F.lit(" from the year before"),
     )
-    missing = F.concat(F.lit(f"{kind} "), name, F.lit(" data are not available for this station."))
+    missing = F.concat(name, F.lit(f": no {kind} statistics here"))
     return (
         requested.select(*KEYS)
         .join(counts, KEYS, "left")

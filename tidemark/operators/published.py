@@ -18,7 +18,8 @@ from tidemark.schemas import (
 )
 
 # Averages are sums of doubles in no fixed order; a difference this small
-# (relative) is not a change.
+# (relative) is not a change. Extremes of readings are held against each other
+# exactly.
 TOLERANCE = 1e-9
 
 
@@ -64,8 +65,15 @@ def drop_empty_stats(stats: DataFrame, keep: list[str] | None = None) -> DataFra
     return stats.select(*[c for c in stats.columns if c in keep or filled[c] > 0])
 
 
-def _same(a: str, b: str) -> str:
-    """Equal, both missing, or different only by summation order."""
+def _is_sum(name: str, columns: list[str]) -> bool:
+    """Whether a statistic has been summed; in monthly tables all are from averages."""
+    return not name.endswith("year") and ("average" in name or axis_column(columns) == "month")
+
+
+def _same(a: str, b: str, summed: bool = True) -> str:
+    """Equal or both missing; sums may differ by the order of summation."""
+    if not summed:
+        return f"({a} <=> {b})"
     near = f"abs({a} - {b}) <= {TOLERANCE} * greatest(1, abs({a}), abs({b}))"
     return f"coalesce({near}, {a} IS NULL AND {b} IS NULL)"
 
@@ -87,7 +95,7 @@ def stats_changed(old: DataFrame, new: DataFrame) -> DataFrame:
     axis, label = axis_column(new.columns), label_column(new.columns)
     stats = [c for c in new.columns if c not in (*KEYS, axis, label)]
     same = " AND ".join(
-        ["old IS NOT NULL", "new IS NOT NULL", *[_same(f"old.{c}", f"new.{c}") for c in stats]]
+        ["old IS NOT NULL", "new IS NOT NULL", *[_same(f"old.{c}", f"new.{c}", _is_sum(c, new.columns)) for c in stats]]
     )
     pairs = _pair(old, new, "full")
     return pairs.groupBy(STATION).agg(F.expr(f"bool_or(NOT ({same}))").alias("changed"))
@@ -109,7 +117,10 @@ def new_records(old: DataFrame, new: DataFrame, units: DataFrame | None = None)
     rows = _pair(old, new, "right").selectExpr(
         *KEYS, f"new.{label} AS {label}", f"inline(array({records}))"
     )
-    value_changed = ~F.expr(_same("value", "old_value"))
+    sums = [n for n in record_names(new.columns) if _is_sum(n, new.columns)]
+    value_changed = ~F.when(F.col("record").isin(sums), F.expr(_same("value", "old_value"))).otherwise(
+        F.col("value").eqNullSafe(F.col("old_value"))
+    )
     year_changed = ~F.col("year").eqNullSafe(F.col("old_year"))
     changed = rows.where(F.col("value").isNotNull() & (value_changed | year_changed))
 
@@ -126,17 +137,17 @@ def new_records(old: DataFrame, new: DataFrame, units: DataFrame | None = None)
 
     message = F.concat(
         title,
-        F.lit(" "),
+        F.lit(" of "),
         F.lower(VARIABLE),
-        F.lit(" set "),
+        F.lit(" on "),
         F.col(label),
-        F.lit(" "),
-        F.col("year").cast("string"),
-        F.lit(": "),
+        F.lit(" is "),
         shown("value"),
-        F.lit(" (previously "),
+        F.lit(" ("),
+        F.col("year").cast("string"),
+        F.lit("), was "),
         shown("old_value"),
-        F.lit(" in "),
+        F.lit(" ("),
         F.coalesce(F.col("old_year").cast("string"), F.lit("nan")),
         F.lit(")"),
     )

@@ -198,6 +198,12 @@ def trend_rates(fitted: DataFrame) -> DataFrame:
     )
 
 
+def _plain_number(c: str) -> Column:
+    """A number of at most four places as text, never with an exponent."""
+    digits = F.col(c).cast("decimal(18,4)").cast("string")
+    return F.regexp_replace(digits, r"(\.\d+?)0+$", "$1")
+
+
 def trend_title(rates: DataFrame, units: DataFrame) -> DataFrame:
     """Heading of a trend: span, and rate per year and per century.
 
@@ -205,17 +211,17 @@ def trend_title(rates: DataFrame, units: DataFrame) -> DataFrame:
     """
     span = format_range(F.last_day("start_month"), F.last_day("end_month"))
     heading = F.concat(
-        F.lit("RELATIVE "),
-        F.upper(VARIABLE),
-        F.lit(" TREND: "),
-        span,
+        F.lit("Trend of "),
+        F.lower(VARIABLE),
         F.lit(", "),
-        F.col("per_year").cast("string"),
+        span,
+        F.lit(": "),
+        _plain_number("per_year"),
         F.concat(F.lit(" "), F.col("unit")),
-        F.lit("/yr or "),
-        F.col("per_century").cast("string"),
+        F.lit(" a year, "),
+        _plain_number("per_century"),
         F.concat(F.lit(" "), F.col("unit")),
-        F.lit(" in 100 years"),
+        F.lit(" a century"),
     )
     return rates.join(units.select(*KEYS, "unit"), KEYS).select(*KEYS, heading.alias("heading"))
 

@@ -76,7 +76,7 @@ def _product(*columns: tuple[str, T.DataType]) -> T.StructType:
 
 _D, _S = T.DoubleType(), T.StringType()
 
-# Landed files: one layout per product.
+# Column layouts of the landed files, one per product.
 PRODUCTS: dict[str, T.StructType] = {
     "air_temperature": _product(("atemp", _D), ("atemp_flag", _S)),
     "water_temperature": _product(("wtemp", _D), ("wtemp_flag", _S)),
@@ -94,7 +94,7 @@ PRODUCTS: dict[str, T.StructType] = {
     "hourly_height": _product(("wlevel", _D), ("s", _D), ("wlevel_flag", _S)),
 }
 
-# For each product: value column -> variable name, the flag column, the qc column.
+# Fixed values. For each product: value column -> variable name, the flag column, the qc column.
 PRODUCT_VARIABLES: dict[str, dict] = {
     "air_temperature": {"values": {"atemp": "Air Temperature"}, "flag": "atemp_flag"},
     "water_temperature": {"values": {"wtemp": "Water Temperature"}, "flag": "wtemp_flag"},
@@ -111,16 +111,6 @@ PRODUCT_VARIABLES: dict[str, dict] = {
     "hourly_height": {"values": {"wlevel": WATER_LEVEL}, "flag": "wlevel_flag"},
 }
 
-# Products as the station inventory names them.
-INVENTORY_NAMES = {
-    "air_temperature": "Air Temperature",
-    "water_temperature": "Water Temperature",
-    "air_pressure": "Barometric Pressure",
-    "wind": "Wind",
-    "water_level": "Verified 6-Minute Water Level",
-    "hourly_height": "Verified Hourly Height Water Level",
-}
-
 # Unit of every variable in each unit system.
 UNITS: dict[str, dict[str, str]] = {
     "Air Temperature": {"metric": "°C", "english": "°F"},

@@ -70,13 +70,41 @@ def write_record_csv(
     )
 
 
+def read_csv_by_name(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """CSV files with a header, as the columns of `schema`, found by their names.
+
+    Columns may stand in any order and others beside them; a missing one is an
+    error. So are files whose headers differ from the first one's: they are
+    refused when they are read, not mislabelled.
+    """
+    header = spark.read.option("header", True).csv(path).columns
+    missing = [f.name for f in schema.fields if f.name not in header]
+    if missing:
+        raise ValueError(f"{path} has no column {missing}; its columns: {header}")
+    types = {f.name: f.dataType for f in schema.fields}
+    found = T.StructType([T.StructField(c, types.get(c, T.StringType())) for c in header])
+    rows = (
+        spark.read.schema(found)
+        .option("header", True)
+        .option("enforceSchema", False)
+        .option("timestampNTZFormat", TIME_FORMAT)
+        .csv(path)
+    )
+    return rows.select(*[F.col(f"`{f.name}`") for f in schema.fields])
+
+
 def read_record_csv(
-    spark: SparkSession, path: str, variables: list[str], tz: str = "lst"
+    spark: SparkSession,
+    path: str,
+    variables: list[str],
+    tz: str = "lst",
+    station_id: str | None = None,
 ) -> DataFrame:
     """Read wide CSV files (plain or gzip) as long observations.
 
-    Types are declared, never inferred. Cells with neither value nor QC mark
-    are not observations and are left out.
+    Columns are found by name and their types declared, never inferred. A
+    record of one station without a station column needs `station_id`. Cells
+    with neither value nor QC mark are not observations and are left out.
     """
     time = f"time_{tz}"
     qc = f"{WATER_LEVEL} QC"
@@ -84,13 +112,11 @@ def read_record_csv(
     fields += [T.StructField(v, T.DoubleType()) for v in variables]
     if WATER_LEVEL in variables:
         fields.append(T.StructField(qc, T.StringType()))
-    fields.append(T.StructField(STATION, T.StringType()))
-    wide = (
-        spark.read.schema(T.StructType(fields))
-        .option("header", True)
-        .option("timestampNTZFormat", TIME_FORMAT)
-        .csv(path)
-    )
+    if station_id is None:
+        fields.append(T.StructField(STATION, T.StringType()))
+    wide = read_csv_by_name(spark, path, T.StructType(fields))
+    if station_id is not None:
+        wide = wide.withColumn(STATION, F.lit(station_id))
     cells = F.array(
         *[
             F.struct(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import flag_sum, nan_to_null
 from tidemark.schemas import KEYS, PRODUCT_VARIABLES, PRODUCTS
-from tidemark.sources.observations import TIME_FORMAT
+from tidemark.sources.observations import read_csv_by_name
 
 # Product rows in the long layout still carry their flags.
 PRODUCT_ROWS = [*KEYS, "ts", "value", "qc", "flag"]
@@ -19,12 +19,11 @@ def check_product(product: str) -> None:
 
 
 def read_landed(spark: SparkSession, path: str, product: str, fmt: str = "csv") -> DataFrame:
-    """Landed files of one product, with its declared schema."""
+    """Landed files of one product, with its declared schema; columns go by name."""
     check_product(product)
-    reader = spark.read.schema(PRODUCTS[product])
     if fmt == "csv":
-        reader = reader.option("header", True).option("timestampNTZFormat", TIME_FORMAT)
-    return reader.format(fmt).load(path)
+        return read_csv_by_name(spark, path, PRODUCTS[product])
+    return spark.read.schema(PRODUCTS[product]).format(fmt).load(path)
 
 
 def normalise_product(df: DataFrame, product: str) -> DataFrame:

@@ -21,10 +21,14 @@ from tidemark.sources.products import discard_flagged, normalise_product
 
 
 def landed_stream(store: Store, path: str, product: str, fmt: str = "csv") -> DataFrame:
-    """Clean observations of one product as its files land."""
+    """Clean observations of one product as its files land.
+
+    A CSV file whose header differs from the declared columns stops the stream.
+    """
     reader = store.spark.readStream.schema(PRODUCTS[product])
     if fmt == "csv":
-        reader = reader.option("header", True).option("timestampNTZFormat", TIME_FORMAT)
+        reader = reader.option("header", True).option("enforceSchema", False)
+        reader = reader.option("timestampNTZFormat", TIME_FORMAT)
     landed = reader.format(fmt).load(path)
     return discard_flagged(normalise_product(landed, product), product)
 
