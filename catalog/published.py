@@ -121,6 +121,17 @@ def current_year_records(spark, sf_dir):
     return rounded(P.current_year_records(stats_long(spark, sf_dir), _YEAR))
 
 
+@query(
+    "current_year_records_monthly",
+    f"""{MONTHLY_STATS_LONG}
+SELECT *, CASE WHEN record_high_year = {_YEAR} THEN record_high END AS high_records,
+       CASE WHEN record_low_year = {_YEAR} THEN record_low END AS low_records
+FROM stats""",
+)
+def current_year_records_monthly(spark, sf_dir):
+    return rounded(P.current_year_records(stats_long(spark, sf_dir, "monthly"), _YEAR))
+
+
 # No record dates from 1990, so both added columns are empty and go. The columns
 # of the daily table hold data at every scale, which SQL has to know beforehand.
 @query("drop_empty_stats", f"{DAILY_STATS_LONG}\nSELECT * FROM stats")
@@ -261,6 +272,14 @@ def daily_records_set(spark, sf_dir):
     return A.daily_records_set(stats_long(spark, sf_dir, "monthly"))
 
 
+@query(
+    "daily_records_set_daily",
+    f"{_counts_sql(DAILY_STATS_LONG, DAILY_STATS)} SELECT * FROM counts",
+)
+def daily_records_set_daily(spark, sf_dir):
+    return A.daily_records_set(stats_long(spark, sf_dir))
+
+
 _FIXED = _record_counts_sql(DAILY_STATS_LONG, DAILY_STATS, "min(year)", str(_YEAR))
 _SERIES = " UNION ALL ".join(
     f"SELECT {_K}, year, '{n}' AS record, {n} AS n_records FROM filled"
@@ -273,14 +292,18 @@ def annual_record_series(spark, sf_dir):
     return A.annual_record_series(stats_long(spark, sf_dir), _YEAR)
 
 
-def _hits(year: int) -> str:
+def _hits(year: int, columns: list[str]) -> str:
     return " + ".join(
-        f"CASE WHEN {n}_year = {year} THEN 1 ELSE 0 END" for n in record_names(DAILY_STATS)
+        f"CASE WHEN {n}_year = {year} THEN 1 ELSE 0 END" for n in record_names(columns)
     )
 
 
-_THIS_LAST = f"""SELECT {_K}, CAST(sum({_hits(_YEAR)}) AS BIGINT) AS this_year,
-       CAST(sum({_hits(_YEAR - 1)}) AS BIGINT) AS last_year FROM stats GROUP BY {_K}"""
+def _this_last_sql(columns: list[str]) -> str:
+    return f"""SELECT {_K}, CAST(sum({_hits(_YEAR, columns)}) AS BIGINT) AS this_year,
+       CAST(sum({_hits(_YEAR - 1, columns)}) AS BIGINT) AS last_year FROM stats GROUP BY {_K}"""
+
+
+_THIS_LAST = _this_last_sql(DAILY_STATS)
 
 
 @query("records_this_and_last_year", f"{DAILY_STATS_LONG}\n{_THIS_LAST}")
@@ -288,13 +311,33 @@ def records_this_and_last_year(spark, sf_dir):
     return A.records_this_and_last_year(stats_long(spark, sf_dir), _YEAR)
 
 
-_FLAGS = ", ".join(
-    f"coalesce({n}_year = {_YEAR}, false) AS {n}_is_new" for n in record_names(DAILY_STATS)
+@query(
+    "records_this_and_last_year_monthly",
+    f"{MONTHLY_STATS_LONG}\n{_this_last_sql(MONTHLY_STATS)}",
+)
+def records_this_and_last_year_monthly(spark, sf_dir):
+    return A.records_this_and_last_year(stats_long(spark, sf_dir, "monthly"), _YEAR)
+
+
+def _flags_sql(columns: list[str]) -> str:
+    return ", ".join(
+        f"coalesce({n}_year = {_YEAR}, false) AS {n}_is_new" for n in record_names(columns)
+    )
+
+
+@query(
+    "record_row_flags_monthly",
+    f"""{MONTHLY_STATS_LONG}
+SELECT {_K}, month, month_label, {_flags_sql(MONTHLY_STATS)} FROM stats""",
 )
+def record_row_flags_monthly(spark, sf_dir):
+    return A.record_row_flags(stats_long(spark, sf_dir, "monthly"), _YEAR)
 
 
 @query(
-    "record_row_flags", f"{DAILY_STATS_LONG}\nSELECT {_K}, yearday, date_label, {_FLAGS} FROM stats"
+    "record_row_flags",
+    f"""{DAILY_STATS_LONG}
+SELECT {_K}, yearday, date_label, {_flags_sql(DAILY_STATS)} FROM stats""",
 )
 def record_row_flags(spark, sf_dir):
     return A.record_row_flags(stats_long(spark, sf_dir), _YEAR)

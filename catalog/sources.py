@@ -20,6 +20,7 @@ from catalog.base import (
     daily_long,
     daily_sql,
     daily_stats_sql,
+    monthly_stats_sql,
     obs_hourly,
     obs_long,
     query,
@@ -276,6 +277,32 @@ def update_data(spark, sf_dir):
     return _refreshed(spark, sf_dir).observations()
 
 
+@query(
+    "update_data_mixed_batch",
+    f"""WITH {OBS_HOURLY}
+SELECT {_K}, ts,
+  CASE WHEN variable = 'Water Level' AND ts >= TIMESTAMP '2024-01-20' THEN value + 1
+       ELSE value END AS value,
+  CASE WHEN variable = 'Water Level' THEN 'v' END AS qc
+FROM obs""",
+)
+def update_data_mixed_batch(spark, sf_dir):
+    """A refresh with preliminary, verified and missing readings of one time."""
+    obs = obs_hourly(spark, sf_dir)
+    store = _store(spark)
+    jobs.initial_load(store, obs.where(F.col("ts") < ntz("2024-01-22")), station_config(obs), _AS_OF)
+    level = F.col("variable") == WATER_LEVEL
+    late = obs.where(F.col("ts") >= ntz("2024-01-15"))
+
+    def of(value, qc):
+        return F.struct(value.cast("double").alias("value"), F.lit(qc).alias("qc"))
+
+    three = F.array(of(F.col("value") - 40, "p"), of(F.lit(None), "v"), of(F.col("value") + 1, "v"))
+    levels = late.where(level).select(*KEYS, "ts", F.inline(three))
+    jobs.update_data(store, late.where(~level).unionByName(levels), _AS_OF)
+    return store.observations()
+
+
 @query(
     "update_data_daily",
     f"""WITH {OBS_HOURLY},
@@ -306,12 +333,58 @@ def _long_store(spark, sf_dir) -> tuple[Store, dict]:
     return store, jobs.update_stats(store)
 
 
+@query("update_data_late_product", f"{_SINGLE}\nSELECT {_K}, ts, value, qc FROM single")
+def update_data_late_product(spark, sf_dir):
+    """Water levels land first, the other variables of the same times later."""
+    single = one_per_time(obs_long(spark, sf_dir)).select(*KEYS, "ts", "value", "qc")
+    store = _store(spark)
+    as_of = date.fromisoformat(LONG_AS_OF)
+    old = single.where(F.col("ts") < ntz("2001-01-01"))
+    jobs.initial_load(store, old, station_config(single), as_of, LONG_HR, LONG_DAY)
+    level = F.col("variable") == WATER_LEVEL
+    batch = single.where(F.col("ts") >= ntz("2000-12-01"))
+    jobs.update_data(store, batch.where(level), as_of)
+    jobs.update_data(store, batch.where(~level), as_of)
+    return store.observations()
+
+
+# Verified before other readings, present before missing ones, then the lowest.
+@query(
+    "initial_load_duplicates",
+    f"""WITH {OBS_LONG},
+every AS (
+  SELECT {_K}, ts, value, qc FROM obs
+  UNION ALL SELECT {_K}, ts, value - 100, 'p' FROM obs WHERE variable = 'Water Level'
+  UNION ALL SELECT {_K}, ts, NULL, 'v' FROM obs WHERE variable = 'Water Level'
+    AND ts < TIMESTAMP '1998-01-01')
+SELECT * FROM every QUALIFY row_number() OVER (
+  PARTITION BY {_K}, ts ORDER BY qc IS DISTINCT FROM 'v', value IS NULL, value) = 1""",
+)
+def initial_load_duplicates(spark, sf_dir):
+    """A first load of several readings of one time."""
+    obs = obs_long(spark, sf_dir)
+    levels = obs.where(F.col("variable") == WATER_LEVEL)
+    lower = levels.withColumns({"value": F.col("value") - 100, "qc": F.lit("p")})
+    missing = levels.where(F.col("ts") < ntz("1998-01-01"))
+    missing = missing.withColumns({"value": F.lit(None).cast("double"), "qc": F.lit("v")})
+    store = _store(spark)
+    every = obs.unionByName(lower).unionByName(missing)
+    jobs.initial_load(store, every, station_config(obs), date.fromisoformat(LONG_AS_OF), LONG_HR, LONG_DAY)
+    return store.observations()
+
+
 @query("update_stats", f"{daily_stats_sql(_SINGLE)}\nSELECT * FROM stats")
 def update_stats(spark, sf_dir):
     store, _ = _long_store(spark, sf_dir)
     return rounded(store.stats("daily"))
 
 
+@query("update_stats_monthly", f"{monthly_stats_sql(_SINGLE)}\nSELECT * FROM stats")
+def update_stats_monthly(spark, sf_dir):
+    store, _ = _long_store(spark, sf_dir)
+    return rounded(store.stats("monthly"))
+
+
 @query(
     "reprocess",
     f"{daily_stats_sql(f'WITH {OBS_HOURLY}, {daily_sql(1, 2)}')}\nSELECT * FROM stats",

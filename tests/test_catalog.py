@@ -5,9 +5,9 @@ import pytest
 import __spark_entry__ as entry
 from tests.compare import connect, differences
 
-SMALL = "/root/testdata/sf0.001"
+SMALL, LARGER = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 # The jobs run many steps; tests/test_jobs.py covers them on literal rows.
-JOBS = {"initial_load", "update_data", "update_data_daily", "update_stats", "reprocess"}
+JOBS = {n for n in entry.queries() if n.startswith(("initial_load", "update_", "reprocess"))}
 
 needs_data = pytest.mark.skipif(not os.path.isdir(SMALL), reason="test tables are not here")
 
@@ -21,7 +21,9 @@ def con():
 @pytest.mark.parametrize("name", sorted(set(entry.oracle_sql()) - JOBS))
 def test_query_matches_its_sql(spark, con, name):
     problem = differences(spark, con, name, entry.queries()[name], entry.oracle_sql()[name], SMALL)
-    assert problem in (None, "no rows at all")
+    if problem == "no rows at all":  # Too few readings for a month: take the next larger tables.
+        problem = differences(spark, connect(LARGER), name, entry.queries()[name], entry.oracle_sql()[name], LARGER)
+    assert problem is None
 
 
 @needs_data
