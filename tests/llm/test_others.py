@@ -134,6 +134,39 @@ def test_toxicity_on_held_out_rows(spark, odd, empty):
     assert toxicity.score(odd, toxicity.fit(empty, labels.limit(0))).count() == len(ODD)
 
 
+def test_thresholds_count_every_labelled_row(spark):
+    """Also of languages that are rare in the sample, and texts too long for it; against plain Python."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(1500):
+        lang = ("en", "en", "en", "es", "de", None)[i % 6] if i % 10 else "xx"
+        toxic = int(rng.random() < (0.4 if lang != "xx" else 0.02))
+        words = [f"w{x}" for x in rng.integers(0, 300, 30)]
+        if rng.random() < (0.8 if toxic else 0.15):
+            words[rng.integers(30)] = f"bad{rng.integers(4)}"
+        rows.append((i, " ".join(words * (200 if lang == "de" else 1)), lang, toxic))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int")
+    fitted = toxicity.fit(df.select("doc_id", "text", "lang"), df.select("doc_id", "toxic"), sample_rows=200)
+    score = {r.doc_id: r.score for r in toxicity.score(df, fitted).where("NOT held_out").collect()}
+    assert len(fitted.learnt) == 160 and not set(fitted.learnt.tolist()) - set(score)
+    want = {}
+    for lang in ("en", "es", "de", "", "xx"):
+        own = [(score[i], toxic) for i, _, x, toxic in rows if (x or "") == lang and i in score and i not in fitted.learnt]
+        if sum(t for _, t in own) < 20:
+            continue
+
+        def f1(at):
+            return 2 * sum(t for s, t in own if s >= at) / (sum(s >= at for s, _ in own) + sum(t for _, t in own))
+
+        tried = sorted({0.7, *(x / 100 for x in range(5, 100, 5))})
+        best = max(map(f1, tried))
+        want[lang] = min((x for x in tried if f1(x) >= best - 1e-12), key=lambda x: abs(x - 0.7))
+    assert sorted(want) == ["", "de", "en", "es"]
+    assert fitted.thresholds == pytest.approx(want)
+    kept = {r.doc_id for r in toxicity.reject_toxic(df, fitted).collect()}
+    assert {i for i, s in score.items() if s < want.get(rows[i][2] or "", 0.7)} == kept & set(score)
+
+
 def test_hash_tree(spark, odd, empty):
     df = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("ab é").alias("text")).union(odd.select("doc_id", "text"))
     rows = sharding.assign(df, sharding.uniform_tree(16)).collect()

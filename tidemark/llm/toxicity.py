@@ -183,25 +183,37 @@ def train(texts: Iterable[bytes], labels: np.ndarray, rate: float = 0.1, epochs:
     return model
 
 
-def calibrate(scores: np.ndarray, labels: np.ndarray, usual: float = 0.7) -> float:
-    """The threshold with the best F1; of equally good ones that nearest to the usual one."""
-    if not len(scores) or labels.min() == labels.max():
+def grid(usual: float) -> np.ndarray:
+    """The thresholds that are tried."""
+    return np.unique(np.r_[usual, np.arange(5, 100, 5) / 100])
+
+
+def calibrate(toxic: np.ndarray, rows: np.ndarray, usual: float = 0.7) -> float:
+    """The threshold with the best F1; of equally good ones that nearest to the usual one.
+
+    `toxic` and `rows` count toxic and all rows by how many thresholds of the
+    grid their score reaches, from none to all.
+    """
+    if not 0 < toxic.sum() < rows.sum():
         return usual
-    grid = np.unique(np.r_[usual, np.arange(5, 100, 5) / 100])
-    chosen = scores[:, None] >= grid
-    right = (chosen & (labels[:, None] == 1)).sum(0)
-    f1 = 2 * right / np.maximum(1, chosen.sum(0) + (labels == 1).sum())
-    best = grid[f1 >= f1.max() - 1e-12]
+    # Rows that reach a threshold: those of all higher steps.
+    right, chosen = (np.cumsum(x[::-1])[::-1][1:] for x in (toxic, rows))
+    f1 = 2 * right / np.maximum(1, chosen + toxic.sum())
+    best = grid(usual)[f1 >= f1.max() - 1e-12]
     return float(best[np.argmin(np.abs(best - usual))])
 
 
 @dataclass
 class Toxicity:
-    """A classifier and its thresholds by language; `usual` for all others."""
+    """A classifier and its thresholds by language; `usual` for all others.
+
+    `learnt` are the ids of the rows that the classifier has learnt from.
+    """
 
     model: Classifier
     thresholds: dict[str, float]
     usual: float = 0.7
+    learnt: np.ndarray | None = None
 
 
 def held_out(doc_id: Column) -> Column:
@@ -209,51 +221,73 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, usual: float = 0.7) -> Toxicity:
-    """Learn from at most `sample_rows` labelled rows that aren't held out.
+def _marked(labels: DataFrame) -> DataFrame:
+    """(doc_id, toxic) of the labels that count: 0 or 1, with an id, not held out."""
+    marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
+    marked = marked.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    return marked.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+
+
+def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, usual: float = 0.7) -> Toxicity:
+    """Learn from four fifths of at most `sample_rows` labelled rows that aren't held out.
 
     The sample is taken by a hash of the id; labels 0 and 1 count, others and
-    rows without id or text don't. A fifth of it sets the thresholds: where a
-    language has 20 toxic rows there, its own; else the usual one.
+    rows without id or text don't. The rest of it is left to the thresholds.
     """
-    marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
-    marked = marked.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    marked = marked.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    marked = _marked(labels)
     spread = F.xxhash64("doc_id", F.lit("sample"))
     # The sample is chosen from ids and sizes; texts are only read for the chosen.
-    rows = texts_only(docs, F.col("lang").cast("string").alias("lang")).where(F.octet_length("text").between(1, SAMPLE_BYTES))
+    rows = texts_only(docs).where(F.octet_length("text").between(1, SAMPLE_BYTES))
     chosen = marked.join(rows.select("doc_id"), "doc_id", "left_semi").orderBy(spread).limit(sample_rows)
     sample = rows.join(chosen, "doc_id").withColumn("spread", spread).orderBy("spread", "text").limit(sample_rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = list(batches)
         table = pa.Table.from_batches(held) if held else None
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(_fit_sample(table, usual))], pa.binary())], ["fitted"])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(_fit_sample(table))], pa.binary())], ["fitted"])
 
     # One task learns; the driver gets the classifier, whose size is fixed.
-    found = sample.select("text", "lang", "toxic").coalesce(1).mapInArrow(run, "fitted binary").collect()
-    arrays, thresholds = pickle.loads(found[0]["fitted"]) if found else _fit_sample(None, usual)
-    return Toxicity(Classifier(*arrays), thresholds, usual)
-
-
-def _fit_sample(table: pa.Table | None, usual: float) -> tuple[tuple, dict[str, float]]:
-    """The parts of a classifier, and thresholds by language, from rows (text, lang, toxic)."""
-    columns = [table.column(c).to_pylist() if table is not None else [] for c in ("text", "lang", "toxic")]
-    texts = [t.encode() for t in columns[0]]
-    lang, toxic = np.array([x or "" for x in columns[1]], object), np.array(columns[2], np.int64)
-    check = np.arange(len(texts)) % 5 == 4
-    model = train([t for t, c in zip(texts, check, strict=True) if not c], toxic[~check])
-    thresholds = {}
-    if check.any():
-        mine = [t for t, c in zip(texts, check, strict=True) if c]
-        buf = np.frombuffer(b"".join(mine), np.uint8)
-        offsets = np.r_[0, np.cumsum([len(t) for t in mine])]
-        scores = np.concatenate([model.scores(read_words(b, o)) for _, b, o in cut(np.arange(len(mine)), buf, offsets, CHUNK_BYTES)])
-        for name in sorted(set(lang[check])):
-            own = lang[check] == name
-            if toxic[check][own].sum() >= 20:
-                thresholds[name] = calibrate(scores[own], toxic[check][own], usual)
-    return tuple(vars(model).values()), thresholds
+    found = sample.select("doc_id", "text", "toxic").coalesce(1).mapInArrow(run, "fitted binary").collect()
+    arrays, learnt = pickle.loads(found[0]["fitted"]) if found else _fit_sample(None)
+    return Toxicity(Classifier(*arrays), {}, usual, learnt)
+
+
+def _fit_sample(table: pa.Table | None) -> tuple[tuple, np.ndarray]:
+    """The parts of a classifier, and the ids learnt from, from rows (doc_id, text, toxic)."""
+    ids, texts, toxic = (table.column(c).to_pylist() if table is not None else [] for c in ("doc_id", "text", "toxic"))
+    mine = np.arange(len(texts)) % 5 != 4
+    model = train([t.encode() for t, m in zip(texts, mine, strict=True) if m], np.array(toxic, np.int64)[mine])
+    return tuple(vars(model).values()), np.unique(np.array(ids, np.int64)[mine])
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, usual: float = 0.7) -> Toxicity:
+    """Learn, and set the thresholds by language.
+
+    All labelled rows that aren't held out and whose id wasn't learnt from count
+    for these, whole and of any length: where a language has 20 toxic ones, its
+    own threshold, else the usual one.
+    """
+    fitted = learn(docs, labels, sample_rows, usual)
+    sent = docs.sparkSession.sparkContext.broadcast((tuple(vars(fitted.model).values()), fitted.learnt))
+    steps, ddl = grid(usual), "doc_id long, lang string, step int"
+    schema = arrow_schema(ddl)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, learnt = Classifier(*sent.value[0]), sent.value[1]
+        for batch in batches:
+            batch = batch.filter(pa.array(~np.isin(batch.column("doc_id").to_numpy(zero_copy_only=False), learnt)))
+            step = np.searchsorted(steps, _scores(model, batch), "right").astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), pa.array(step)], schema=schema)
+
+    rows = texts_only(docs, F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"))
+    rows = rows.where((F.octet_length("text") > 0) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    # Labels meet scores, so that no text moves.
+    scored = rows.mapInArrow(run, ddl).join(_marked(labels), "doc_id")
+    counts: dict[str, np.ndarray] = {}
+    for r in scored.groupBy("lang", "step").agg(F.sum("toxic").alias("toxic"), F.count("*").alias("n")).collect():
+        counts.setdefault(r["lang"], np.zeros((2, len(steps) + 1), np.int64))[:, r["step"]] = r["toxic"], r["n"]
+    thresholds = {name: calibrate(*both, usual) for name, both in sorted(counts.items()) if both[0].sum() >= 20}
+    return Toxicity(fitted.model, thresholds, usual, fitted.learnt)
 
 
 def _scores(model: Classifier, batch: pa.RecordBatch) -> np.ndarray:
