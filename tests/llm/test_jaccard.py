@@ -96,6 +96,27 @@ def test_odd_rows(spark):
     )
 
 
+def test_rows_without_id_merge_no_others(spark):
+    """Unlike documents stay, whatever rows without an id hold; these link only by their own text."""
+    rng, rows = random.Random(8), []
+    for i in range(40):
+        base = [f"u{rng.randrange(10**6)}" for _ in range(60)]
+        rows += [(100 + i, " ".join(base)), (None, " ".join(base)), (None, edited(rng, base, 1))]
+        if i % 2:
+            rows.append((200 + i, edited(rng, base, 1)))
+        rows += [(None, " ".join(f"v{i}x{j}" for j in range(20)))] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for rule in RULES:
+        named = [(i, t) if i is not None else (1000 + n, t) for n, (i, t) in enumerate(rows)]
+        want = [x for x in groups_by_pairs(named, rule) if x[0] < 1000]
+        got = near_duplicates(df, rule).collect()
+        assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got if r.doc_id is not None) == want
+        assert len(got) == len(rows) and {r.component_id for r in got if r.doc_id is None} == {100}
+        kept = [r.doc_id for r in without_near_duplicates(df, rule).collect()]
+        assert sorted(i for i in kept if i is not None) == [i for i, _, c in want if i == c]
+        assert kept.count(None) == sum(i is None for i, _ in rows)
+
+
 def test_no_rows(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert found(df, RULES[0]) == []

@@ -22,10 +22,11 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.blocks import (
     CHUNK_BYTES,
-    NO_ID,
     arrow_rows,
     arrow_schema,
+    bytes_of,
     chunks,
+    cut,
     expand,
     give_back,
     groups,
@@ -119,7 +120,17 @@ def parity(hashes: np.ndarray, words: int) -> np.ndarray:
     return np.packbits(odd).view(np.uint64)
 
 
-SKETCHES = "doc_id long, n long, sign_a long, sign_b long, bands binary, parities binary"
+def _texts(docs: DataFrame) -> DataFrame:
+    """doc_id, text, has_id. A row without an id gets a negative one from a hash of its text.
+
+    So it stands for its own text and for no other row without an id.
+    """
+    rows = texts_only(docs)
+    own = F.xxhash64("text").bitwiseOR(F.lit(-1 << 63))
+    return rows.select(F.coalesce("doc_id", own).alias("doc_id"), "text", F.col("doc_id").isNotNull().alias("has_id"))
+
+
+SKETCHES = "doc_id long, has_id boolean, n long, sign_a long, sign_b long, bands binary, parities binary"
 
 
 def _signs(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -150,7 +161,10 @@ def sketches(docs: DataFrame, rule: Rule) -> DataFrame:
     schema = arrow_schema(SKETCHES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, buf, offsets in chunks(batches, CHUNK_BYTES // 2):
+        for batch, (rows, buf, offsets) in (
+            (b, c) for b in batches for c in cut(np.arange(b.num_rows), *bytes_of(b.column("text")), CHUNK_BYTES // 2)
+        ):
+            own_rows = batch.select(["doc_id", "has_id"]).slice(int(rows[0]), len(rows))
             hashes, bounds = shingle_sets(buf, offsets, rule.k)
             n, signs, bands, words = np.diff(bounds), _signs(hashes, bounds), [], []
             for i, size in enumerate(n.tolist()):
@@ -159,11 +173,11 @@ def sketches(docs: DataFrame, rule: Rule) -> DataFrame:
                 bands.append(np.array(own, np.int32).tobytes())
                 words.append(np.concatenate(found).tobytes() if found else b"")
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids), pa.array(n), pa.array(signs[0]), pa.array(signs[1]), pa.array(bands, pa.binary()), pa.array(words, pa.binary())],
+                [*own_rows.columns, pa.array(n), pa.array(signs[0]), pa.array(signs[1]), pa.array(bands, pa.binary()), pa.array(words, pa.binary())],
                 schema=schema,
             )
 
-    return texts_only(docs).mapInArrow(run, SKETCHES)
+    return _texts(docs).mapInArrow(run, SKETCHES)
 
 
 def _band_ends(largest: int = 1 << 40) -> tuple[int, ...]:
@@ -263,7 +277,7 @@ def _postings(docs: DataFrame, rule: Rule, buckets: int) -> DataFrame:
                 ],
             )
 
-    return texts_only(docs).mapInArrow(run, _POSTINGS)
+    return _texts(docs).mapInArrow(run, _POSTINGS)
 
 
 _STARS = "band int, center long, doc long"
@@ -440,10 +454,11 @@ def _verify(docs: DataFrame, pairs: DataFrame, rule: Rule, work: Workspace) -> D
                     out.append((a, b))
             yield arrow_rows(_PAIRS, out)
 
-    texts = texts_only(docs)
-    texts = texts.withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
+    texts = _texts(docs)
     # Rows that repeat an id: a class stands for its smallest id, whose rows may differ.
-    found = rows_of(texts, ids).mapInArrow(sets, ddl)
+    # Those without one are equal where their stand-in is.
+    found = rows_of(texts.where("has_id"), ids)
+    found = found.unionByName(rows_of(texts.where("NOT has_id"), ids).dropDuplicates(["doc_id"])).mapInArrow(sets, ddl)
     x = found.select(F.col("doc").alias("a"), F.col("hashes").alias("x"))
     y = found.select(F.col("doc").alias("b"), F.col("hashes").alias("y"))
     links = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(check, _PAIRS).distinct()
@@ -463,24 +478,31 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
 
     A document without words, or with a null text, has the empty set and links
     with nothing. Equal sets are one class from the start, so copies are never
-    paired. Rows that repeat a doc_id are one document, and so are all rows
-    without one, after all others; their component is null if they link with
-    nothing. An empty table gives no rows.
+    paired. Rows that repeat a doc_id are one document. Rows without one tie no
+    others together: each is a document of its own text. All of them are shown
+    with the smallest component that one of them is in, which is null if they
+    link with nothing that has an id. An empty table gives no rows.
     """
     rows, _ = _near_duplicates(docs, rule)
-    return rows
+    nameless = F.col("doc_id").isNull() & (F.col("n_shingles") > 0)
+    least = rows.where(nameless).agg(F.min("component_id")).first()[0]
+    return rows.withColumn("component_id", F.when(nameless, F.lit(least).cast("long")).otherwise(F.col("component_id")))
 
 
 def _near_duplicates(docs: DataFrame, rule: Rule) -> tuple[DataFrame, Workspace]:
-    """The rows of `near_duplicates`, and the tables that they are read from."""
+    """The rows of `near_duplicates`, and the tables that they are read from.
+
+    Here a row without an id has the component of its own text.
+    """
     spark = docs.sparkSession
     work, buckets = Workspace(spark), spread(spark)
     table = work.stage(sketches(docs, rule), "sketches")
     sign = ["n", "sign_a", "sign_b"]
-    classes = table.where("n > 0").groupBy(*sign).agg(F.min("doc_id").alias("class"))
+    first = F.min(F.when(F.col("has_id"), F.col("doc_id")))
+    classes = table.where("n > 0").groupBy(*sign).agg(F.coalesce(first, F.min("doc_id")).alias("class"), first.alias("first"))
     classes = work.stage(classes, "classes")
     # Rows that repeat an id with other texts tie their classes together.
-    several = table.where("n > 0").select("doc_id", *sign).distinct().groupBy("doc_id").count().where("count > 1")
+    several = table.where("n > 0 AND has_id").select("doc_id", *sign).distinct().groupBy("doc_id").count().where("count > 1")
     ties = table.join(several.select("doc_id"), "doc_id", "left_semi").join(classes, sign)
     ties = ties.where(F.col("doc_id") != F.col("class")).select(F.col("class").alias("a"), F.col("doc_id").alias("b"))
 
@@ -509,14 +531,17 @@ def _near_duplicates(docs: DataFrame, rule: Rule) -> tuple[DataFrame, Workspace]
         labels = components(links, work)
     count = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count("*").alias("links"))
     labels = labels.join(count, "node", "left").withColumnsRenamed({"node": "class"})
+    # Stand-ins of rows without an id are no name for a component.
+    firsts = classes.join(labels, "class").groupBy("component").agg(F.min("first").alias("lowest"))
+    labels = labels.join(work.stage(firsts, "firsts"), "component").select("class", F.col("lowest").alias("component"), "links")
     known = work.stage(classes.join(labels, "class", "left"), "known")
     # Nothing else is read any more.
     work.drop_all(keep=(table, known))
-    component = F.coalesce("component", "class", "doc_id")
+    own = F.when(F.col("has_id"), F.col("doc_id"))
     rows = table.join(known, sign, "left").select(
-        F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id"),
+        own.alias("doc_id"),
         F.col("n").alias("n_shingles"),
-        F.when(component != NO_ID, component).alias("component_id"),
+        F.coalesce("component", "first", own).alias("component_id"),
         F.coalesce("links", F.lit(0)).cast("long").alias("links"),
     )
     return rows, work
