@@ -65,6 +65,28 @@ def test_leaks_with_edits(spark, odd, empty):
     assert contamination.find_leaks(docs, bench.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("length", "count"), [(40, 20), (59, 20), (150, 20), (300, 6), (600, 1)])
+def test_leaks_of_all_lengths_at_the_limit(length, count):
+    """Deletions, insertions and both, as many as are allowed; exact distances say that all are leaks."""
+    rng, limit = np.random.default_rng(length), contamination.edit_limit(length)
+    missed = {}
+    for kind in ("deletions", "insertions", "both"):
+        missed[kind] = 0
+        for _ in range(count):
+            item = [f"w{x}" for x in rng.integers(0, 5000, length)]
+            cut = {"deletions": limit, "insertions": 0, "both": limit // 2}[kind]
+            gone = set(rng.choice(length, cut, replace=False).tolist())
+            text = [w for i, w in enumerate(item) if i not in gone]
+            for _ in range(limit - cut):
+                text.insert(rng.integers(1, len(text)), f"x{rng.integers(5000)}")
+            pad = [f"z{x}" for x in rng.integers(0, 5000, 60)]
+            data = " ".join([*pad, *text, *pad]).encode()
+            hashes, bounds = contamination.words(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+            found = contamination.find_items(hashes, bounds, contamination.Items.read([1], [" ".join(item)]), contamination.Embedding())
+            missed[kind] += not (found and found[0][2] <= limit)
+    assert not any(missed.values()), missed
+
+
 def test_search_recall_and_odd_vectors(spark):
     rng = np.random.default_rng(0)
     m = rng.normal(size=(600, 16))

@@ -5,7 +5,9 @@ held against it as follows: windows that share too few short word runs with the
 item to be within its edit limit are left out (a count filter that loses none);
 the others and the item are embedded by a CGK random walk, which maps edit to
 Hamming distance; windows that agree with the item on sampled places in one of
-many repetitions are candidates; an exact edit distance decides.
+many repetitions are candidates; an exact edit distance decides. A walk drifts
+with the number of edits, so a long item is embedded in pieces: of items within
+the limit, one piece at least is within its share of it.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ EDITS = 0.2
 #: Chance that a window at the edit limit becomes a candidate, places sampled in one
 #: repetition, and the share of places that may differ at the limit.
 RECALL, SAMPLED, DIFFERING = 0.9999, 3, 0.6
+#: Words of a piece of an item that is embedded, at most.
+PIECE_WORDS = 50
 #: Items sent to tasks at once; a longer benchmark takes several passes.
 ITEMS_AT_ONCE = 20_000
 _SEED = 20240301
@@ -59,6 +63,13 @@ def gram_size(length: int, limit: int) -> int:
     return max(q for q in (1, 2, 3) if q == 1 or length - q + 1 - limit * q >= 1)
 
 
+def pieces(length: int) -> list[tuple[int, int]]:
+    """(from, to) of the equal pieces of an item of at most PIECE_WORDS."""
+    count = max(1, -(-length // PIECE_WORDS))
+    ends = [length * i // count for i in range(count + 1)]
+    return list(zip(ends[:-1], ends[1:], strict=True))
+
+
 @dataclass
 class Items:
     """Benchmark items as words, with an index of their word runs.
@@ -159,8 +170,8 @@ def _regions(place: np.ndarray, diagonal: np.ndarray, gram: np.ndarray, n: int,
     """Parts of a document with at least `least` different runs of an item within its length.
 
     `place` (sorted) is where a run stands in the document, `diagonal` where the
-    item would begin, `gram` which run of the item it is. Gives arrays of the
-    beginnings in each part.
+    item would begin, `gram` which run of the item it is. Gives the beginnings in
+    each part with the runs they are from.
     """
     reach = n + limit
     at, size = 0, len(place)
@@ -180,7 +191,26 @@ def _regions(place: np.ndarray, diagonal: np.ndarray, gram: np.ndarray, n: int,
         else:
             joined.append([a, b])
     for a, b in joined:
-        yield np.unique(diagonal[a:b])
+        yield diagonal[a:b], gram[a:b]
+
+
+def _met(symbols: np.ndarray, hashes: np.ndarray, low: int, high: int, begins: np.ndarray, gram: np.ndarray, q: int, share: float, embedding: Embedding) -> np.ndarray:
+    """Where the item begins by those of its pieces that meet the document, of words low to high."""
+    met = []
+    # Where edits at the limit can touch all runs of a piece, no window may be left out.
+    if any(gram_size(b - a, edit_limit(b - a, share)) < q for a, b in pieces(len(symbols))):
+        return begins
+    for a, b in pieces(len(symbols)):
+        n = b - a
+        starts = np.unique(begins[(gram >= a) & (gram + q <= b)]) + a
+        if not len(starts):
+            continue
+        starts = np.clip(starts, low, max(low, high - n))
+        width = min(n, high - low)
+        windows = np.zeros((len(starts), n), np.uint64)
+        windows[:, :width] = hashes[starts[:, None] + np.arange(width)]
+        met.append(starts[embedding.candidates(symbols[a:b], windows)] - a)
+    return np.concatenate(met) if met else begins[:0]
 
 
 def find_items(hashes: np.ndarray, bounds: np.ndarray, items: Items, embedding: Embedding) -> list[tuple[int, int, int, int, int]]:
@@ -219,12 +249,8 @@ def find_items(hashes: np.ndarray, bounds: np.ndarray, items: Items, embedding:
             continue
         low, high = int(bounds[d]), int(bounds[d + 1])
         best = None
-        for starts in _regions(at[a:b], at[a:b] - place[a:b], place[a:b], n, limit, max(1, least)):
-            starts = np.clip(starts, low, max(low, high - n))
-            width = min(n, high - low)
-            windows = np.zeros((len(starts), n), np.uint64)
-            windows[:, :width] = hashes[starts[:, None] + np.arange(width)]
-            met = starts[embedding.candidates(symbols, windows)]
+        for begins, gram in _regions(at[a:b], at[a:b] - place[a:b], place[a:b], n, limit, max(1, least)):
+            met = _met(symbols, hashes, low, high, begins, gram, q, items.share, embedding)
             if not len(met):
                 continue
             begin, end = max(low, int(met.min()) - limit), min(high, int(met.max()) + n + limit)
