@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
-from tidemark.llm import contamination, jaccard, packing, permutation_index, sharding, token_counts, toxicity, url_filter
+from tidemark.llm import centroids, contamination, jaccard, packing, permutation_index, prefix_trie
+from tidemark.llm import sharding, token_counts, toxicity, two_fit, url_filter
 from tidemark.llm.substring_automaton import remove_repeated_spans
 from tidemark.llm.substring_intervals import remove_repeated_bytes
 
@@ -187,3 +189,86 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document in one of 16 shards, and where it would be with 17."""
     return sharding.assign(table(spark, sf_dir, "documents"), sharding.uniform_tree(16))
+
+
+@query("op11_two_fit_packing")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 1024 ids, only longer ones cut."""
+    docs = table(spark, sf_dir, "documents")
+    pieces = two_fit.cut_documents(docs, packing.load_ranks(BYTE_BPE_RANKS), public_tokenizers.PATTERN, END_OF_TEXT)
+    return two_fit.place(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
+
+
+def _op12_sql(k: int = 8, rounds: int = 10) -> str:
+    """Every round as two tables: vectors with their centroid, and the centroids moved."""
+    steps = [
+        r"""WITH v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id,
+        list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS p FROM embeddings
+    WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        f"""c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY key, p) - 1 AS c, p
+    FROM (SELECT sha256('3:' || CAST(vec_id AS VARCHAR)) AS key, p FROM v WHERE vec_id IS NOT NULL)
+    QUALIFY row_number() OVER (ORDER BY key, p) <= {k})""",
+    ]
+    for i in range(rounds + 1):
+        steps.append(f"""a{i} AS MATERIALIZED (SELECT r, vec_id, v.p, c, list_sum(list_transform(list_zip(v.p, q.p),
+        lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS distance FROM v CROSS JOIN c{i} AS q
+    QUALIFY row_number() OVER (PARTITION BY r ORDER BY distance, c) = 1)""")
+        if i < rounds:
+            steps.append(f"""c{i + 1} AS MATERIALIZED (SELECT q.c, coalesce(m.p, q.p) AS p FROM c{i} AS q LEFT JOIN (
+        SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY d) AS p FROM (
+            SELECT c, d, sum(x) AS s, count(*) AS n FROM (
+                SELECT c, unnest(p) AS x, unnest(range(64)) AS d FROM a{i}) GROUP BY c, d) GROUP BY c) AS m USING (c))""")
+    return ",\n".join(steps) + f"""
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, CAST(distance AS BIGINT) AS distance,
+       CAST(sum(distance) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia,
+       CAST(sum(distance) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(q.p, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} AS q USING (c)"""
+
+
+@query("op12_threshold_centroids", _op12_sql())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of 64 components around eight centroids after ten rounds."""
+    found = centroids.cluster(table(spark, sf_dir, "embeddings"))
+    sums = found.assigned.groupBy("cluster").agg(F.sum("distance").alias("inertia")).collect()
+    total = sum(r["inertia"] for r in sums)
+    prints = found.fingerprints()
+    rows = [(r["cluster"], r["inertia"], total, prints[r["cluster"]]) for r in sums]
+    by = spark.createDataFrame(rows, "cluster int, cluster_inertia long, inertia long, centroid_sha256 string")
+    return found.assigned.join(F.broadcast(by), "cluster")  # A row for each centroid.
+
+
+_OP13_SQL = r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text
+           FROM conversations WHERE conv_id IS NOT NULL),
+g AS (SELECT conv_id, turn, sha256(length(role) || ':' || role || ':' || text) AS g,
+             len(regexp_extract_all(text, '[^ 	-]+')) AS w FROM t),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, g) - 1 AS pos FROM g),
+c AS (SELECT DISTINCT conv_id, conv_id - conv_id % 20 AS base, xor(list_reduce(
+          list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda s: CAST(ord(s) AS BIGINT)),
+          lambda a, b: list_reduce([0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda x, y: CASE
+              WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END, xor(a, b)), 4294967295::BIGINT), 4294967295) % 4 AS h FROM o),
+r AS (SELECT c.conv_id, o.pos, o.g, o.w FROM c JOIN o ON o.conv_id = c.base WHERE o.pos < c.h
+      UNION ALL SELECT o.conv_id, o.pos, o.g, o.w FROM c JOIN o USING (conv_id) WHERE o.pos >= c.h),
+s AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY pos) AS d, g, w FROM r),
+p AS (SELECT conv_id, d, w, string_agg(g, '') OVER (PARTITION BY conv_id ORDER BY d) AS key FROM s
+      UNION ALL SELECT conv_id, 0, 0, '' FROM c),
+n AS (SELECT d, key, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(w) AS w FROM p GROUP BY d, key),
+e AS (SELECT d, key, sha256(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id)) AS ends
+      FROM (SELECT * FROM p QUALIFY d = max(d) OVER (PARTITION BY conv_id)) GROUP BY d, key),
+k AS (SELECT d - 1 AS d, substr(key, 1, 64 * (d - 1)) AS key, count(*) AS n FROM n WHERE d > 0 GROUP BY 1, 2),
+u AS (SELECT n.d AS own, n.key AS k0, n_convs, w, k.n IS NULL AS leaf, unnest(range(0, n.d + 1)) AS d FROM n LEFT JOIN k USING (d, key)),
+z AS (SELECT d, substr(k0, 1, 64 * d) AS key, sum((n_convs - 1) * w) AS saved, count(*) FILTER (leaf) AS leaves FROM u GROUP BY 1, 2)
+SELECT n.conv_id, CAST(n.d AS BIGINT) AS depth, up.conv_id AS parent_conv_id, n.n_convs,
+       coalesce(k.n, 0) AS n_children, z.leaves AS n_leaves, CAST(z.saved AS BIGINT) AS saved_tokens,
+       coalesce(e.ends, sha256('')) AS ends_sha256
+FROM n JOIN z USING (d, key) LEFT JOIN k USING (d, key) LEFT JOIN e USING (d, key)
+LEFT JOIN n AS up ON n.d > 0 AND up.d = n.d - 1 AND up.key = substr(n.key, 1, 64 * (n.d - 1))
+"""
+
+
+@query("op13_prefix_trie", _OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prefixes that conversations share, after every 20th lends up to three turns to its family."""
+    turns = prefix_trie.ordered_turns(table(spark, sf_dir, "conversations"))
+    return prefix_trie.trie(*prefix_trie.share_openings(turns, family=20, most=4))
