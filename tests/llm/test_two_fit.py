@@ -89,8 +89,7 @@ def covers(pieces, ids):
     return len(sequences)
 
 
-def test_every_id_once(spark, monkeypatch):
-    monkeypatch.setattr(two_fit, "RANKED_ROWS", 3)  # Many parts of each length.
+def test_every_id_once(spark):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     odd = [(-1, None), (-2, ""), (-3, "lorem ipsum dolor " * 4000), (-4, "é <|endoftext|> ñ\x00z"), (-5, " \n")]

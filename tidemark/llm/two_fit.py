@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +30,6 @@ from tidemark.shared import stage
 
 WINDOW = 1024
 END = 2
-#: Pieces of one length that a task puts in order; more are dealt to several.
-RANKED_ROWS = 100_000
-
 PIECES = "doc_id long, piece int, start long, length long, ids binary, uid long"
 
 
@@ -173,8 +171,9 @@ def place(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
     counts = np.zeros(window + 1, np.int64)
     for row in counted:
         counts[row["length"]] = row["count"]
-    # A row for each length, so at most as many as a sequence has tokens.
-    parts = [(n, -(-int(c) // RANKED_ROWS)) for n, c in enumerate(counts) if c]
+    # A row for each length, so at most as many as a sequence has tokens. A length has
+    # about as many parts as a part has pieces, so neither grows with a hot length.
+    parts = [(n, 1 + isqrt(int(c))) for n, c in enumerate(counts) if c]
     parts = spark.createDataFrame(parts, "length long, parts long")
     dealt = pieces.join(F.broadcast(parts), "length").withColumn("part", F.expr("pmod(xxhash64(uid), parts)"))
     earlier = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
