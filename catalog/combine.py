@@ -16,6 +16,8 @@ from catalog.base import (
 )
 from tidemark.operators import combine as C
 from tidemark.schemas import KEYS, WATER_LEVEL
+from tidemark.shared import fresh_path
+from tidemark.sources import observations as O
 
 _K = "station_id, variable"
 
@@ -40,6 +42,14 @@ def assemble_variables(spark, sf_dir):
     return C.assemble_variables(obs_hourly(spark, sf_dir), list(HOURLY_VARIABLES.values()))
 
 
+def one_per_time_sql(source: str) -> str:
+    """A value that is there before others, then a verified one, then the lowest; the verified mark."""
+    return f"""SELECT {_K}, ts,
+    (list(value ORDER BY value IS NULL, qc IS DISTINCT FROM 'v', value))[1] AS value,
+    (list(qc ORDER BY qc IS DISTINCT FROM 'v', qc IS NULL, qc))[1] AS qc
+  FROM {source} GROUP BY {_K}, ts"""
+
+
 # Six-minute levels start on 10 Jan; hourly heights run on to 14 Jan.
 LEVELS_FROM, HEIGHTS_TO = "2024-01-10", "2024-01-14"
 
@@ -84,11 +94,10 @@ in_range AS (
   WHERE f.t IS NULL OR CAST(h.ts AS DATE) <= CAST(f.t AS DATE) + 1),
 older AS (
   SELECT * FROM in_range QUALIFY ts < max(ts) OVER (PARTITION BY {_K})),
-spliced AS (
-  SELECT {_K}, ts, value, qc FROM (
-    SELECT *, 0 AS src FROM older UNION ALL SELECT *, 1 AS src FROM levels)
-  QUALIFY row_number() OVER (PARTITION BY {_K}, ts
-                             ORDER BY src, qc IS NOT DISTINCT FROM 'v' DESC, value IS NULL, value, qc) = 1)"""
+sides AS (
+  SELECT * FROM (SELECT *, 0 AS src FROM older UNION ALL SELECT *, 1 AS src FROM levels)
+  QUALIFY src = min(src) OVER (PARTITION BY {_K}, ts)),
+spliced AS ({one_per_time_sql('sides')})"""
 
 
 @query("splice_hourly", f"WITH {OBS_HOURLY},\n{SPLICE_SQL}\nSELECT * FROM spliced")
@@ -119,10 +128,8 @@ span AS (
   SELECT {_K}, CAST(min(ts) AS DATE) AS a, CAST(max(ts) AS DATE) + 1 AS b
   FROM obs WHERE qc = 'p' GROUP BY {_K}),
 inside AS (
-  SELECT f.* FROM fresh f JOIN span s ON s.station_id = f.station_id AND s.variable = f.variable
-  WHERE CAST(f.ts AS DATE) BETWEEN s.a AND s.b
-  QUALIFY row_number() OVER (PARTITION BY f.station_id, f.variable, f.ts
-                             ORDER BY f.qc IS NOT DISTINCT FROM 'v' DESC, f.value IS NULL, f.value) = 1)
+  {one_per_time_sql("""(SELECT f.* FROM fresh f JOIN span s ON s.station_id = f.station_id
+    AND s.variable = f.variable WHERE CAST(f.ts AS DATE) BETWEEN s.a AND s.b)""")})
 SELECT o.station_id, o.variable, o.ts, coalesce(i.value, o.value) AS value,
        coalesce(i.qc, o.qc) AS qc
 FROM obs o LEFT JOIN inside i
@@ -209,7 +216,10 @@ def get_observations(spark, sf_dir):
 
 @query("get_variables", f"WITH {OBS_LONG} SELECT DISTINCT {_K} FROM obs")
 def get_variables(spark, sf_dir):
-    return C.get_variables(obs_long(spark, sf_dir))
+    """Of a stored record, from its manifest."""
+    path = fresh_path(spark, "record")
+    O.write_observations(obs_long(spark, sf_dir), path)
+    return O.stored_variables(spark, path)
 
 
 @query(

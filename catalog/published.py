@@ -137,7 +137,7 @@ def current_year_records_monthly(spark, sf_dir):
 @query("drop_empty_stats", f"{DAILY_STATS_LONG}\nSELECT * FROM stats")
 def drop_empty_stats(spark, sf_dir):
     stats = P.current_year_records(stats_long(spark, sf_dir), 1990)
-    return rounded(P.drop_empty_stats(stats))
+    return rounded(P.drop_empty_stats(stats, P.count_filled(stats)))
 
 
 @query(

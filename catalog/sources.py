@@ -28,7 +28,7 @@ from catalog.base import (
     rounded,
     table,
 )
-from catalog.combine import HEIGHTS_TO, LEVELS_FROM, SPLICE_SQL, ntz
+from catalog.combine import HEIGHTS_TO, LEVELS_FROM, SPLICE_SQL, ntz, one_per_time_sql
 from catalog.published import stats_long
 from tidemark.operators.combine import last_obs, one_per_time
 from tidemark.operators.published import yesterday_summary
@@ -277,17 +277,17 @@ def update_data(spark, sf_dir):
     return _refreshed(spark, sf_dir).observations()
 
 
-@query(
-    "update_data_mixed_batch",
-    f"""WITH {OBS_HOURLY}
+# Water levels land as preliminary, missing verified and, from 50 up, verified readings.
+_MIXED = f"""WITH {OBS_HOURLY}
 SELECT {_K}, ts,
-  CASE WHEN variable = 'Water Level' AND ts >= TIMESTAMP '2024-01-20' THEN value + 1
-       ELSE value END AS value,
+  CASE WHEN variable <> 'Water Level' OR ts < TIMESTAMP '2024-01-20' THEN value
+       WHEN value >= 50 THEN value + 1 ELSE value - 40 END AS value,
   CASE WHEN variable = 'Water Level' THEN 'v' END AS qc
-FROM obs""",
-)
-def update_data_mixed_batch(spark, sf_dir):
-    """A refresh with preliminary, verified and missing readings of one time."""
+FROM obs"""
+
+
+def _mixed_readings(spark, sf_dir):
+    """A loaded store, late readings of other variables, and levels in several readings."""
     obs = obs_hourly(spark, sf_dir)
     store = _store(spark)
     jobs.initial_load(store, obs.where(F.col("ts") < ntz("2024-01-22")), station_config(obs), _AS_OF)
@@ -297,9 +297,28 @@ def update_data_mixed_batch(spark, sf_dir):
     def of(value, qc):
         return F.struct(value.cast("double").alias("value"), F.lit(qc).alias("qc"))
 
-    three = F.array(of(F.col("value") - 40, "p"), of(F.lit(None), "v"), of(F.col("value") + 1, "v"))
-    levels = late.where(level).select(*KEYS, "ts", F.inline(three))
-    jobs.update_data(store, late.where(~level).unionByName(levels), _AS_OF)
+    two = F.array(of(F.col("value") - 40, "p"), of(F.lit(None), "v"))
+    three = F.array_append(two, of(F.col("value") + 1, "v"))
+    readings = F.when(F.col("value") >= 50, three).otherwise(two)
+    return store, late.where(~level), late.where(level).select(*KEYS, "ts", F.inline(readings))
+
+
+@query("update_data_mixed_batch", _MIXED)
+def update_data_mixed_batch(spark, sf_dir):
+    """A refresh with preliminary, verified and missing readings of one time."""
+    store, others, levels = _mixed_readings(spark, sf_dir)
+    jobs.update_data(store, others.unionByName(levels), _AS_OF)
+    return store.observations()
+
+
+@query("update_data_two_landings", _MIXED)
+def update_data_two_landings(spark, sf_dir):
+    """The same readings, the preliminary ones first, and the second landing twice."""
+    store, others, levels = _mixed_readings(spark, sf_dir)
+    verified = F.col("qc") == "v"
+    jobs.update_data(store, others.unionByName(levels.where(~verified)), _AS_OF, source="levels", batch_id=0)
+    for _ in range(2):
+        jobs.update_data(store, levels.where(verified), _AS_OF, source="levels", batch_id=1)
     return store.observations()
 
 
@@ -348,7 +367,6 @@ def update_data_late_product(spark, sf_dir):
     return store.observations()
 
 
-# Verified before other readings, present before missing ones, then the lowest.
 @query(
     "initial_load_duplicates",
     f"""WITH {OBS_LONG},
@@ -357,8 +375,7 @@ every AS (
   UNION ALL SELECT {_K}, ts, value - 100, 'p' FROM obs WHERE variable = 'Water Level'
   UNION ALL SELECT {_K}, ts, NULL, 'v' FROM obs WHERE variable = 'Water Level'
     AND ts < TIMESTAMP '1998-01-01')
-SELECT * FROM every QUALIFY row_number() OVER (
-  PARTITION BY {_K}, ts ORDER BY qc IS DISTINCT FROM 'v', value IS NULL, value) = 1""",
+{one_per_time_sql('every')}""",
 )
 def initial_load_duplicates(spark, sf_dir):
     """A first load of several readings of one time."""
@@ -398,3 +415,14 @@ def reprocess(spark, sf_dir):
     return rounded(store.stats("daily"))
 
 
+@query(
+    "reprocess_monthly",
+    f"{monthly_stats_sql(f'WITH {OBS_HOURLY}, {daily_sql(4, 29)}')}\nSELECT * FROM stats",
+)
+def reprocess_monthly(spark, sf_dir):
+    """Load with the default gates, then allow all but two days of a month to be bad."""
+    obs = obs_hourly(spark, sf_dir)
+    store = _store(spark)
+    jobs.initial_load(store, obs, station_config(obs), _AS_OF)
+    jobs.reprocess(store, hr_threshold=4, day_threshold=29)
+    return rounded(store.stats("monthly"))

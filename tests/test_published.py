@@ -89,7 +89,7 @@ def test_thresholds_and_current_year(spark):
 
 def test_drop_empty_stats(spark):
     stats = P.current_year_records(stats_of(spark, BASE), 1950)
-    kept = P.drop_empty_stats(stats)
+    kept = P.drop_empty_stats(stats, P.count_filled(stats))
     assert "high_records" not in kept.columns and "record_high" in kept.columns
 
 

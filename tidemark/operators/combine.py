@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.calendar import format_date
 from tidemark.schemas import KEYS, STATION, VARIABLE, WATER_LEVEL
-from tidemark.shared import stage
 
 _AT = [*KEYS, "ts"]
 APPEND_KEYS = {"ts": [STATION, "ts"], "ts,variable": _AT}
@@ -27,58 +26,73 @@ def assemble_variables(obs: DataFrame, variables: list[str]) -> DataFrame:
     Times are the union over all variables. `variables` is explicit, so no
     extra job has to look for the column names. Water level brings its QC mark.
     """
-    picks = {v: F.min(F.when(F.col(VARIABLE) == v, _preference())) for v in variables}
-    wide = obs.where(F.col(VARIABLE).isin(variables)).groupBy(STATION, "ts")
-    wide = wide.agg(*(pick.alias(v) for v, pick in picks.items()))
-    columns = [F.col(f"`{v}`.value").alias(v) for v in variables]
+    value, mark = _preferences()
+    picks = {v: F.min(F.when(F.col(VARIABLE) == v, value))["value"].alias(v) for v in variables}
     if WATER_LEVEL in variables:
-        columns.append(F.col(f"`{WATER_LEVEL}`.qc").alias(f"{WATER_LEVEL} QC"))
-    return wide.select(STATION, "ts", *columns)
+        level = F.min(F.when(F.col(VARIABLE) == WATER_LEVEL, mark))["qc"]
+        picks[f"{WATER_LEVEL} QC"] = level.alias(f"{WATER_LEVEL} QC")
+    wide = obs.where(F.col(VARIABLE).isin(variables)).groupBy(STATION, "ts")
+    return wide.agg(*picks.values())
 
 
-def _preference(rank: Column | None = None) -> Column:
-    """Readings of one time in order of preference: the least struct counts.
+def _preferences(rank: Column | None = None) -> tuple[Column, Column]:
+    """Order of preference among the readings of one time, of their values and of their marks.
 
-    Lowest rank first, then verified before other readings, present before
-    missing ones, then the lowest value. Value and mark stay together.
+    The least struct counts. Lowest rank first; of values one that is there,
+    then a verified one, then the lowest; of marks the verified one, then any
+    other. So a missing verified reading marks the time but never hides a value,
+    whether both come in one batch or one after the other.
     """
-    return F.struct(
-        (F.lit(0) if rank is None else rank).alias("rank"),
-        F.when(F.col("qc") == "v", 0).otherwise(1).alias("unverified"),
-        F.col("value").isNull().alias("missing"),
-        "value",
-        "qc",
-    )
+    first = F.lit(0) if rank is None else rank
+    unverified = F.when(F.col("qc") == "v", 0).otherwise(1).alias("unverified")
+    value = F.struct(first.alias("rank"), F.col("value").isNull().alias("missing"), unverified, "value")
+    mark = F.struct(first.alias("rank"), unverified, F.col("qc").isNull().alias("missing"), "qc")
+    return value, mark
 
 
 def one_per_time(obs: DataFrame, rank: Column | None = None) -> DataFrame:
-    """One row per station, variable and time, by rank and `_preference`."""
-    pick = F.min(_preference(rank)).alias("pick")
-    return obs.groupBy(*_AT).agg(pick).select(*_AT, "pick.value", "pick.qc")
+    """One row per station, variable and time, by rank and `_preferences`."""
+    value, mark = _preferences(rank)
+    best = obs.groupBy(*_AT).agg(F.min(value).alias("of_value"), F.min(mark).alias("of_mark"))
+    return best.select(*_AT, "of_value.value", "of_mark.qc")
+
+
+def splice_bounds(hourly: DataFrame, levels: DataFrame) -> DataFrame:
+    """Where hourly heights end, for each series and year that has some.
+
+    One aggregate over both inputs makes a row per series and day, which is
+    already small; the bounds of a series are windows over its days. Rows by
+    year let the join with the readings split a hot station.
+    """
+    both = hourly.select(*KEYS, F.to_date("ts").alias("date"), F.col("ts").alias("height"), F.lit(None).cast("timestamp_ntz").alias("level"))
+    both = both.unionByName(
+        levels.select(*KEYS, F.to_date("ts").alias("date"), F.lit(None).cast("timestamp_ntz").alias("height"), F.col("ts").alias("level"))
+    )
+    days = both.groupBy(*KEYS, "date").agg(F.max("height").alias("height"), F.min("level").alias("level"))
+    series = Window.partitionBy(*KEYS)
+    days = days.withColumn("through", F.date_add(F.to_date(F.min("level").over(series)), 1))
+    inside = F.col("through").isNull() | (F.col("date") <= F.col("through"))
+    days = days.withColumn("last_hourly", F.max(F.when(inside, F.col("height"))).over(series))
+    years = days.where(F.col("height").isNotNull()).groupBy(*KEYS, F.year("date").alias("year"))
+    return years.agg(F.min("through").alias("through"), F.min("last_hourly").alias("last_hourly"))
 
 
 def splice_hourly(hourly: DataFrame, levels: DataFrame) -> DataFrame:
     """Hourly heights in front of six-minute levels of the same series.
 
     Hourly rows run through the day after the first level and lose their last
-    row; at equal times the hourly row stays, even if its value is missing. The
-    bounds are one row per series and staged: Spark sees their size and leaves
-    the readings in place unless there are very many series.
+    row; at equal times the hourly row stays, even if its value is missing.
+    Each input is read twice, once for the bounds; nothing runs before the
+    result is asked for.
     """
-    first_level = stage(
-        levels.groupBy(*KEYS).agg(F.min("ts").alias("first_level")), "first-level"
-    )
-    through = F.date_add(F.to_date("first_level"), 1)
-    in_range = hourly.join(first_level, KEYS, "left").where(
-        F.col("first_level").isNull() | (F.to_date("ts") <= through)
-    )
-    last_hourly = stage(
-        in_range.groupBy(*KEYS).agg(F.max("ts").alias("last_hourly")), "last-hourly"
+    on = [*KEYS, "year"]
+    dated = hourly.select(*_AT, "value", "qc", F.year("ts").alias("year"))
+    older = dated.join(splice_bounds(hourly, levels), on).where(
+        (F.col("through").isNull() | (F.to_date("ts") <= F.col("through")))
+        & (F.col("ts") < F.col("last_hourly"))
     )
-    older = in_range.join(last_hourly, KEYS).where(F.col("ts") < F.col("last_hourly"))
-    both = (
-        older.select(*_AT, "value", "qc", F.lit(0).alias("rank"))
-        .unionByName(levels.select(*_AT, "value", "qc", F.lit(1).alias("rank")))
+    both = older.select(*_AT, "value", "qc", F.lit(0).alias("rank")).unionByName(
+        levels.select(*_AT, "value", "qc", F.lit(1).alias("rank"))
     )
     return one_per_time(both, F.col("rank"))
 
@@ -118,10 +132,25 @@ def overlay_verified(
 
     A new value or QC mark replaces the old one at the same time unless it is
     missing, so a missing verified value never erases a preliminary one while
-    its QC mark still counts.
+    its QC mark still counts. `ranges` (`preliminary_days` of the daily table)
+    saves a pass over the stored rows. Nothing runs before the result is asked
+    for.
     """
-    ranges = stage(preliminary_range(obs), "ranges") if ranges is None else ranges
-    return lay_over(obs, stage(verified_rows(new, ranges), "verified"))
+    ranges = preliminary_range(obs) if ranges is None else ranges
+    return lay_over(obs, verified_rows(new, ranges))
+
+
+def changed_cells(obs: DataFrame, fresh: DataFrame) -> DataFrame:
+    """Rows of `lay_over` that differ from what is stored, and no others."""
+    pair = fresh.select(*_AT, F.col("value").alias("new_value"), F.col("qc").alias("new_qc"))
+    differs = (
+        F.col("new_value").isNotNull() & ~F.col("value").eqNullSafe(F.col("new_value"))
+    ) | (F.col("new_qc").isNotNull() & ~F.col("qc").eqNullSafe(F.col("new_qc")))
+    return obs.join(pair, _AT).where(differs).select(
+        *_AT,
+        F.coalesce("new_value", "value").alias("value"),
+        F.coalesce("new_qc", "qc").alias("qc"),
+    )
 
 
 def lay_over(obs: DataFrame, fresh: DataFrame) -> DataFrame:
@@ -223,5 +252,8 @@ def get_observations(
 
 
 def get_variables(obs: DataFrame) -> DataFrame:
-    """Variables of each station."""
+    """Variables of each station, from the readings themselves.
+
+    For a stored record the manifest knows them (`stored_variables`).
+    """
     return obs.select(*KEYS).distinct()

@@ -11,8 +11,13 @@ from tidemark.schemas import DAY_THRESHOLD, KEYS
 AVERAGES = {"midrange": "mid", "mean": "mean"}
 
 
-def average_column(average: str = "midrange") -> Column:
-    """Daily average: half of high plus low (default), or the mean of all values."""
+def average_column(average: str | Column = "midrange") -> Column:
+    """Daily average: half of high plus low (default), or the mean of all values.
+
+    A column names the method row by row, so that each station may have its own.
+    """
+    if isinstance(average, Column):
+        return F.when(average == "mean", F.col("mean")).otherwise(F.col("mid"))
     if average not in AVERAGES:
         raise ValueError(f"average must be one of {sorted(AVERAGES)}, not {average!r}")
     return F.col(AVERAGES[average])
@@ -57,7 +62,7 @@ def mon_daily_avgs(daily: DataFrame, average: str = "midrange") -> DataFrame:
 
 
 def all_months(
-    daily: DataFrame, average: str = "midrange", day_threshold: int | Column = DAY_THRESHOLD
+    daily: DataFrame, average: str | Column = "midrange", day_threshold: int | Column = DAY_THRESHOLD
 ) -> DataFrame:
     """Mean, highest and lowest daily average of each month, and if it is good.
 

@@ -53,7 +53,7 @@ def _aggregate(df: DataFrame, keys: list[str], stats: list[Stat]) -> DataFrame:
 # --- by day of year ---------------------------------------------------------
 
 
-def _days(daily: DataFrame, average: str = "midrange") -> DataFrame:
+def _days(daily: DataFrame, average: str | Column = "midrange") -> DataFrame:
     """Daily values with their place in the calendar; bad days are NULL."""
     good = F.col("good_day")
     return daily.select(
@@ -238,35 +238,57 @@ _MONTHLY = [
 ]
 
 
-def daily_stats(daily: DataFrame, average: str = "midrange") -> DataFrame:
-    """All daily statistics on 366 labelled days; days without data are NULL.
+def daily_labels(daily: DataFrame, average: str | Column = "midrange") -> DataFrame:
+    """The daily statistics of the days of the year that occur in `daily`.
 
     Bad days count for nothing but stay in, so that a series without any good
-    day is published as well, with NULL throughout.
+    day has its labels too, with NULL throughout.
     """
-    stats = _aggregate(_days(daily, average), [*KEYS, "yearday"], _DAILY)
-    labelled = densify(stats, KEYS, "yearday", 1, 366)
+    return _aggregate(_days(daily, average), [*KEYS, "yearday"], _DAILY)
+
+
+def publish_daily(labels: DataFrame) -> DataFrame:
+    """Daily statistics on 366 labelled days of each series; absent days are NULL."""
+    labelled = densify(labels.select(*KEYS, "yearday", *DAILY_STATS), KEYS, "yearday", 1, 366)
     return labelled.select(
         *KEYS, "yearday", day_label("yearday").alias("date_label"), *DAILY_STATS
     )
 
 
-def monthly_stats(
-    daily: DataFrame, average: str = "midrange", day_threshold: int | Column = DAY_THRESHOLD
-) -> DataFrame:
-    """All monthly statistics on 12 labelled months; months without data are NULL.
+def daily_stats(daily: DataFrame, average: str | Column = "midrange") -> DataFrame:
+    """All daily statistics on 366 labelled days; days without data are NULL.
 
-    A series without any good month is published as well, with NULL throughout.
+    A series without any good day is published as well, with NULL throughout.
     """
+    return publish_daily(daily_labels(daily, average))
+
+
+def monthly_labels(months: DataFrame) -> DataFrame:
+    """The monthly statistics of the months of the year that occur in `all_months`."""
     masked = {c: F.when(F.col("enough"), F.col(c)) for c in ("mean", "high", "low")}
-    months = all_months(daily, average, day_threshold).withColumns(masked)
-    stats = _over_months(months, _MONTHLY)
-    labelled = densify(stats, KEYS, "month", 1, 12)
+    return _over_months(months.withColumns(masked), _MONTHLY)
+
+
+def publish_monthly(labels: DataFrame) -> DataFrame:
+    """Monthly statistics on 12 labelled months of each series; absent months are NULL."""
+    labelled = densify(labels.select(*KEYS, "month", *MONTHLY_STATS), KEYS, "month", 1, 12)
     return labelled.select(
         *KEYS, "month", month_label("month").alias("month_label"), *MONTHLY_STATS
     )
 
 
+def monthly_stats(
+    daily: DataFrame,
+    average: str | Column = "midrange",
+    day_threshold: int | Column = DAY_THRESHOLD,
+) -> DataFrame:
+    """All monthly statistics on 12 labelled months; months without data are NULL.
+
+    A series without any good month is published as well, with NULL throughout.
+    """
+    return publish_monthly(monthly_labels(all_months(daily, average, day_threshold)))
+
+
 def data_range(
     daily: DataFrame, kind: str = "daily", day_threshold: int | Column = DAY_THRESHOLD
 ) -> DataFrame:
@@ -278,9 +300,12 @@ def data_range(
             .agg(F.min("date").alias("start_date"), F.max("date").alias("end_date"))
         )
     if kind == "monthly":
-        return (
-            month_series(daily, day_threshold=day_threshold)
-            .groupBy(*KEYS)
-            .agg(F.min("first_date").alias("start_date"), F.max("last_date").alias("end_date"))
-        )
+        return range_of_months(month_series(daily, day_threshold=day_threshold))
     raise ValueError(f"kind must be 'daily' or 'monthly', not {kind!r}")
+
+
+def range_of_months(months: DataFrame) -> DataFrame:
+    """First and last valid date of each variable from its good months."""
+    return months.groupBy(*KEYS).agg(
+        F.min("first_date").alias("start_date"), F.max("last_date").alias("end_date")
+    )

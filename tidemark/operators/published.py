@@ -51,18 +51,22 @@ def current_year_records(stats: DataFrame, year: int) -> DataFrame:
     )
 
 
-def drop_empty_stats(stats: DataFrame, keep: list[str] | None = None) -> DataFrame:
+def drop_empty_stats(
+    stats: DataFrame, filled: dict[str, int], keep: list[str] | None = None
+) -> DataFrame:
     """Without the columns that hold no value at all.
 
-    Counts every column in one aggregate; only that single row reaches the
-    driver, which needs it to name the remaining columns.
+    `filled` tells how many values each column has, as the manifest of a stored
+    table does (`filled_columns`) or, for any other frame, `count_filled`. So no
+    job runs while the plan is built.
     """
     keep = KEYS if keep is None else keep
-    candidates = [c for c in stats.columns if c not in keep]
-    if not candidates:
-        return stats
-    filled = stats.agg(*[F.count(F.col(c)).alias(c) for c in candidates]).first()
-    return stats.select(*[c for c in stats.columns if c in keep or filled[c] > 0])
+    return stats.select(*[c for c in stats.columns if c in keep or filled.get(c, 1) > 0])
+
+
+def count_filled(stats: DataFrame) -> dict[str, int]:
+    """Values in each column: one aggregate, whose single row the driver gets."""
+    return stats.agg(*[F.count(F.col(c)).alias(c) for c in stats.columns]).first().asDict()
 
 
 def _is_sum(name: str, columns: list[str]) -> bool:
@@ -163,7 +167,9 @@ def new_records(old: DataFrame, new: DataFrame, units: DataFrame | None = None)
     )
 
 
-def yesterday_summary(daily: DataFrame, as_of: Column, average: str = "midrange") -> DataFrame:
+def yesterday_summary(
+    daily: DataFrame, as_of: Column, average: str | Column = "midrange"
+) -> DataFrame:
     """Average, high and low of the day before `as_of`, if it was a good day."""
     day = F.date_sub(F.to_date(as_of), 1)
     good = (F.col("date") == day) & F.col("good_day") & F.col("high").isNotNull()

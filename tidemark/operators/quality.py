@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from tidemark.functions.calendar import days_in_month, month_start
 from tidemark.functions.scalars import nan_to_null, null_fill_value
 from tidemark.schemas import DAY_THRESHOLD, FILL_VALUE, HR_THRESHOLD, KEYS
-from tidemark.shared import stage
 
 _DAY = [*KEYS, "date"]
 
@@ -110,20 +109,28 @@ def apply_gates(
     return good_month(good_day(daily, hr_threshold), day_threshold)
 
 
-def _drop_days(obs: DataFrame, bad: DataFrame, fill_value, fill_variables) -> DataFrame:
-    """Observations outside the listed days.
+def _drop_days(obs: DataFrame, good: DataFrame, fill_value, fill_variables) -> DataFrame:
+    """Observations on the listed days, joined by series and day."""
+    dated = obs.withColumn("date", F.to_date("ts"))
+    dated = dated.withColumn("value", clean_value(fill_value, fill_variables))
+    return dated.join(good.select(*_DAY), _DAY, "left_semi").select(*obs.columns)
 
-    Bad days are the small minority, so the anti join carries only those. They
-    are staged, so that their size is known: under Spark's broadcast limit the
-    observations stay where they are, beyond it both sides are shuffled on
-    (station, variable, day).
+
+def _gated(obs: DataFrame, hr_threshold: int, fill_value, fill_variables) -> DataFrame:
+    """Observations with the hours of their day that hold data, `good_day` and `month`.
+
+    One window over each day of a series. It is part of a month, so readings
+    that lie bucketed by series and month (`write_bucketed`) are neither
+    shuffled here nor for the month gate.
     """
-    order = obs.columns
-    bad = stage(bad.select(*_DAY), "bad-days")
-    dated = obs.withColumn("date", F.to_date("ts")).withColumn(
-        "value", clean_value(fill_value, fill_variables)
+    month = F.col("month") if "month" in obs.columns else month_start(F.to_date("ts"))
+    rows = obs.withColumns(
+        {"month": month, "date": F.to_date("ts"), "value": clean_value(fill_value, fill_variables)}
     )
-    return dated.join(bad, _DAY, "left_anti").select(*order)
+    bit = F.when(F.col("value").isNotNull(), F.expr("shiftleft(1, hour(ts))"))
+    day = Window.partitionBy(*KEYS, "month", "date")
+    hours = F.coalesce(F.bit_count(F.bit_or(bit).over(day)), F.lit(0)).cast("int")
+    return rows.withColumn("n_hours", hours).withColumn("good_day", is_good_day(hr_threshold))
 
 
 def filter_days_by_hours(
@@ -131,10 +138,19 @@ def filter_days_by_hours(
     hr_threshold: int = HR_THRESHOLD,
     fill_value: float | None = FILL_VALUE,
     fill_variables: list[str] | None = None,
+    daily: DataFrame | None = None,
 ) -> DataFrame:
-    """Observations of good days; fill values come back as NULL."""
-    daily = daily_summary(obs, fill_value, fill_variables)
-    return _drop_days(obs, daily.where(~is_good_day(hr_threshold)), fill_value, fill_variables)
+    """Observations of good days; fill values come back as NULL.
+
+    Reads the observations once and starts no job. With the stored `daily`
+    summaries of the same observations, which are far smaller, the days are
+    joined; without, they are a window over the readings, which costs no
+    exchange if these are bucketed.
+    """
+    if daily is not None:
+        good = daily.where(is_good_day(hr_threshold))
+        return _drop_days(obs, good, fill_value, fill_variables)
+    return _gated(obs, hr_threshold, fill_value, fill_variables).where("good_day").select(*obs.columns)
 
 
 def filter_months_by_days(
@@ -143,8 +159,17 @@ def filter_months_by_days(
     day_threshold: int = DAY_THRESHOLD,
     fill_value: float | None = FILL_VALUE,
     fill_variables: list[str] | None = None,
+    daily: DataFrame | None = None,
 ) -> DataFrame:
-    """Observations of good days in good months; fill values come back as NULL."""
-    daily = daily_table(obs, hr_threshold, day_threshold, fill_value, fill_variables)
-    bad = daily.where(~(F.col("good_day") & F.col("good_month")))
-    return _drop_days(obs, bad, fill_value, fill_variables)
+    """Observations of good days in good months; fill values come back as NULL.
+
+    See `filter_days_by_hours`. Good days are the set bits of a 31-bit mask.
+    """
+    if daily is not None:
+        good = apply_gates(daily, hr_threshold, day_threshold).where("good_day AND good_month")
+        return _drop_days(obs, good, fill_value, fill_variables)
+    rows = _gated(obs, hr_threshold, fill_value, fill_variables)
+    bit = F.when(F.col("good_day") & (F.col("n_hours") > 0), F.expr("shiftleft(1L, day(date))"))
+    n_days = F.coalesce(F.bit_count(F.bit_or(bit).over(Window.partitionBy(*KEYS, "month"))), F.lit(0))
+    enough = n_days >= days_in_month("month") - day_threshold
+    return rows.withColumn("good_month", enough).where("good_day AND good_month").select(*obs.columns)

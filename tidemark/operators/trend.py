@@ -39,8 +39,13 @@ def monthly_series(
     The span covers all variables of the station, so a variable that starts
     late or ends early has missing months at its ends.
     """
+    return series_of_months(month_series(daily, average, day_threshold), variable)
+
+
+def series_of_months(months: DataFrame, variable: str | None = None) -> DataFrame:
+    """`monthly_series` from good months."""
     station = Window.partitionBy(STATION)
-    months = month_series(daily, average, day_threshold).select(
+    months = months.select(
         *KEYS, month_number("month_start").alias("month"), F.col("mean").alias("value")
     )
     months = months.withColumns(
@@ -174,7 +179,15 @@ def trend(
     scan; the longer span of other variables would be trimmed anyway.
     """
     one = daily.where(F.col(VARIABLE) == variable)
-    series = row_index(trim_ends(monthly_series(one, variable, average, day_threshold)))
+    return trend_of_months(month_series(one, average, day_threshold), variable, period)
+
+
+def trend_of_months(
+    months: DataFrame, variable: str = WATER_LEVEL, period: int = PERIOD
+) -> DataFrame:
+    """`trend` from good months."""
+    one = months.where(F.col(VARIABLE) == variable)
+    series = row_index(trim_ends(series_of_months(one, variable)))
     fitted = linear_trend(deseasonalise(interpolate_gaps(series), period=period))
     return mask_interpolated(fitted)
 

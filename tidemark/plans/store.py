@@ -1,156 +1,140 @@
-"""Tables of one deployment and how they are replaced."""
+"""Tables of one deployment, read and changed as one."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from tidemark.schemas import DAILY, METADATA, OBSERVATIONS, STATION
-from tidemark.sources.metadata import read_metadata, write_metadata
-from tidemark.sources.observations import (
-    read_daily,
-    read_observations,
-    write_daily,
-    write_observations,
+
+from tidemark.operators.published import drop_empty_stats
+from tidemark.schemas import (
+    KEYS,
+    MONTHS,
+    PENDING,
+    RANGES,
+    RECORD_LOG,
+    STATION,
+    TRENDS,
+    VARIABLE,
+    axis_column,
+    label_column,
 )
-from tidemark.sources.statistics import read_stats, stats_schema, write_stats
+from tidemark.snapshots import Commit, Layout, Snapshots, View
+from tidemark.sources.metadata import METADATA_TABLE
+from tidemark.sources.observations import DAILY_TABLE, OBSERVATION_TABLE
+from tidemark.sources.statistics import stats_table
+
+MONTH_TABLE = Layout("months", MONTHS, order=(VARIABLE, "month_start"))
+PENDING_TABLE = Layout("pending", PENDING, by_station=False, order=(*KEYS, "date"))
+RANGE_TABLE = Layout("ranges", RANGES, order=(VARIABLE, "kind"))
+TREND_TABLE = Layout("trends", TRENDS, order=(VARIABLE,))
+RECORD_TABLE = Layout("record_log", RECORD_LOG, by_station=False, order=("kind", *KEYS))
+
+
+class Tables:
+    """Reading access to the tables of a view."""
+
+    view: View
+
+    def observations(self, touched: DataFrame | None = None) -> DataFrame:
+        """Stored observations, or those of the listed stations (and years)."""
+        return self.view.read(OBSERVATION_TABLE, touched)
+
+    def daily(self, touched: DataFrame | None = None, year: int | None = None) -> DataFrame:
+        """Daily summaries, or those of the listed stations (and years), or of one year."""
+        return self.view.read(DAILY_TABLE, touched, year)
+
+    def stats(self, kind: str, stations: DataFrame | None = None) -> DataFrame:
+        """The daily or monthly statistics."""
+        return self.view.read(stats_table(kind), stations)
+
+    def filled_stats(self, kind: str) -> DataFrame:
+        """The statistics without the columns that hold no value at all.
+
+        The manifest has counted them: a row for each column reaches the driver,
+        and no statistic is read before the result is asked for.
+        """
+        layout = stats_table(kind)
+        filled = {r["column"]: r["n_values"] for r in self.view.filled(layout).collect()}
+        keep = [*KEYS, axis_column(layout.columns), label_column(layout.columns)]
+        return drop_empty_stats(self.view.read(layout), filled, keep)
+
+    def metadata(self) -> DataFrame:
+        return self.view.read(METADATA_TABLE)
+
+    def months(self, stations: DataFrame | None = None) -> DataFrame:
+        """Months of each series, good and bad."""
+        return self.view.read(MONTH_TABLE, stations)
+
+    def pending(self) -> DataFrame:
+        """Days that changed since the statistics were made."""
+        return self.view.read(PENDING_TABLE)
+
+    def ranges(self, stations: DataFrame | None = None) -> DataFrame:
+        """First and last valid date and unit of each variable, by kind of statistics."""
+        return self.view.read(RANGE_TABLE, stations)
+
+    def trends(self, stations: DataFrame | None = None) -> DataFrame:
+        """Water level trend of each station."""
+        return self.view.read(TREND_TABLE, stations)
+
+    def record_log(self, versions: DataFrame | None = None) -> DataFrame:
+        """All new records that were ever reported, with the version that did."""
+        return self.view.read(RECORD_TABLE, versions=versions)
+
+    def variables(self) -> DataFrame:
+        """(station_id, variable) of the record, from the manifest alone."""
+        return self.view.series(OBSERVATION_TABLE).select(*KEYS)
+
+
+class StoreCommit(Tables, Commit):
+    """A commit over the tables of a store; it reads what it has written."""
 
 
 @dataclass(frozen=True)
-class Store:
+class Store(Tables):
     """Observations, daily summaries, statistics and metadata below one root.
 
     Observations and daily summaries are laid out by station and year, so that
-    a refresh reads and rewrites only the years its data falls in.
+    a refresh reads and writes only the years its data falls in. All tables
+    change together, by commits; `at` gives an earlier version for as long as
+    `vacuum` has kept it.
     """
 
     spark: SparkSession
     root: str
+    version: int | None = None
 
-    def path(self, table: str) -> str:
-        return f"{self.root.rstrip('/')}/{table}"
+    @property
+    def snapshots(self) -> Snapshots:
+        return Snapshots(self.spark, self.root)
 
-    def _read(self, table: str, read, schema) -> DataFrame:
-        """The table, or no rows if it was never written."""
-        try:
-            return read(self.spark, self.path(table))
-        except AnalysisException as e:
-            if e.getCondition() != "PATH_NOT_FOUND":
-                raise
-            return self.spark.createDataFrame([], schema)
+    @property
+    def view(self) -> View:
+        return self.snapshots.view(self.version)
+
+    def at(self, version: int) -> Store:
+        """The store as a version has it."""
+        return Store(self.spark, self.root, version)
+
+    def begin(self, job: str, source: str | None = None, batch: int | None = None) -> StoreCommit:
+        """A commit on the last version; see `Commit`."""
+        return StoreCommit(self.snapshots, job, source, batch)
 
     def exists(self, table: str) -> bool:
-        """Has the table been written?"""
-        try:
-            self.spark.read.schema("station_id string").parquet(self.path(table))
-            return True
-        except AnalysisException as e:
-            if e.getCondition() != "PATH_NOT_FOUND":
-                raise
-            return False
-
-    def observations(self) -> DataFrame:
-        return self._read("observations", read_observations, OBSERVATIONS)
-
-    def daily(self, year: int | None = None) -> DataFrame:
-        """Daily summaries, of one year's directories if named."""
-        if year is None:
-            return self._read("daily", read_daily, DAILY)
-        days = self._read("daily", lambda s, p: read_daily(s, p, True), _with_year(DAILY))
-        return days.where(F.col("year") == year).drop("year")
-
-    def stats(self, kind: str) -> DataFrame:
-        return self._read(
-            f"{kind}_stats", lambda s, p: read_stats(s, p, kind), stats_schema(kind)
-        )
+        """Does the table hold any row?"""
+        return bool(self.view.folders.get(table))
 
-    def metadata(self) -> DataFrame:
-        return self._read("metadata", read_metadata, METADATA)
+    def ledger(self) -> DataFrame:
+        """One row per commit: job, batch of a source, folders it added."""
+        return self.snapshots.commits()
 
-    def observations_in(self, touched: DataFrame) -> DataFrame:
-        """Stored observations of the listed (station_id, year) pairs.
+    def vacuum(self, keep: int = 1) -> None:
+        """Remove files that the last `keep` versions don't need; see `Snapshots.vacuum`."""
+        self.snapshots.vacuum(keep)
 
-        The pairs name directories. They become a filter on the partition
-        columns, so that no other directory is opened; the driver holds names
-        of directories, which it has to list anyway, and no data.
-        """
-        obs = self._read(
-            "observations", lambda s, p: read_observations(s, p, True), _with_year(OBSERVATIONS)
-        )
-        return obs.where(_directories(touched)).drop("year")
-
-    def daily_in(self, touched: DataFrame) -> DataFrame:
-        """Daily summaries of the listed (station_id, year) pairs."""
-        days = self._read("daily", lambda s, p: read_daily(s, p, True), _with_year(DAILY))
-        return days.where(_directories(touched)).drop("year")
-
-    def observations_of(self, stations: DataFrame) -> DataFrame:
-        """Stored observations of the listed stations, pruned by directory."""
-        ids = [r[STATION] for r in stations.select(STATION).distinct().collect()]
-        return self.observations().where(F.col(STATION).isin(ids))
-
-    def drop_years_without(self, years: DataFrame, stations: DataFrame) -> None:
-        """Delete stored years of the stations that are not in `years`.
-
-        Needed after a station was loaded anew, as overwriting replaces only
-        years the new record has. The driver sees directory names, no data.
-        """
-        for table in ("observations", "daily"):
-            if not self.exists(table):
-                continue
-            held = self.spark.read.schema("station_id string, year int").parquet(self.path(table))
-            folder = F.regexp_replace("_metadata.file_path", "/[^/]*$", "").alias("folder")
-            stale = (
-                held.select(STATION, "year", folder)
-                .distinct()
-                .join(stations, STATION, "left_semi")
-                .join(years, [STATION, "year"], "left_anti")
-            )
-            for row in stale.select("folder").distinct().collect():
-                self._delete(row["folder"])
-
-    def _delete(self, uri: str) -> None:
-        jvm = self.spark._jvm
-        target = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(uri))
-        files = target.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        files.delete(target, True)
-
-    def put_observations(self, df: DataFrame, mode: str = "overwrite") -> None:
-        write_observations(df, self.path("observations"), mode)
-
-    def put_daily(self, df: DataFrame) -> None:
-        write_daily(df, self.path("daily"))
-
-    def put_stats(self, df: DataFrame, kind: str) -> None:
-        write_stats(df, self.path(f"{kind}_stats"), kind)
-
-    def put_metadata(self, df: DataFrame) -> None:
-        write_metadata(df, self.path("metadata"))
-
-
-def _with_year(schema: T.StructType) -> T.StructType:
-    return T.StructType([*schema.fields, T.StructField("year", T.IntegerType())])
-
-
-def _directories(touched: DataFrame) -> Column:
-    """Filter on station_id and year that holds for the listed pairs only."""
-    years: dict[str, set[int]] = {}
-    for row in touched.select(STATION, "year").distinct().collect():
-        years.setdefault(row[STATION], set()).add(row["year"])
-    # Stations that share their years, which is the rule, share one clause.
-    clauses: dict[tuple[int, ...], list[str]] = {}
-    for station, held in years.items():
-        clauses.setdefault(tuple(sorted(held)), []).append(station)
-    condition = F.lit(False)
-    for held, stations in clauses.items():
-        condition = condition | (F.col(STATION).isin(stations) & F.col("year").isin(*held))
-    return condition
-
-
-def station_years(df: DataFrame, time: str = "ts") -> DataFrame:
+
+def station_years(df: DataFrame, time: str | Column = "ts") -> DataFrame:
     """The (station_id, year) pairs a frame falls in."""
     return df.select(STATION, F.year(time).alias("year")).distinct()

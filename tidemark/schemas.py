@@ -49,6 +49,7 @@ METADATA = T.StructType(
         T.StructField("datum", T.StringType()),
         T.StructField("hr_threshold", T.IntegerType()),
         T.StructField("day_threshold", T.IntegerType()),
+        T.StructField("average", T.StringType()),
         T.StructField("variables", T.ArrayType(T.StringType())),
         T.StructField("units", T.MapType(T.StringType(), T.StringType())),
         T.StructField("last_obs", T.MapType(T.StringType(), T.TimestampNTZType())),
@@ -66,6 +67,73 @@ METADATA = T.StructType(
 )
 
 
+#: Months of each series: what the monthly statistics are made of.
+MONTHS = T.StructType(
+    [
+        T.StructField("station_id", T.StringType()),
+        T.StructField("variable", T.StringType()),
+        T.StructField("month_start", T.DateType()),
+        T.StructField("n_days", T.LongType()),
+        T.StructField("mean", T.DoubleType()),
+        T.StructField("high", T.DoubleType()),
+        T.StructField("low", T.DoubleType()),
+        T.StructField("first_date", T.DateType()),
+        T.StructField("last_date", T.DateType()),
+        T.StructField("enough", T.BooleanType()),
+    ]
+)
+
+#: Days whose summary changed since the statistics were made.
+PENDING = T.StructType(
+    [
+        T.StructField("station_id", T.StringType()),
+        T.StructField("variable", T.StringType()),
+        T.StructField("date", T.DateType()),
+    ]
+)
+
+#: First and last valid date of each variable, and its unit.
+RANGES = T.StructType(
+    [
+        T.StructField("station_id", T.StringType()),
+        T.StructField("variable", T.StringType()),
+        T.StructField("kind", T.StringType()),
+        T.StructField("start_date", T.DateType()),
+        T.StructField("end_date", T.DateType()),
+        T.StructField("unit", T.StringType()),
+    ]
+)
+
+TRENDS = T.StructType(
+    [
+        T.StructField("station_id", T.StringType()),
+        T.StructField("variable", T.StringType()),
+        T.StructField("start_month", T.DateType()),
+        T.StructField("end_month", T.DateType()),
+        T.StructField("per_year", T.DoubleType()),
+        T.StructField("per_century", T.DoubleType()),
+        T.StructField("heading", T.StringType()),
+    ]
+)
+
+#: New records as each refresh found them.
+RECORD_LOG = T.StructType(
+    [
+        T.StructField("version", T.IntegerType()),
+        T.StructField("kind", T.StringType()),
+        T.StructField("station_id", T.StringType()),
+        T.StructField("variable", T.StringType()),
+        T.StructField("label", T.StringType()),
+        T.StructField("record", T.StringType()),
+        T.StructField("value", T.DoubleType()),
+        T.StructField("year", T.IntegerType()),
+        T.StructField("old_value", T.DoubleType()),
+        T.StructField("old_year", T.IntegerType()),
+        T.StructField("message", T.StringType()),
+    ]
+)
+
+
 def _product(*columns: tuple[str, T.DataType]) -> T.StructType:
     base = [
         T.StructField("station_id", T.StringType()),

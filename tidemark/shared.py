@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -51,6 +54,13 @@ def _stage(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def side_by_side(*steps: Callable[[], object]) -> list:
+    """Results of steps that don't need each other; their Spark jobs share the cluster."""
+    spark = SparkSession.getActiveSession()
+    with ThreadPoolExecutor(len(steps)) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(s)) for s in steps]]
+
+
 class Workspace:
     """Staged tables of one job, removed together.
 

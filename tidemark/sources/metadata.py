@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import station_dirname, unit_for
 from tidemark.schemas import DAY_THRESHOLD, HR_THRESHOLD, METADATA, STATION, VARIABLE
+from tidemark.snapshots import Layout, Snapshots
 
 
 def _map_of(value: Column | str) -> Column:
@@ -25,6 +26,7 @@ def build_metadata(
     yesterday: DataFrame,
     hr_threshold: int | Column = HR_THRESHOLD,
     day_threshold: int | Column = DAY_THRESHOLD,
+    average: str | Column = "midrange",
 ) -> DataFrame:
     """Metadata rows from station settings, last observations and yesterday.
 
@@ -60,27 +62,28 @@ def build_metadata(
                 "dirname": station_dirname("stationname"),
                 "hr_threshold": column(hr_threshold),
                 "day_threshold": column(day_threshold),
+                "average": F.lit(average) if isinstance(average, str) else average,
             }
         )
         .select(*METADATA.fieldNames())
     )
 
 
+METADATA_TABLE = Layout("metadata", METADATA)
+
+
 def write_metadata(df: DataFrame, path: str) -> None:
-    """Store metadata rows; stations in the data are replaced, others stay."""
-    (
-        df.select(*METADATA.fieldNames())
-        .hint("rebalance", F.col(STATION))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(STATION)
-        .parquet(path)
-    )
+    """Store metadata rows; stations in the data are replaced, others stay.
+
+    One commit: a writer that dies leaves the metadata as they were.
+    """
+    with Snapshots(df.sparkSession, path).begin("write_metadata") as commit:
+        commit.put(METADATA_TABLE, df)
 
 
 def read_metadata(spark: SparkSession, path: str) -> DataFrame:
-    """Stored metadata rows."""
-    return spark.read.schema(METADATA).parquet(path).select(*METADATA.fieldNames())
+    """Stored metadata rows of the last version."""
+    return Snapshots(spark, path).view().read(METADATA_TABLE)
 
 
 def metadata_rows(metadata: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""The observation record: Parquet tables, and wide CSV for exchange."""
+"""The observation record: tables that change by commits, and wide CSV for exchange."""
 
 from __future__ import annotations
 
@@ -6,52 +6,66 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.functions.calendar import month_start
 from tidemark.operators.combine import assemble_variables
 from tidemark.schemas import DAILY, KEYS, OBSERVATIONS, STATION, VARIABLE, WATER_LEVEL
+from tidemark.snapshots import Layout, Snapshots
 
 TIME_FORMAT = "yyyy-MM-dd HH:mm:ss[.SSSSSS]"
-_YEAR = T.StructField("year", T.IntegerType())
 
+OBSERVATION_TABLE = Layout(
+    "observations",
+    OBSERVATIONS,
+    time="ts",
+    order=(VARIABLE, "ts"),
+    key=(*KEYS, "ts"),
+    merged=("value", "qc"),
+)
+DAILY_TABLE = Layout("daily", DAILY, time="date", order=(VARIABLE, "date"))
 
-def _write_by_year(df: DataFrame, path: str, time: str, mode: str) -> None:
-    """Write under station and year directories.
 
-    The rebalance hint lets Spark split a hot station and merge small ones, so
-    no task writes a station by itself; rows are sorted by series and time for
-    compact files, tight row-group bounds and full map-side combining later.
-    Overwriting replaces only the station and year directories in the data.
+def write_observations(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Store long observations; `mode` is overwrite (of touched years) or append.
+
+    One commit: a writer that dies leaves the record as it was.
     """
-    dated = df.withColumn("year", F.year(time))
-    balanced = dated.hint("rebalance", F.col(STATION), F.col("year"))
-    ordered = balanced.sortWithinPartitions(STATION, "year", VARIABLE, time)
-    (
-        ordered.write.mode(mode)
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(STATION, "year")
-        .parquet(path)
-    )
+    with Snapshots(df.sparkSession, path).begin("write_observations") as commit:
+        commit.put(OBSERVATION_TABLE, df, "append" if mode == "append" else "replace")
 
 
-def write_observations(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Store long observations; `mode` is overwrite (of touched years) or append."""
-    _write_by_year(df.select(*OBSERVATIONS.fieldNames()), path, "ts", mode)
+def read_observations(spark: SparkSession, path: str) -> DataFrame:
+    """Stored long observations of the last version."""
+    return Snapshots(spark, path).view().read(OBSERVATION_TABLE)
 
 
-def read_observations(spark: SparkSession, path: str, with_year: bool = False) -> DataFrame:
-    """Stored long observations, with the schema given and station ids as text."""
-    df = spark.read.schema(T.StructType([*OBSERVATIONS.fields, _YEAR])).parquet(path)
-    return df if with_year else df.select(*OBSERVATIONS.fieldNames())
+def stored_variables(spark: SparkSession, path: str) -> DataFrame:
+    """Variables of each stored station, from the manifest: no reading is looked at."""
+    return Snapshots(spark, path).view().series(OBSERVATION_TABLE).select(*KEYS)
 
 
 def write_daily(df: DataFrame, path: str) -> None:
-    """Store daily summaries; touched station years are replaced."""
-    _write_by_year(df.select(*DAILY.fieldNames()), path, "date", "overwrite")
+    """Store daily summaries; touched station years are replaced in one commit."""
+    with Snapshots(df.sparkSession, path).begin("write_daily") as commit:
+        commit.put(DAILY_TABLE, df)
 
 
-def read_daily(spark: SparkSession, path: str, with_year: bool = False) -> DataFrame:
-    """Stored daily summaries."""
-    df = spark.read.schema(T.StructType([*DAILY.fields, _YEAR])).parquet(path)
-    return df if with_year else df.select(*DAILY.fieldNames())
+def read_daily(spark: SparkSession, path: str) -> DataFrame:
+    """Stored daily summaries of the last version."""
+    return Snapshots(spark, path).view().read(DAILY_TABLE)
+
+
+def write_bucketed(obs: DataFrame, table: str, path: str, buckets: int) -> DataFrame:
+    """Observations as a table bucketed by series and month, for gates without a shuffle.
+
+    `path` is the folder of its files, `table` its name in the session's catalog.
+    The buckets are of series and month, so no station is in one task by itself.
+    """
+    keys = [*KEYS, "month"]
+    rows = obs.select(*OBSERVATIONS.fieldNames()).withColumn("month", month_start(F.to_date("ts")))
+    rows = rows.repartition(buckets, *keys)
+    writer = rows.write.bucketBy(buckets, *keys).sortBy(*keys, "ts").option("path", path)
+    writer.saveAsTable(table)
+    return obs.sparkSession.table(table)
 
 
 def write_record_csv(

@@ -7,15 +7,18 @@ replayed, so a restart from the checkpoint is safe.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import date
 
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.operators.combine import union_variables
-from tidemark.plans.jobs import update_data, update_stats
+from tidemark.plans.jobs import refresh_data, refresh_stats
 from tidemark.plans.store import Store
 from tidemark.schemas import PRODUCTS
+from tidemark.shared import Workspace
+from tidemark.snapshots import COMMIT
 from tidemark.sources.observations import TIME_FORMAT
 from tidemark.sources.products import discard_flagged, normalise_product
 
@@ -44,15 +47,20 @@ def refresh_on_landing(
     """Process everything that has landed, then stop.
 
     `landing` maps products to their folders. Hourly heights belong to the
-    first load and are not accepted here.
+    first load and are not accepted here. Data, statistics and the report of new
+    records of a batch are one commit, noted in the ledger under the checkpoint,
+    so a batch that is replayed after a failure counts once. The report is read
+    from the store's record log or followed with `follow_records`.
     """
     if "hourly_height" in landing:
         raise ValueError("hourly heights are spliced in by the first load only")
     streams = [landed_stream(store, path, product, fmt) for product, path in landing.items()]
 
-    def refresh(batch: DataFrame, _: int) -> None:
-        update_data(store, batch, as_of, append_key)
-        update_stats(store)
+    def refresh(batch: DataFrame, number: int) -> None:
+        with Workspace(store.spark) as work, store.begin("refresh", checkpoint, number) as commit:
+            if not commit.seen:
+                refresh_data(commit, work, batch, as_of, append_key)
+                refresh_stats(commit, work)
 
     return (
         union_variables(*streams)
@@ -61,3 +69,27 @@ def refresh_on_landing(
         .trigger(availableNow=True)
         .start()
     )
+
+
+def follow_records(
+    store: Store, handle: Callable[[DataFrame, int], None], checkpoint: str
+) -> StreamingQuery:
+    """Hand over the new records of every commit since the last time, then stop.
+
+    The stream reads commit files, each of which appears once and whole; the log
+    rows of their versions are read by parts, so earlier ones aren't opened. The
+    store must have a first version. `handle` gets the rows and the number of
+    the stream's batch, under which a replay after a failure gives the same rows.
+    """
+    commits = store.spark.readStream.schema(COMMIT).json(f"{store.snapshots.root}/_commits/*.json")
+
+    def hand_over(batch: DataFrame, number: int) -> None:
+        handle(store.record_log(batch.select("version")), number)
+
+    return (
+        commits.select("version")
+        .writeStream.foreachBatch(hand_over)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
