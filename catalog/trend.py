@@ -104,12 +104,28 @@ def _search_sql(prefix: str, axis: str, length: int, curves: list[str]) -> str:
         for c in curves
     )
     n = round((4 * math.pi - 1) / 0.1)
+
+    def further(name: str, k: int) -> str:
+        """Goes on above the k-th range, or below the first, if the best lies at that end."""
+        low = f"OR ({name}.i = 0 AND c.i BETWEEN -9 AND -1)" if k == 1 else ""
+        return f"""SELECT c.* FROM coarse c JOIN {name} ON {name}.station_id = c.station_id
+          AND {name}.variable = c.variable AND {name}.curve = c.curve
+          AND (c.i = {name}.i OR ({name}.i = {k * n} AND c.i BETWEEN {k * n + 1} AND {(k + 1) * n}) {low})
+          QUALIFY row_number() OVER (PARTITION BY c.station_id, c.variable, c.curve ORDER BY c.error, c.i) = 1"""
+
     grid = f"""SELECT q.*, 1.0::DOUBLE + g.i * 0.1::DOUBLE AS f
-          FROM points q, generate_series(0, {n}) AS g(i)"""
+          FROM points q, generate_series(-9, {3 * n}) AS g(i)"""
+    first = f"""SELECT * FROM coarse WHERE i BETWEEN 0 AND {n}
+          QUALIFY row_number() OVER (PARTITION BY {_K}, curve ORDER BY error, i) = 1"""
+    every = step("coarse0", grid).rsplit("  QUALIFY", 1)[0] + ")"
     return f"""{prefix},
 points AS (SELECT * FROM ({union}) WHERE y IS NOT NULL),
-{step('coarse', grid)},
-{step('fine', around('coarse', '0.01'))},
+{every},
+coarse AS (SELECT *, CAST(round((f - 1) * 10) AS INTEGER) AS i FROM coarse0),
+range0 AS ({first}),
+range1 AS ({further('range0', 1)}),
+range2 AS ({further('range1', 2)}),
+{step('fine', around('range2', '0.01'))},
 {step('best', around('fine', '0.001'))}"""
 
 

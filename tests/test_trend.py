@@ -169,6 +169,20 @@ def test_harmonic_search_against_brute_force(spark):
     assert np.allclose([q.average_low_curve for q in fitted], y - 2, atol=1e-3)
 
 
+@pytest.mark.parametrize("frequency", [15.3, 0.6])
+def test_harmonic_search_goes_beyond_the_first_grid(spark, frequency):
+    def f(i):
+        return 20 + 8 * math.cos(frequency * i / 366 + 2.5)
+
+    stats = daily_stats(daily_frame(spark, year_of(f)))
+    best = V.harmonic_search(stats)
+    r = best.where("curve = 'average_high'").first()
+    assert abs(r.frequency - frequency) < 2e-3 and r.error < 1e-5
+    assert best._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 2
+    if frequency == 15.3:  # What goes on is only the grid whose best is its last one.
+        assert V.harmonic_search(stats, high=6.0).where("curve = 'average_high'").first().frequency < 30
+
+
 def test_monthly_curves(spark):
     rows = [("s", LEVEL, dt.date(2001, 1, 1) + dt.timedelta(days=i)) for i in range(365)]
     d = daily_frame(spark, [(s, v, day.isoformat(), 5 + math.cos(2 * math.pi * day.month / 12), 1.0) for s, v, day in rows])
