@@ -15,6 +15,7 @@ from catalog.base import (
     LONG_DAY,
     LONG_HR,
     MONTHLY_STATS_LONG,
+    MONTHS,
     OBS_HOURLY,
     OBS_LONG,
     daily_long,
@@ -426,3 +427,19 @@ def reprocess_monthly(spark, sf_dir):
     jobs.initial_load(store, obs, station_config(obs), _AS_OF)
     jobs.reprocess(store, hr_threshold=4, day_threshold=29)
     return rounded(store.stats("monthly"))
+
+
+@query(
+    "update_stats_ranges",
+    f"""{_SINGLE},
+{MONTHS},
+ranges AS (
+  SELECT {_K}, 'daily' AS kind, min(date) AS start_date, max(date) AS end_date
+  FROM daily WHERE good_day AND high IS NOT NULL GROUP BY {_K}
+  UNION ALL SELECT {_K}, 'monthly', min(first_date), max(last_date) FROM months GROUP BY {_K})
+SELECT *, CASE variable WHEN 'Water Level' THEN 'ft' ELSE '°F' END AS unit FROM ranges""",
+)
+def update_stats_ranges(spark, sf_dir):
+    """Data range and unit as kept with the statistics, after a refresh."""
+    store, _ = _long_store(spark, sf_dir)
+    return store.ranges()

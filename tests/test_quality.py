@@ -9,6 +9,7 @@ from tidemark.operators import daily as D
 from tidemark.operators import quality as Q
 from tidemark.operators.spine import calendar_spine, densify
 from tidemark.schemas import KEYS
+from tidemark.sources.observations import write_bucketed
 
 
 def days(df):
@@ -154,3 +155,23 @@ def test_calendar_spine(spark):
     ]
     months = df.withColumn("date", F.trunc("date", "month"))
     assert calendar_spine(months, KEYS, unit="month").count() == 2
+
+
+def test_gates_of_bucketed_readings_shuffle_nothing(spark, tmp_path):
+    """Readings bucketed by series and month: one scan, no exchange, the same rows."""
+    o = obs(spark, [
+        r for s in "12" for m in (1, 2) for d in range(1, 29 if m == 2 else 32)
+        for r in day_rows(s, AIR, f"2021-{m:02d}-{d:02d}", range(24 if s == "1" or d > 3 else 12), 1.0 + d)])
+    table = write_bucketed(o, "bucketed_readings", str(tmp_path / "b"), 4)
+    try:
+        for gate in (Q.filter_days_by_hours, Q.filter_months_by_days):
+            got = gate(table)
+            plan = got._jdf.queryExecution().executedPlan().toString()
+            assert "Exchange" not in plan and plan.count("FileScan") == 1
+            want = sorted(map(tuple, gate(o).collect()))
+            assert sorted(map(tuple, got.select(*o.columns).collect())) == want
+            daily = Q.daily_summary(o)
+            assert sorted(map(tuple, gate(o, daily=daily).collect())) == want
+            assert 0 < len(want) < o.count()
+    finally:
+        spark.sql("DROP TABLE bucketed_readings")

@@ -156,14 +156,13 @@ def validate_config(df: DataFrame, fail: bool = False) -> DataFrame:
     if not fail:
         return checked
     problem = F.format_string(
-        "station configuration not valid: units must be one of %s, timezone one of %s, "
-        "datum one of %s (got %s, %s, %s)",
-        F.lit(str(UNIT_SYSTEMS)),
-        F.lit(str(TIME_ZONES)),
-        F.lit(str(DATUMS)),
+        "settings refused: unit_system=%s (known: %s), timezone=%s (known: %s), datum=%s (known: %s)",
         F.col("unit_system"),
+        F.lit(", ".join(UNIT_SYSTEMS)),
         F.col("tz"),
+        F.lit(", ".join(TIME_ZONES)),
         F.col("datum"),
+        F.lit(", ".join(DATUMS)),
     )
 
     def guarded(c: Column) -> Column:
