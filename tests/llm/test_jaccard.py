@@ -70,6 +70,29 @@ def test_chains_copies_and_all_sizes(spark, rule, monkeypatch):
     assert kept == sorted(i for i, _, c in want if i == c)
 
 
+def test_low_similarity(spark):
+    """Sets that lie more than a band of sizes apart link too."""
+    rng, rows = random.Random(6), []
+    for n in range(30):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(20, 300))]
+        rows += [(2 * n, " ".join(base)), (2 * n + 1, " ".join(base[: 2 + int(len(base) * rng.uniform(0.5, 0.7))]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    rule = Rule(3, 55, 100)
+    want = groups_by_pairs(rows, rule)
+    assert found(df, rule) == want and 5 < sum(i != c for i, _, c in want) < 30
+
+
+def test_one_id_with_several_texts(spark):
+    """Each text of a repeated id links with its like."""
+    rng, rows, want = random.Random(7), [], []
+    for n in range(20):
+        texts = [[f"w{rng.randrange(10**6)}" for _ in range(100)] for _ in range(2)]
+        rows += [(10 * n + k, edited(rng, t, 1)) for k, t in enumerate(texts, 1)] + [(10 * n, " ".join(t)) for t in texts]
+        want += [10 * n] * 4
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.component_id for r in near_duplicates(df, Rule(5, 80, 100)).collect()) == want
+
+
 def test_given_documents(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = [(r.doc_id, r.text) for r in df.collect()]

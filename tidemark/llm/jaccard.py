@@ -40,7 +40,7 @@ from tidemark.llm.components import components
 from tidemark.llm.hashing import grams_of, lower, mix, prefix_sums, span_hashes, spans_of, word_bounds
 from tidemark.shared import Workspace, stage
 
-#: Ratio of the ends of a size band; more than 1 / the least similarity.
+#: Ratio of the ends of a size band.
 BAND_RATIO = 1.3
 #: Bits that a shingle flips in its part.
 FLIPS = 3
@@ -61,6 +61,10 @@ class Rule:
         """Most shingles in which linked sets of at most `size` can differ."""
         return 2 * size * (self.over - self.share) // (self.over + self.share)
 
+    def differing_sizes(self, a, b):
+        """Most shingles in which linked sets of the sizes a and b can differ; takes arrays."""
+        return (a + b) * (self.over - self.share) // (self.over + self.share)
+
     def parts(self, size: int) -> int:
         """Parts of a sketch: two more than can differ, and some for parts left empty."""
         d = self.differing(size)
@@ -144,16 +148,16 @@ def _signs(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def bands_of(size: int, rule: Rule) -> list[int]:
-    """The size band of a set, and the next one if a set there can be similar.
+    """The size band of a set, and those above with sets that can be similar.
 
     None in which only equal sets can link.
     """
-    band = bisect_right(_ENDS, size) - 1
-    return [
-        b
-        for b in (band, band + 1)
-        if size and (b == band or rule.linked(size, size, band_sizes(b)[0])) and rule.differing(band_sizes(b)[1])
-    ]
+    if not size:
+        return []
+    first = last = bisect_right(_ENDS, size) - 1
+    while rule.linked(size, size, band_sizes(last + 1)[0]):
+        last += 1
+    return [b for b in range(first, last + 1) if rule.differing(band_sizes(b)[1])]
 
 
 def sketches(docs: DataFrame, rule: Rule) -> DataFrame:
@@ -281,10 +285,15 @@ def _postings(docs: DataFrame, rule: Rule, buckets: int) -> DataFrame:
 
 
 _STARS = "band int, center long, doc long"
+_MET = _STARS + ", several boolean"
 
 
 def _stars(postings: DataFrame) -> DataFrame:
-    """For documents that meet under a key, the smallest of them, and each of them with it."""
+    """For documents that meet under a key, the smallest of them, and each other one with it.
+
+    `several` tells of a member that met others than the center under a key: only
+    such members can be like each other without being held against the center.
+    """
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         give_back()
@@ -299,19 +308,24 @@ def _stars(postings: DataFrame) -> DataFrame:
         start = np.r_[True, (low[1:] != low[:-1]) | (band[1:] != band[:-1])]
         center = doc[np.flatnonzero(start)][np.cumsum(start) - 1]
         more = center != doc
-        band, center, doc = band[more], center[more], doc[more]
-        order = np.lexsort((doc, center, band))
-        band, center, doc = band[order], center[order], doc[order]
+        several = (np.bincount(np.cumsum(start) - 1, more) > 1)[np.cumsum(start) - 1]
+        band, center, doc, several = band[more], center[more], doc[more], several[more]
+        order = np.lexsort((~several, doc, center, band))
+        band, center, doc, several = band[order], center[order], doc[order], several[order]
         new = np.r_[True, (band[1:] != band[:-1]) | (center[1:] != center[:-1]) | (doc[1:] != doc[:-1])][: len(doc)]
         return pa.table(
-            [pa.array(band[new].astype(np.int32)), pa.array(center[new]), pa.array(doc[new])], schema=arrow_schema(_STARS)
+            [pa.array(band[new].astype(np.int32)), *(pa.array(x[new]) for x in (center, doc, several))], schema=arrow_schema(_MET)
         )
 
-    return postings.groupBy("bucket").applyInArrow(run, _STARS)
+    return _united(postings.groupBy("bucket").applyInArrow(run, _MET))
+
+
+def _united(stars: DataFrame) -> DataFrame:
+    return stars.groupBy("band", "center", "doc").agg(F.max("several").alias("several"))
 
 
-def _near(left: np.ndarray, right: np.ndarray, most: int) -> np.ndarray:
-    """Which sketches of `right` differ from `left` in at most `most` shingles."""
+def _near(left: np.ndarray, right: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Which sketches of `right` differ from `left` in at most `most` shingles each."""
     return np.bitwise_count(left[None] ^ right).sum(1, dtype=np.int64) <= most
 
 
@@ -324,12 +338,14 @@ def _near_stars(rows: DataFrame, rule: Rule) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept = []
-            for band, a, b in zip(*(batch.column(c).to_pylist() for c in ("band", "words", "center_words")), strict=True):
-                x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-                kept.append(bool(_near(x, y[None], rule.differing(band_sizes(band)[1]))[0]))
+            most = rule.differing_sizes(batch.column("n").to_numpy(), batch.column("center_n").to_numpy())
+            for a, b, limit in zip(*(batch.column(c).to_pylist() for c in ("words", "center_words")), most, strict=True):
+                kept.append(bool(_near(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)[None], limit)[0]))
             yield batch.select(["band", "center", "doc"]).filter(pa.array(kept, pa.bool_()))
 
-    return rows.select("band", "center", "doc", "words", "center_words").mapInArrow(run, _STARS)
+    apart, whole = F.abs(F.col("n") - F.col("center_n")), F.col("n") + F.col("center_n")
+    rows = rows.where(apart * (rule.over + rule.share) <= whole * (rule.over - rule.share))
+    return rows.select("band", "center", "doc", "n", "center_n", "words", "center_words").mapInArrow(run, _STARS)
 
 
 def _star_pairs(stars: DataFrame, words: DataFrame, rule: Rule, work: Workspace) -> DataFrame:
@@ -344,7 +360,9 @@ def _star_pairs(stars: DataFrame, words: DataFrame, rule: Rule, work: Workspace)
     return near.select(F.least("center", "doc").alias("a"), F.greatest("center", "doc").alias("b")).distinct()
 
 
-def _cross_pairs(doc: np.ndarray, component: np.ndarray, words: np.ndarray, side: np.ndarray | None, most: int, forest: bool) -> list[tuple[int, int]]:
+def _cross_pairs(
+    doc: np.ndarray, component: np.ndarray, size: np.ndarray, words: np.ndarray, side: np.ndarray | None, rule: Rule, forest: bool
+) -> list[tuple[int, int]]:
     """Pairs of different components whose sketches allow a link.
 
     With `side`, only pairs of the two sides. With `forest`, of all pairs that
@@ -362,10 +380,12 @@ def _cross_pairs(doc: np.ndarray, component: np.ndarray, words: np.ndarray, side
         other = component[i + 1 :] != component[i]
         if side is not None:
             other &= side[i + 1 :] != side[i]
+        most = rule.differing_sizes(size, size[i])
+        other &= np.abs(size[i + 1 :] - size[i]) <= most[i + 1 :]
         j = np.flatnonzero(other) + i + 1
         # A first look at a few parts spares most of the work.
         for part in (slice(0, 8), slice(None)):
-            j = j[_near(words[i][part], words[j][:, part], most)] if len(j) else j
+            j = j[_near(words[i][part], words[j][:, part], most[j])] if len(j) else j
         for k in j.tolist():
             if forest:
                 x, y = root(int(component[i])), root(int(component[k]))
@@ -377,20 +397,19 @@ def _cross_pairs(doc: np.ndarray, component: np.ndarray, words: np.ndarray, side
 
 
 _FOUND = "band int, center long, a long, b long"
-_PACKED = "band int, center long, own int, docs binary, components binary, words binary"
+_PACKED = "band int, center long, own int, docs binary, components binary, sizes binary, words binary"
 
 
-def _members_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    words = b"".join(table.column("words").to_pylist())
-    n = table.num_rows
-    return table.column("doc").to_numpy(), table.column("component").to_numpy(), np.frombuffer(words, np.uint64).reshape(n, -1)
+def _members_of(table: pa.Table) -> tuple[np.ndarray, ...]:
+    words = np.frombuffer(b"".join(table.column("words").to_pylist()), np.uint64)
+    return *(table.column(c).to_numpy() for c in ("doc", "component", "n")), words.reshape(table.num_rows, -1)
 
 
 def _rest_pairs(members: DataFrame, rule: Rule, buckets: int, forest: bool) -> DataFrame:
     """Pairs (band, center, a, b) within stars, between components, whose sketches allow a link.
 
-    `members` are rows (band, center, doc, component, words, held); held is the
-    size of the star. A star of more than STAR_ROWS is cut into blocks, which
+    `members` are rows (band, center, doc, component, n, words, held); held is how
+    many a star has. A star of more than STAR_ROWS is cut into blocks, which
     are packed and held against each other pair by pair.
     """
 
@@ -400,25 +419,23 @@ def _rest_pairs(members: DataFrame, rule: Rule, buckets: int, forest: bool) -> D
         at = np.flatnonzero(np.r_[True, (band[1:] != band[:-1]) | (center[1:] != center[:-1])])
         out: list[tuple[int, int, int, int]] = []
         for i, j in zip(at.tolist(), [*at[1:].tolist(), len(band)], strict=True):
-            most = rule.differing(band_sizes(int(band[i]))[1])
             star = int(band[i]), int(center[i])
-            out.extend((*star, a, b) for a, b in _cross_pairs(*_members_of(table.slice(i, j - i)), None, most, forest))
+            out.extend((*star, a, b) for a, b in _cross_pairs(*_members_of(table.slice(i, j - i)), None, rule, forest))
         return pa.Table.from_batches([arrow_rows(_FOUND, out)])
 
     def packed(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         table = table.sort_by("doc")
-        doc, component, words = _members_of(table)
-        row = (*(k.as_py() for k in key), doc.tobytes(), component.tobytes(), words.tobytes())
+        row = (*(k.as_py() for k in key), *(x.tobytes() for x in _members_of(table)))
         return pa.Table.from_batches([arrow_rows(_PACKED, [row])])
 
     def large(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        rows = sorted(zip(*(table.column(c).to_pylist() for c in ("own", "docs", "components", "words")), strict=True))
-        doc, component = (np.concatenate([np.frombuffer(r[c], np.int64) for r in rows]) for c in (1, 2))
-        words = np.frombuffer(b"".join(r[3] for r in rows), np.uint64).reshape(len(doc), -1)
+        rows = sorted(zip(*(table.column(c).to_pylist() for c in ("own", "docs", "components", "sizes", "words")), strict=True))
+        doc, component, size = (np.concatenate([np.frombuffer(r[c], np.int64) for r in rows]) for c in (1, 2, 3))
+        words = np.frombuffer(b"".join(r[4] for r in rows), np.uint64).reshape(len(doc), -1)
         side = np.repeat([r[0] for r in rows], [len(r[1]) // 8 for r in rows]) if len(rows) > 1 else None
-        most = rule.differing(band_sizes(key[0].as_py())[1])
         star = key[0].as_py(), key[1].as_py()
-        return pa.Table.from_batches([arrow_rows(_FOUND, [(*star, a, b) for a, b in _cross_pairs(doc, component, words, side, most, forest)])])
+        found = _cross_pairs(doc, component, size, words, side, rule, forest)
+        return pa.Table.from_batches([arrow_rows(_FOUND, [(*star, a, b) for a, b in found])])
 
     few = members.where(F.col("held") <= STAR_ROWS).drop("held")
     few = few.withColumn("bucket", F.pmod(F.xxhash64("band", "center"), F.lit(buckets)))
@@ -506,20 +523,26 @@ def _near_duplicates(docs: DataFrame, rule: Rule) -> tuple[DataFrame, Workspace]
     ties = table.join(several.select("doc_id"), "doc_id", "left_semi").join(classes, sign)
     ties = ties.where(F.col("doc_id") != F.col("class")).select(F.col("class").alias("a"), F.col("doc_id").alias("b"))
 
-    stars = work.stage(_stars(_postings(docs, rule, buckets)).distinct(), "stars")
+    ties = work.stage(ties.distinct(), "ties")
+    first_stars = work.stage(_stars(_postings(docs, rule, buckets)), "stars")
     # Documents stand for their classes; those of one class need no link.
-    heads = work.stage(stars.select(F.col("doc").alias("id")).union(stars.select("center")).distinct(), "heads")
+    heads = work.stage(first_stars.select(F.col("doc").alias("id")).union(first_stars.select("center")).distinct(), "heads")
     met = work.stage(rows_of(table, heads).join(classes, sign), "met")
-    stars = _as_classes(stars, met, work)
-    words = _words(met, rule, work)
+    # Sketches are kept once: from here on in `words`.
+    slim = work.stage(table.drop("bands", "parities"), "signs")
+    work.drop(table, heads)
+    table, stars, words = slim, _as_classes(first_stars, met, work), _words(met, rule, work)
+    work.drop(first_stars, met)
     pairs = work.stage(_star_pairs(stars, words, rule, work), "pairs")
-    links = _verify(docs, pairs, rule, work).unionByName(work.stage(ties.distinct(), "ties"))
+    links = _verify(docs, pairs, rule, work).unionByName(ties)
+    # The center has been held against all; the others only need each other.
+    stars = stars.where("several").drop("several")
     labels = components(links, work)
     tested = pairs
     for forest in (True, False):
         members = _mixed(stars, labels, work)
         members = members.join(words, (members["band"] == words["of_band"]) & (members["doc"] == words["of_doc"]))
-        found = _rest_pairs(members.select("band", "center", "doc", "component", "words", "held"), rule, buckets, forest)
+        found = _rest_pairs(members.select("band", "center", "doc", "component", "n", "words", "held"), rule, buckets, forest)
         found = work.stage(found, "found")
         # A star without such a pair has none either once components have grown.
         stars = stars.join(found.select("band", "center").distinct(), ["band", "center"], "left_semi")
@@ -553,33 +576,33 @@ def _as_classes(stars: DataFrame, met: DataFrame, work: Workspace) -> DataFrame:
     member = of.select(F.col("doc_id").alias("doc"), F.col("class").alias("member"))
     middle = of.select(F.col("doc_id").alias("center"), F.col("class").alias("middle"))
     rows = stars.join(member, "doc").join(middle, "center").where("member != middle")
-    return work.stage(rows.select("band", F.col("middle").alias("center"), F.col("member").alias("doc")).distinct(), "class-stars")
+    rows = rows.select("band", F.col("middle").alias("center"), F.col("member").alias("doc"), "several")
+    return work.stage(_united(rows), "class-stars")
 
 
 def _words(met: DataFrame, rule: Rule, work: Workspace) -> DataFrame:
-    """(of_band, of_doc, words): the parity sketch of each class in each of its bands."""
-    ddl = "of_band int, of_doc long, words binary"
+    """(of_band, of_doc, n, words): size and parity sketch of each class in each of its bands."""
+    ddl = "of_band int, of_doc long, n long, words binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc, bands, words in zip(*(batch.column(c).to_pylist() for c in ("class", "bands", "parities")), strict=True):
-                out.extend((b, doc, w.tobytes()) for b, w in _words_by_band(bands, words, rule.words).items())
+            for doc, n, bands, words in zip(*(batch.column(c).to_pylist() for c in ("class", "n", "bands", "parities")), strict=True):
+                out.extend((b, doc, n, w.tobytes()) for b, w in _words_by_band(bands, words, rule.words).items())
             yield arrow_rows(ddl, out)
 
-    return work.stage(met.select("class", "bands", "parities").mapInArrow(run, ddl).dropDuplicates(["of_band", "of_doc"]), "words")
+    return work.stage(met.select("class", "n", "bands", "parities").mapInArrow(run, ddl).distinct(), "words")
 
 
 def _with_words(stars: DataFrame, words: DataFrame) -> DataFrame:
     mine = words.withColumnsRenamed({"of_band": "band", "of_doc": "doc"})
-    its = words.withColumnsRenamed({"of_band": "band", "of_doc": "center", "words": "center_words"})
+    its = words.withColumnsRenamed({"of_band": "band", "of_doc": "center", "n": "center_n", "words": "center_words"})
     return stars.join(mine, ["band", "doc"]).join(its, ["band", "center"])
 
 
 def _mixed(stars: DataFrame, labels: DataFrame, work: Workspace) -> DataFrame:
-    """Members, center included, of the stars that aren't within one component."""
-    every = stars.unionByName(stars.select("band", "center", F.col("center").alias("doc"))).distinct()
-    every = every.join(labels.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    """Members of the stars whose members aren't within one component."""
+    every = stars.join(labels.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     every = work.stage(every, "members")
     state = every.groupBy("band", "center").agg(
         F.count("*").alias("held"), F.min("component").alias("low"), F.max("component").alias("high")
