@@ -1,6 +1,8 @@
 """Packing, decontamination, search, URL rules, token counts, toxicity, sharding: odd rows and brute force."""
 
+import math
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -203,3 +205,80 @@ def test_hash_tree(spark, odd, empty):
     assert (first.size, first.text_crc32) == (6, zlib.crc32("ab é".encode()))
     assert next(r for r in rows if r.size == 1).text_crc32 == 0
     assert sharding.assign(empty, sharding.uniform_tree(16)).count() == 0
+
+
+def plain_scores(documents, seed):
+    """BM25 of all documents for all different ids of one, over the whole list."""
+    sets = [Counter(d.tolist()) for d in documents]
+    mean = sum(map(len, documents)) / len(documents)
+    held = Counter(i for s in sets for i in s)
+    out = []
+    for s, d in zip(sets, documents, strict=True):
+        total = 0.0
+        for i in sets[seed]:
+            if i in s:
+                rarity = math.log(1 + (len(documents) - held[i] + 0.5) / (held[i] + 0.5))
+                total += rarity * s[i] * 2.2 / (s[i] + 1.2 * (0.25 + 0.75 * len(d) / mean))
+        out.append(total)
+    return out
+
+
+def corpus_of(documents, size):
+    held = np.zeros(size, np.int64)
+    for d in documents:
+        held[np.unique(d)] += 1
+    return packing.Corpus(held, len(documents), sum(map(len, documents)) / len(documents))
+
+
+def test_windows_take_the_nearest_of_plain_bm25(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id").collect()
+    tokenizer = packing.encoder(packing.load_ranks(queries.BYTE_BPE_RANKS), public_tokenizers.PATTERN, queries.END_OF_TEXT)
+    documents = [packing.encode(tokenizer, r.text or "") for r in docs]
+    corpus = corpus_of(documents, queries.END_OF_TEXT + 1)
+    scores = {s: plain_scores(documents, s) for s in range(len(documents))}
+    index = packing.Index(documents, corpus)
+    for seed in range(0, len(documents), 10):
+        others = np.arange(len(documents)) != seed
+        assert np.allclose(index.scores(seed)[others], np.array(scores[seed])[others], rtol=1e-4, atol=1e-3)
+        order = list(index.ranked(seed, others))
+        assert sorted(order) == [i for i, x in enumerate(scores[seed]) if x > 0 and i != seed]
+        assert all(scores[seed][a] >= scores[seed][b] - 1e-2 for a, b in zip(order, order[1:]))
+    # Each document that follows in a window is the nearest one left to the window's seed.
+    pieces = [p for p in packing.pack_shard(documents, corpus) if p[1] == 0]
+    full = max(sequence for _, _, _, sequence, _ in pieces) - 12
+    placed, seed, window, taken = set(), None, None, 0
+    for doc, _, _, sequence, offset in pieces:
+        if sequence >= full:
+            break
+        if seed is not None and offset:
+            if sequence != window:
+                seed, window = last, sequence
+            left = [x for i, x in enumerate(scores[seed]) if i not in placed]
+            assert scores[seed][doc] >= max(left) - 1e-2
+            taken += 1
+        else:
+            seed, window = doc, sequence
+        placed.add(doc)
+        last = doc
+    assert taken > 20
+
+
+def test_like_documents_meet_in_packing(spark):
+    # Forty families, mixed up; a third of all rows repeat one text.
+    rng = np.random.default_rng(1)
+    bases = [rng.choice(["".join(rng.choice(list("abcdefghij"), 6)) for _ in range(4000)], 120) for _ in range(40)]
+    rows = []
+    for i in range(1200):
+        words = bases[0].copy() if i % 3 == 0 else bases[rng.integers(40)].copy()
+        if i % 3:
+            words[rng.integers(120)] = f"w{i}"
+        rows.append((i, " ".join(words)))
+    got = packing.tokenize(
+        spark.createDataFrame(rows, "doc_id long, text string"), packing.load_ranks(queries.BYTE_BPE_RANKS),
+        public_tokenizers.PATTERN, queries.END_OF_TEXT,
+    ).collect()
+    drawn = {r.doc_id: bytes(r.drawn) for r in got}
+    family = {i: t.split()[:3] for i, t in rows}
+    pairs = [(a, b) for a in range(1200) for b in (a + 1, a + 2, a + 3) if b < 1200 and family[a] == family[b]]
+    assert len({drawn[i] for i in range(0, 1200, 3)}) == 1
+    assert sum(drawn[a][:4] == drawn[b][:4] for a, b in pairs) >= 0.9 * len(pairs)

@@ -1,15 +1,18 @@
 """Packing of documents into windows, with lexical neighbours side by side.
 
-A task takes its documents in shards. A shard has a BM25 inverted index over
-token ids, with document frequencies of the whole corpus. A seed document fills
+The tokenized table is sorted by token ids drawn from each document's set in
+such a way that documents that share many ids mostly share the drawn ones; runs
+of it are the shards. A shard has a BM25 inverted index over token ids, with
+document frequencies and mean length of the whole corpus. A seed document fills
 windows of its own; the rest of its last window is filled by the unused
-documents that BM25 ranks nearest to it, the last of which is cut and seeds the
-next window. Only the last window of a shard isn't full; it is cut into
-sequences whose lengths are powers of two.
+documents that BM25, asked with all ids of the seed, ranks nearest to it. The
+last of these is cut and seeds the next window. Only the last window of a shard
+isn't full; it is cut into sequences whose lengths are powers of two.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from base64 import b64decode
 from collections.abc import Iterator
@@ -28,9 +31,13 @@ from tidemark.shared import stage
 WINDOW = 2048
 END = 1
 SPECIAL = "<|endoftext|>"
-#: Tokens of a shard (one document at least), and of a seed that are looked up.
+#: Tokens of a shard (one document at least), and shards of a task on large tables.
 SHARD_TOKENS = 2_000_000
-QUERY_TERMS = 12
+TASK_SHARDS = 32
+#: Token ids drawn from a document that it is sorted by.
+DRAWS = 3
+#: A term that at least one in so many documents of a shard has is a row of a matrix.
+DENSE = 8
 K1, B = 1.2, 0.75
 
 
@@ -47,101 +54,139 @@ def encoder(ranks: dict[bytes, int], pattern: str, special: int) -> tiktoken.Enc
 
 def encode(tokenizer: tiktoken.Encoding, text: str) -> np.ndarray:
     """Ids of a whole text, and the end mark."""
-    ids = tokenizer.encode(text, allowed_special="all") if SPECIAL in text else tokenizer.encode_ordinary(text)
-    ids.append(END)
-    return np.array(ids, np.uint32)
+    return np.append(tokenizer.encode_to_numpy(text, allowed_special="all"), np.uint32(END))
 
 
-TOKENS = "doc_id long, ids binary"
+def draws(size: int) -> np.ndarray:
+    """For each draw a rank of all ids: the id of a set that ranks first is drawn.
+
+    Of two sets the same id is drawn as often as their weighted Jaccard
+    similarity tells, an id's weight being its place in the vocabulary, where
+    common pieces come first.
+    """
+    u = np.random.default_rng(0).random((DRAWS, size))
+    return -np.log1p(-u) / np.arange(1, size + 1)
+
+
+TOKENS = "doc_id long, ids binary, drawn binary"
 
 
 def tokenize(docs: DataFrame, ranks: dict[bytes, int], pattern: str, special: int) -> DataFrame:
-    """(doc_id, ids): the ids of each whole text as little-endian numbers.
+    """(doc_id, ids, drawn): the ids of each whole text as little-endian numbers,
+    and those drawn for its place among others.
 
     The vocabulary is sent to the tasks; its size doesn't grow with the input.
     A null text is empty and has the end mark only.
     """
     sent = docs.sparkSession.sparkContext.broadcast(ranks)
     schema = arrow_schema(TOKENS)
-    kind = "<u2" if max(len(ranks), special, END) < 1 << 16 else "<u4"
+    size = max(len(ranks), special + 1, END + 1)
+    kind = "<u2" if size <= 1 << 16 else "<u4"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = encoder(sent.value, pattern, special)
+        order = draws(size)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                ids = [encode(tokenizer, t or "").astype(kind).tobytes() for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.binary())], schema=schema)
+                ids, drawn = [], []
+                for text in part.column("text").to_pylist():
+                    own = encode(tokenizer, text or "").astype(kind)
+                    held = np.unique(own)
+                    ids.append(own.tobytes())
+                    # The first byte first, so that Spark sorts them as numbers.
+                    drawn.append(held[order[:, held].argmin(axis=1)].astype(">u4").tobytes())
+                columns = [part.column("doc_id"), pa.array(ids, pa.binary()), pa.array(drawn, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     return texts_only(docs).mapInArrow(run, TOKENS)
 
 
-def document_frequencies(tokens: DataFrame, size: int, kind: str) -> np.ndarray:
-    """In how many documents each id occurs, and, last, how many documents there are.
+@dataclass
+class Corpus:
+    """What BM25 needs of all documents: in how many each id occurs, their number, their mean length."""
+
+    frequencies: np.ndarray
+    documents: int
+    mean_length: float
 
-    The driver gets one number for each id of the vocabulary.
-    """
+
+def corpus_counts(tokens: DataFrame, size: int, kind: str) -> Corpus:
+    """Counts over all documents; the driver gets one number for each id of the vocabulary."""
     ddl = "id int, held long"
     schema = arrow_schema(ddl)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros(size + 1, np.int64)
+        # The last two places hold the documents and their tokens.
+        held = np.zeros(size + 2, np.int64)
         for batch in batches:
-            for ids in batch.column("ids").to_pylist():
-                held[np.unique(np.frombuffer(ids, kind))] += 1
+            for data in batch.column("ids").to_pylist():
+                ids = np.frombuffer(data, kind)
+                held[np.unique(ids)] += 1
+                held[size + 1] += len(ids)
             held[size] += batch.num_rows
         at = np.flatnonzero(held)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(held[at])], schema=schema)
 
-    rows = tokens.mapInArrow(run, ddl).groupBy("id").agg(F.sum("held").alias("held")).toArrow()
-    out = np.zeros(size + 1, np.int64)
+    rows = tokens.select("ids").mapInArrow(run, ddl).groupBy("id").agg(F.sum("held").alias("held")).toArrow()
+    out = np.zeros(size + 2, np.int64)
     out[rows.column("id").to_numpy()] = rows.column("held").to_numpy()
-    return out
+    return Corpus(out[:size], int(out[size]), out[size + 1] / max(1, out[size]))
 
 
 class Index:
     """BM25 over the documents of a shard."""
 
-    def __init__(self, documents: list[np.ndarray], frequencies: np.ndarray):
-        sets = [np.unique(d, return_counts=True) for d in documents]
-        each = np.fromiter((len(t) for t, _ in sets), np.int64, len(sets))
-        term = np.concatenate([t for t, _ in sets]).astype(np.int64)
-        count = np.concatenate([c for _, c in sets]).astype(np.float32)
-        doc = np.repeat(np.arange(len(sets)), each)
-        lengths = np.fromiter(map(len, documents), np.float32, len(documents))
-        total, held = float(frequencies[-1]), frequencies[term].astype(np.float32)
-        rarity = np.log1p((total - held + 0.5) / (held + 0.5))
-        weight = rarity * count * (K1 + 1) / (count + K1 * (1 - B + B * lengths[doc] / lengths.mean()))
-        order = np.argsort(term, kind="stable")
-        self.doc, self.weight = doc[order], weight[order]
-        sorted_terms = term[order]
-        begin = np.flatnonzero(np.r_[True, sorted_terms[1:] != sorted_terms[:-1]])
-        self.begin = np.full(len(frequencies), 0, np.int64)
-        self.end = self.begin.copy()
-        self.begin[sorted_terms[begin]] = begin
-        self.end[sorted_terms[begin]] = np.append(begin[1:], len(order))
-        # The heaviest terms of each document that another one has too.
-        weight = np.where(self.end[term] - self.begin[term] > 1, weight, 0)
-        starts = np.r_[0, np.cumsum(each)]
-        self.terms = []
-        for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
-            own = weight[a:b]
-            top = np.argpartition(-own, QUERY_TERMS)[:QUERY_TERMS] if b - a > QUERY_TERMS else np.arange(b - a)
-            self.terms.append(term[a:b][top[own[top] > 0]].tolist())
-
-    def ranked(self, seed: int, unused: np.ndarray, most: int) -> list[int]:
-        """Unused neighbours of a document, best first, ties in order."""
-        score = np.zeros(len(unused), np.float32)
-        for term in self.terms[seed]:
-            a, b = self.begin[term], self.end[term]
-            score[self.doc[a:b]] += self.weight[a:b]
-        score *= unused
-        if most < len(score):
-            limit = np.partition(score, len(score) - most)[len(score) - most]
-            near = np.flatnonzero((score > 0) & (score >= limit))
-        else:
-            near = np.flatnonzero(score > 0)
-        return near[np.argsort(-score[near], kind="stable")].tolist()
+    def __init__(self, documents: list[np.ndarray], corpus: Corpus):
+        self.size = len(documents)
+        lengths = np.fromiter(map(len, documents), np.int64, self.size)
+        # Postings: a stable sort by id leaves the documents of each id in order.
+        ids = np.concatenate(documents)
+        doc = np.repeat(np.arange(self.size, dtype=np.uint16 if self.size <= 1 << 16 else np.uint32), lengths)
+        order = np.argsort(ids, kind="stable")
+        ids, doc = ids[order], doc[order]
+        first = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]) | (doc[1:] != doc[:-1])])
+        count = np.diff(np.r_[first, len(ids)]).astype(np.float32)
+        term, self.doc = ids[first], doc[first]
+        held = corpus.frequencies[term].astype(np.float32)
+        rarity = np.log1p((corpus.documents - held + 0.5) / (held + 0.5))
+        relative = (lengths / corpus.mean_length).astype(np.float32)[self.doc]
+        self.weight = rarity * count * (K1 + 1) / (count + K1 * (1 - B + B * relative))
+        found = np.bincount(term, minlength=len(corpus.frequencies))
+        self.begin = np.r_[0, np.cumsum(found)]
+        common = np.flatnonzero(found * DENSE >= max(self.size, 2 * DENSE))
+        self.row = np.full(len(found), -1, np.int32)
+        self.row[common] = np.arange(len(common))
+        # No larger than the postings it is made of, eight times over.
+        self.dense = np.zeros((len(common), self.size), np.float32)
+        for row, at in enumerate(common.tolist()):
+            a, b = self.begin[at], self.begin[at + 1]
+            self.dense[row, self.doc[a:b]] = self.weight[a:b]
+        # The terms of each document that another one has too.
+        shared = found[term] > 1
+        term, doc = term[shared], self.doc[shared]
+        ends = np.cumsum(np.bincount(doc, minlength=self.size))
+        self.terms = np.split(term[np.argsort(doc, kind="stable")], ends[:-1])
+
+    def scores(self, seed: int) -> np.ndarray:
+        """BM25 of all other documents for all different ids of one."""
+        terms = self.terms[seed]
+        row = self.row[terms]
+        score = self.dense[row[row >= 0]].sum(axis=0, dtype=np.float32)
+        rare = terms[row < 0]
+        begin = self.begin[rare]
+        count = self.begin[rare + 1] - begin
+        before = np.cumsum(count) - count
+        at = np.repeat(begin - before, count) + np.arange(count.sum())
+        return score + np.bincount(self.doc[at], self.weight[at], self.size)
+
+    def ranked(self, seed: int, unused: np.ndarray) -> Iterator[int]:
+        """Unused documents that share an id with a document, best first, ties in order."""
+        score = np.where(unused, self.scores(seed), 0)
+        # Most windows are full after a few: the others are sorted only if they aren't.
+        limit = np.partition(score, -32)[-32] if len(score) > 32 else 0
+        for near in (np.flatnonzero((score > 0) & (score >= limit)), np.flatnonzero((score > 0) & (score < limit))):
+            yield from near[np.argsort(-score[near], kind="stable")].tolist()
 
 
 @dataclass
@@ -182,9 +227,9 @@ class Packed:
         self.filled = 0
 
 
-def pack_shard(documents: list[np.ndarray], frequencies: np.ndarray, window: int = WINDOW) -> list[tuple[int, int, int, int, int]]:
+def pack_shard(documents: list[np.ndarray], corpus: Corpus, window: int = WINDOW) -> list[tuple[int, int, int, int, int]]:
     """Pieces (document, start, length, sequence, offset) of the documents of a shard."""
-    index, out = Index(documents, frequencies), Packed(window)
+    index, out = Index(documents, corpus), Packed(window)
     unused = np.ones(len(documents), bool)
     following = 0
     seed = None
@@ -200,16 +245,12 @@ def pack_shard(documents: list[np.ndarray], frequencies: np.ndarray, window: int
         if not out.filled:
             seed = None
             continue
-        last = None
-        for near in index.ranked(seed, unused, 16):
-            unused[near] = False
-            sequence = out.sequence
-            out.put(near, 0, len(documents[near]))
-            last = near
-            if out.sequence != sequence:
-                break
-        # The document that was cut by the window's end seeds the next one.
-        seed = last
+        sequence, nearest = out.sequence, index.ranked(seed, unused)
+        # The document that is cut by the window's end seeds the next one; where
+        # no other shares an id, the next in order fills the window up.
+        while out.sequence == sequence and (seed := next(nearest, None)) is not None:
+            unused[seed] = False
+            out.put(seed, 0, len(documents[seed]))
     out.close()
     return out.pieces
 
@@ -228,15 +269,22 @@ def pack(docs: DataFrame, ranks: dict[bytes, int], pattern: str, special: int, w
 
     A null or empty text has the end mark only. Repeated rows are packed each;
     rows without doc_id too, under no id. An empty table gives no rows. Very
-    long texts are cut as often as needed. Shards are runs of rows of the
-    tokenized table, which is written first: a task that is repeated gives the
-    same pieces.
+    long texts are cut as often as needed. The tokenized table is written first
+    and sorted by all that a row holds: a task that is repeated gives the same
+    pieces. Documents that draw the same ids, any number of them, are split by a
+    hash.
     """
-    kind = "<u2" if max(len(ranks), special, END) < 1 << 16 else "<u4"
     size = max(len(ranks), special + 1, END + 1)
+    kind = "<u2" if size <= 1 << 16 else "<u4"
+    spark = docs.sparkSession
     tokens = stage(tokenize(docs, ranks, pattern, special), "tokens")
-    sent = docs.sparkSession.sparkContext.broadcast(document_frequencies(tokens, size, kind))
+    corpus = corpus_counts(tokens, size, kind)
+    sent = spark.sparkContext.broadcast(corpus)
     schema = arrow_schema(PIECES)
+    parts = math.ceil(corpus.documents * corpus.mean_length / (SHARD_TOKENS * TASK_SHARDS))
+    parts = max(parts, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    order = [F.col("drawn"), F.xxhash64("doc_id", "ids")]
+    tokens = tokens.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "ids")
 
     def shards(batches: Iterator[pa.RecordBatch]):
         ids, documents, held = [], [], 0
