@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, models
@@ -111,6 +112,36 @@ def test_search_recall_and_odd_vectors(spark):
     assert permutation_index.search(df.limit(0)).count() == 0
 
 
+def test_search_recall_where_few_are_ranked_again(spark):
+    rng = np.random.default_rng(3)
+    m = rng.normal(size=(20_000, 48))
+    m[5000:10_000] = m[4000] + rng.normal(size=(5000, 48)) / 4
+    unit = m / np.linalg.norm(m, axis=1, keepdims=True)
+    table = pa.table({"vec_id": np.arange(len(m)), "embedding": m.tolist()})
+    got = permutation_index.search(spark.createDataFrame(table)).collect()
+    assert permutation_index.RERANKED * math.sqrt(len(m)) < len(m) / 10
+    found = {(r.query_id, r.vec_id): r.score for r in got}
+    right = 0
+    for q in range(0, len(m), 50):
+        score = unit @ unit[q]
+        score[q] = -9
+        best = np.argsort(-score, kind="stable")[:5]
+        right += sum((q, int(v)) in found and abs(found[q, int(v)] - score[v]) < 1e-12 for v in best)
+    assert len(got) == 5 * 400 and right >= 0.95 * len(got)
+
+
+def test_search_within_each_length(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=(8, 3, 5)[i % 3]).tolist()) for i in range(300)] + [(350, [2.0] * 7)]
+    got = permutation_index.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    vectors = {i: np.array(v) / np.linalg.norm(v) for i, v in rows}
+    for q in range(0, 300, 50):
+        score = {i: float(v @ vectors[q]) for i, v in vectors.items() if len(v) == len(vectors[q]) and i != q}
+        best = sorted(score, key=lambda i: (-score[i], i))[:5]
+        assert [r.vec_id for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)] == best
+    assert not [r for r in got if r.query_id == 350]
+
+
 def test_url_rules_and_list(spark):
     rows = [
         (1, "http://Example.ORG/en/1?x"), (2, "https://a.example.org/es/"), (3, "x://b.org"), (4, "s://shop.com/fr/q#t"),

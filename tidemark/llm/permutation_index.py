@@ -1,16 +1,15 @@
 """Nearest neighbours by a permutation index.
 
-A vector is known by the order of its nearest pivots. Each shard of the vectors
-posts its rows in inverted files, one for each pivot, with the pivot's place in
-the row's order. A query adds up, over its own nearest pivots, how far the places
-lie apart (Spearman's footrule on the leading places); the best rows by that are
-ranked again by the exact cosine.
+Vectors are compared with those of their own length. A vector is known by the
+order of its nearest pivots. Each shard of the vectors takes pivots from its own
+rows and posts all its rows in inverted files, one for each pivot, with the
+pivot's place in the row's order. A query adds up, over its own nearest pivots,
+how far the places lie apart (Spearman's footrule on the leading places); the
+best rows by that are ranked again by the exact cosine.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -18,13 +17,13 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.blocks import arrow_rows, arrow_schema
 
-#: Rows that pivots are taken from, and pivots: the bound on what the driver gets.
+#: Rows of a shard that its pivots are taken from, and pivots.
 SAMPLE_ROWS = 4_096
-PIVOTS = 128
-#: Leading places of an order that are posted, and the share of a shard's rows ranked again.
+PIVOTS = 256
+#: Leading places of an order that are posted.
 PLACES = 64
-RERANKED_SHARE = 0.2
-RERANKED_LEAST = 128
+#: Of n vectors of a length this times the root of n are ranked again for each query.
+RERANKED = 12.0
 MOST_SHARD_ROWS = 200_000
 MOST_QUERY_ROWS = 20_000
 
@@ -32,12 +31,11 @@ RESULT = "query_id long, vec_id long, score double"
 
 
 def valid_vectors(vectors: DataFrame, column: str) -> DataFrame:
-    """(vec_id, v): vectors that can be compared, one for each id.
+    """(vec_id, v): vectors that can be compared, one for each id, of any length.
 
     Null and zero vectors, and those with a null, infinite or undefined
-    component, take no part. Of vectors of several lengths those of the most
-    frequent length do (of equally frequent ones the longest). Of rows that
-    repeat a vec_id the largest vector counts; rows without vec_id take no part.
+    component, take no part. Of rows that repeat a vec_id the largest vector
+    counts; rows without vec_id take no part.
     """
     v = F.col(column).cast("array<double>")
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
@@ -46,25 +44,19 @@ def valid_vectors(vectors: DataFrame, column: str) -> DataFrame:
         F.col("vec_id").isNotNull() & finite.alias("ok") & F.exists("v", lambda x: x != 0)
     )
     rows = rows.where(F.col("v").isNotNull())
-    sizes = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).limit(1).collect()
-    rows = rows.where(F.size("v") == (sizes[0]["n"] if sizes else 0))
     return rows.groupBy("vec_id").agg(F.max("v").alias("v"))
 
 
-def choose_pivots(rows: DataFrame, sample_rows: int = SAMPLE_ROWS, pivots: int = PIVOTS) -> np.ndarray:
-    """Different directions from a sample by a hash of the id, each far from those before."""
-    table = rows.orderBy(F.xxhash64("vec_id", F.lit("pivot"))).limit(sample_rows).toArrow()
-    sample = _unit(_matrix(table.column("v").combine_chunks()))
-    if not len(sample):
-        return sample
-    chosen, nearest = [0], sample @ sample[0]
+def choose_pivots(unit: np.ndarray, pivots: int = PIVOTS) -> np.ndarray:
+    """Different directions, each far from those before; the first row is the first."""
+    chosen, nearest = [0], unit @ unit[0]
     while len(chosen) < pivots:
         at = int(nearest.argmin())
         if nearest[at] > 1 - 1e-9:
             break
         chosen.append(at)
-        nearest = np.maximum(nearest, sample @ sample[at])
-    return sample[chosen]
+        nearest = np.maximum(nearest, unit @ unit[at])
+    return unit[chosen]
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -120,44 +112,50 @@ def search(
     column: str = "embedding",
     every: int = 50,
     k: int = 5,
-    share: float = RERANKED_SHARE,
+    reranked: float = RERANKED,
 ) -> DataFrame:
     """The k nearest rows of each vector whose vec_id is divisible by `every`.
 
     Returns query_id, rank (from 1), vec_id, score: the cosine in double
-    precision, largest first, ties to the smaller vec_id; all rows but the
-    query's own are candidates, and a query gets fewer than k rows only if there
-    are fewer. See `valid_vectors` for vectors that take no part. An empty table
-    gives no rows.
+    precision, largest first, ties to the smaller vec_id; all rows of the
+    query's length but its own are candidates, and a query gets fewer than k rows
+    only if there are fewer. See `valid_vectors` for vectors that take no part.
+    An empty table gives no rows.
 
     Rows are dealt to shards by a hash of the id, so many equal vectors don't
     meet in one; each block of queries is held against each shard, and only k
-    rows of each come back.
+    rows of each come back. Nothing passes through the driver.
     """
-    rows = valid_vectors(vectors, column)
-    total = rows.count()
-    pivots = choose_pivots(rows)
-    shards = max(1, math.ceil(math.sqrt(total) / 16), -(-total // MOST_SHARD_ROWS))
-    blocks = max(1, -(-total // (every * MOST_QUERY_ROWS)))
-    sent = rows.sparkSession.sparkContext.broadcast(pivots)
-    stored = rows.select("vec_id", "v", F.pmod(F.xxhash64("vec_id", F.lit("shard")), F.lit(shards)).alias("shard"))
-    stored = stored.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    rows = valid_vectors(vectors, column).withColumn("n", F.size("v"))
+    plan = rows.groupBy("n").agg(F.count("*").alias("total")).select(
+        "n",
+        F.greatest(F.ceil(F.sqrt("total") / 16), F.ceil(F.col("total") / MOST_SHARD_ROWS)).cast("long").alias("shards"),
+        F.ceil(F.col("total") / (every * MOST_QUERY_ROWS)).cast("long").alias("blocks"),
+        F.ceil(F.sqrt("total") * reranked).cast("long").alias("most"),
+    )
+    rows = rows.join(plan, "n")
+    stored = rows.select("n", "vec_id", "v", F.ceil(F.col("most") / F.col("shards")).alias("most"), "blocks",
+                         F.pmod(F.xxhash64("vec_id", F.lit("shard")), "shards").alias("shard"))
+    stored = stored.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     queries = rows.where(F.col("vec_id") % every == 0).select(
-        "vec_id", "v", F.pmod(F.xxhash64("vec_id", F.lit("part")), F.lit(blocks)).cast("int").alias("part")
+        F.col("n").alias("length"), F.col("vec_id").alias("query_id"), F.col("v").alias("asked"), "shards",
+        F.pmod(F.xxhash64("vec_id", F.lit("part")), "blocks").alias("part"),
     )
-    queries = queries.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
+    queries = queries.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)))
 
     def run(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
-        ids, asked = left.column("vec_id").to_numpy(), right.column("vec_id").to_numpy()
+        ids, asked = left.column("vec_id").to_numpy(), right.column("query_id").to_numpy()
         if not len(ids) or not len(asked):
             return arrow_schema(RESULT).empty_table()
+        most = max(k + 1, left.column("most")[0].as_py())
         order = np.argsort(ids)
         ids, held = ids[order], _matrix(left.column("v"))[order]
-        query = _matrix(right.column("v"))
+        query = _matrix(right.column("asked"))
+        unit, asked_unit = _unit(held), _unit(query)
+        sample = np.sort(np.random.default_rng(0).permutation(len(ids))[:SAMPLE_ROWS])
+        files = InvertedFiles(unit, choose_pivots(unit[sample]), PLACES)
+        orders = _orders(asked_unit, files.pivots, files.places)
         norms, lengths = np.linalg.norm(held, axis=1), np.linalg.norm(query, axis=1)
-        files = InvertedFiles(held / norms[:, None], sent.value, PLACES)
-        orders = _orders(query / lengths[:, None], sent.value, files.places)
-        most = max(RERANKED_LEAST, k + 1, int(share * len(ids)))
         out = []
         for q in range(len(asked)):
             near = files.nearest(orders[q], most)
@@ -168,7 +166,7 @@ def search(
         return pa.Table.from_batches([arrow_rows(RESULT, out)])
 
     found = (
-        stored.groupBy("shard", "part").cogroup(queries.groupBy("shard", "part")).applyInArrow(run, RESULT)
+        stored.groupBy("n", "shard", "part").cogroup(queries.groupBy("length", "shard", "part")).applyInArrow(run, RESULT)
     )
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (
