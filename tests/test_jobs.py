@@ -1,8 +1,10 @@
+import csv
 import datetime as dt
 import pathlib
 import random
 
 import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from tests.helpers import AIR, LEVEL, day_rows, obs
@@ -171,6 +173,32 @@ def test_refresh_on_landing(spark, tmp_path):
         refresh_on_landing(store, {"hourly_height": landing}, check, AS_OF)
 
 
+def test_landing_files_with_headers_of_their_own(spark, tmp_path):
+    """Other orders, more columns, quoted names, odd file names, compressed and empty files."""
+    store = Store(spark, str(tmp_path / "store"))
+    level = obs(spark, [r for r in history("1") if r[1] == LEVEL])
+    jobs.initial_load(store, level.where(F.dayofmonth("ts") <= 2), config(spark, "1"), AS_OF)
+    landing = tmp_path / "land ing"
+    landing.mkdir()
+    columns = landed_levels(spark, [2]).columns
+    orders = [columns, columns[::-1], [*columns[2:], "note", *columns[:2]], ["note", *columns[::-1]]]
+    for day, order in zip((3, 4, 5, 6), orders, strict=True):
+        rows = landed_levels(spark, [day]).withColumn("note", F.lit("a, b"))
+        rows = rows.withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
+        table = rows.select(*order).toPandas()
+        name = {4: "day [4]%20.csv", 5: "day 5.csv.gz"}.get(day, f"day{day}.csv")
+        table.to_csv(landing / name, index=False, quoting=csv.QUOTE_ALL if day == 6 else csv.QUOTE_MINIMAL)
+    (landing / "empty.csv").write_text("")
+    refresh_on_landing(store, {"water_level": str(landing)}, str(tmp_path / "check"), AS_OF).awaitTermination()
+    same_as_one_shot(store, level)
+    # A file without one of the columns stops the stream, and nothing of it counts.
+    version = store.snapshots.latest()
+    (landing / "bad.csv").write_text("ts,station_id\n2020-01-07 00:00:00,1\n")
+    with pytest.raises(StreamingQueryException, match="no header"):
+        refresh_on_landing(store, {"water_level": str(landing)}, str(tmp_path / "check"), AS_OF).awaitTermination()
+    assert store.snapshots.latest() == version
+
+
 def spoil(store, layout, condition):
     """Make the files of some parts unreadable, so that reading them is an error."""
     parts = store.view.parts(layout).where(condition).collect()

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import csv
+import re
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.calendar import month_start
-from tidemark.operators.combine import assemble_variables
+from tidemark.operators.combine import assemble_variables, union_variables
 from tidemark.schemas import DAILY, KEYS, OBSERVATIONS, STATION, VARIABLE, WATER_LEVEL
 from tidemark.snapshots import Layout, Snapshots
 
@@ -95,6 +99,12 @@ def read_csv_by_name(spark: SparkSession, path: str, schema: T.StructType) -> Da
     missing = [f.name for f in schema.fields if f.name not in header]
     if missing:
         raise ValueError(f"{path} has no column {missing}; its columns: {header}")
+    return _read_under_header(spark, path, header, schema)
+
+
+def _read_under_header(
+    spark: SparkSession, path: str | list[str], header: list[str], schema: T.StructType
+) -> DataFrame:
     types = {f.name: f.dataType for f in schema.fields}
     found = T.StructType([T.StructField(c, types.get(c, T.StringType())) for c in header])
     rows = (
@@ -107,6 +117,33 @@ def read_csv_by_name(spark: SparkSession, path: str, schema: T.StructType) -> Da
     return rows.select(*[F.col(f"`{f.name}`") for f in schema.fields])
 
 
+def literal_path(path: str) -> str:
+    """A path that Spark takes as it stands, without patterns."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
+
+
+def read_csv_files(spark: SparkSession, paths: list[str], schema: T.StructType) -> DataFrame:
+    """CSV files, each with a header of its own, as the columns of `schema`.
+
+    The header of a file is its line that names all columns of `schema`. Files
+    of one header are one scan. A file with lines but without a header is an
+    error; an empty file has no rows. The driver gets one line for each file.
+    """
+    lines = spark.read.text([literal_path(p) for p in paths])
+    names = F.split(F.regexp_replace("value", '[\ufeff"\r]', ""), ",")
+    named = F.when(F.forall(F.array(*[F.lit(f.name) for f in schema.fields]), lambda c: F.array_contains(names, c)), F.col("value"))
+    headers = lines.groupBy(F.col("_metadata.file_path").alias("path")).agg(F.max(named).alias("header"))
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for path, line in headers.collect():
+        if line is None:
+            raise ValueError(f"{path} has no header with the columns {schema.fieldNames()}")
+        header = next(csv.reader([line.strip("\ufeff\r")]))
+        groups.setdefault(tuple(header), []).append(literal_path(unquote(path)))
+    empty = spark.createDataFrame([], schema)
+    scans = [_read_under_header(spark, files, list(header), schema) for header, files in sorted(groups.items())]
+    return union_variables(*(scans or [empty]))
+
+
 def read_record_csv(
     spark: SparkSession,
     path: str,

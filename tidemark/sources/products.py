@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import flag_sum, nan_to_null
 from tidemark.schemas import KEYS, PRODUCT_VARIABLES, PRODUCTS
-from tidemark.sources.observations import read_csv_by_name
+from tidemark.sources.observations import literal_path, read_csv_by_name, read_csv_files
 
 # Product rows in the long layout still carry their flags.
 PRODUCT_ROWS = [*KEYS, "ts", "value", "qc", "flag"]
@@ -26,6 +26,14 @@ def read_landed(spark: SparkSession, path: str, product: str, fmt: str = "csv")
     return spark.read.schema(PRODUCTS[product]).format(fmt).load(path)
 
 
+def read_landed_files(spark: SparkSession, paths: list[str], product: str, fmt: str = "csv") -> DataFrame:
+    """Given files of one product; the columns of each CSV file go by its own header."""
+    check_product(product)
+    if fmt == "csv":
+        return read_csv_files(spark, paths, PRODUCTS[product])
+    return spark.read.schema(PRODUCTS[product]).format(fmt).load([literal_path(p) for p in paths])
+
+
 def normalise_product(df: DataFrame, product: str) -> DataFrame:
     """Product columns as long rows: one row per value column.
 

@@ -10,30 +10,38 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import date
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.operators.combine import union_variables
 from tidemark.plans.jobs import refresh_data, refresh_stats
 from tidemark.plans.store import Store
-from tidemark.schemas import PRODUCTS
 from tidemark.shared import Workspace
 from tidemark.snapshots import COMMIT
-from tidemark.sources.observations import TIME_FORMAT
-from tidemark.sources.products import discard_flagged, normalise_product
+from tidemark.sources.products import discard_flagged, normalise_product, read_landed_files
 
 
-def landed_stream(store: Store, path: str, product: str, fmt: str = "csv") -> DataFrame:
-    """Clean observations of one product as its files land.
+LANDED = "path string, modificationTime timestamp, length long, content binary"
 
-    A CSV file whose header differs from the declared columns stops the stream.
+
+def landed_stream(store: Store, path: str, product: str) -> DataFrame:
+    """(product, path) of each file as it lands; contents aren't read."""
+    files = store.spark.readStream.schema(LANDED).format("binaryFile").load(path)
+    return files.select(F.lit(product).alias("product"), "path")
+
+
+def landed_observations(spark: SparkSession, files: DataFrame, fmt: str = "csv") -> DataFrame:
+    """Clean observations of the files of a batch.
+
+    CSV columns go by the header of each file, so their order may change from
+    file to file. The driver gets the paths, as it has listed them for the stream.
     """
-    reader = store.spark.readStream.schema(PRODUCTS[product])
-    if fmt == "csv":
-        reader = reader.option("header", True).option("enforceSchema", False)
-        reader = reader.option("timestampNTZFormat", TIME_FORMAT)
-    landed = reader.format(fmt).load(path)
-    return discard_flagged(normalise_product(landed, product), product)
+    landed: dict[str, list[str]] = {}
+    for r in files.distinct().orderBy("product", "path").collect():
+        landed.setdefault(r.product, []).append(r.path)
+    rows = (normalise_product(read_landed_files(spark, p, product, fmt), product) for product, p in landed.items())
+    return union_variables(*(discard_flagged(r, product) for r, product in zip(rows, landed, strict=True)))
 
 
 def refresh_on_landing(
@@ -54,12 +62,13 @@ def refresh_on_landing(
     """
     if "hourly_height" in landing:
         raise ValueError("hourly heights are spliced in by the first load only")
-    streams = [landed_stream(store, path, product, fmt) for product, path in landing.items()]
+    streams = [landed_stream(store, path, product) for product, path in landing.items()]
 
     def refresh(batch: DataFrame, number: int) -> None:
         with Workspace(store.spark) as work, store.begin("refresh", checkpoint, number) as commit:
-            if not commit.seen:
-                refresh_data(commit, work, batch, as_of, append_key)
+            if not commit.seen and not batch.isEmpty():
+                rows = landed_observations(store.spark, batch, fmt)
+                refresh_data(commit, work, rows, as_of, append_key)
                 refresh_stats(commit, work)
 
     return (
