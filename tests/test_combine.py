@@ -1,11 +1,13 @@
 import datetime as dt
 
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tests.helpers import AIR, LEVEL, obs
 from tidemark.operators import combine as C
+from tidemark.schemas import OBSERVATIONS
 
 
 def got(df):
@@ -109,6 +111,26 @@ def test_append_by_time_drops_a_late_variable(spark):
     assert not C.has_new_data(old, old).first().has_new
 
 
+@pytest.mark.parametrize("key", ["ts", "ts,variable"])
+def test_a_time_is_looked_up_once_however_many_readings_share_it(spark, key):
+    old = obs(spark, [("s", AIR, "2020-01-01 00:00", float(i)) for i in range(9)])
+    new = obs(spark, [("s", v, f"2020-01-01 {h:02d}:00", float(i)) for v in (AIR, LEVEL) for h in (0, 1) for i in range(9)])
+    unseen = C.unseen_rows(old, new, key)
+    assert unseen.count() == {"ts": 18, "ts,variable": 27}[key]
+    lines = unseen._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    at = next(i for i, line in enumerate(lines) if "Join LeftSemi" in line)
+    depth = lines[at].index("Join") + 3
+    sides = [line for line in lines[at + 1 :] if line[depth - 3 : depth] in (":- ", "+- ")][:2]
+    assert [line[depth:].split()[0] for line in sides] == ["Aggregate", "Aggregate"], "readings, not times, are joined"
+
+
+def test_unknown_times_and_stations_stay_new(spark):
+    rows = [("s", AIR, dt.datetime(2020, 1, 1), 1.0, None), ("s", AIR, None, 2.0, None), (None, AIR, dt.datetime(2020, 1, 1), 3.0, None)]
+    o = spark.createDataFrame(rows, OBSERVATIONS)
+    assert sorted(r.value for r in C.unseen_rows(o, o).collect()) == [2.0, 3.0]
+    assert {r.station_id: r.has_new for r in C.has_new_data(o, o, "ts").collect()} == {"s": True, None: False}
+
+
 def test_get_and_last(spark):
     o = obs(spark, OLD + [("s", LEVEL, "2020-01-09 00:00", None, "p")])
     assert C.get_observations(o, "s", AIR).count() == 1
