@@ -12,10 +12,12 @@ from tidemark.operators.combine import last_obs
 from tidemark.operators.published import yesterday_summary
 from tidemark.operators.quality import daily_summary, daily_table
 from tidemark.schemas import PRODUCTS
+from tidemark.snapshots import Snapshots
 from tidemark.sources import metadata as M
 from tidemark.sources import observations as O
 from tidemark.sources import products as P
 from tidemark.sources import stations as S
+from tidemark.sources.statistics import stats_table
 
 
 def test_reads_a_foreign_gzip_record(spark, tmp_path):
@@ -63,6 +65,21 @@ def test_observation_years_are_replaced_one_by_one(spark, tmp_path):
     assert got == [("007", 2019, 1.0), ("007", 2020, 3.0), ("008", 2020, 4.0)]
 
 
+def test_manifest_counts_rows_without_sorting_them(spark, tmp_path):
+    path = str(tmp_path / "o")
+    rows = [("007", v, f"{y}-01-01 {h:02d}:00", 1.0) for v in (AIR, LEVEL) for y in (2019, 2020) for h in range(5)]
+    with Snapshots(spark, path).begin("test") as commit:
+        commit.put(O.OBSERVATION_TABLE, obs(spark, rows))
+        assert sorted(tuple(r)[:3] for r in commit.view.series(O.OBSERVATION_TABLE).collect()) == [("007", AIR, 10), ("007", LEVEL, 10)]
+        for layout in (O.OBSERVATION_TABLE, stats_table("daily")):
+            stored = spark.createDataFrame([], layout.schema).withColumn("part", F.lit("x"))
+            files = str(tmp_path / layout.name)
+            stored.write.parquet(files)
+            plan = commit._entries(layout, spark.read.parquet(files))._jdf.queryExecution().executedPlan().toString()
+            first = [line for line in plan.splitlines() if "Aggregate(" in line][-1]
+            assert "- HashAggregate(" in first, "rows of a task are sorted before they are counted"
+
+
 def test_filters_prune_directories(spark, tmp_path):
     path = str(tmp_path / "o")
     O.write_observations(obs(spark, [("a", AIR, "2019-01-01 00:00", 1.0), ("b", AIR, "2020-01-01 00:00", 2.0)]), path)
