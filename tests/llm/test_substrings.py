@@ -2,12 +2,14 @@
 
 import hashlib
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import tidemark.llm.repeats as repeats
+from tidemark.llm import hashing
 from tidemark.llm.substring_automaton import SuffixAutomaton, remove_repeated_spans
 from tidemark.llm.substring_intervals import maximal_repeats, remove_repeated_bytes, suffix_array
 
@@ -138,3 +140,47 @@ def test_matching_statistics():
     found = [(n, automaton.first[v] if n else None) for n, v in automaton.statistics([2, 3, 4, 5, 8, 1, 2, 3], 3)]
     assert [n for n, _ in found] == [1, 2, 3, 3, 0, 1, 2, 3]
     assert found[2][1] == (3, 13) and found[3][1] == (3, 14) and found[7][1] == (7, 2)
+
+
+def _owners_one_by_one(grams, bounds, length, k):
+    """(minimizer, first, last) of each run of windows, straight from the definition."""
+    bits = max(1, int(bounds[-1]).bit_length())
+    out = []
+    for begin, end in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        for first in range(begin, end - length + 1):
+            anchor = min(range(first, first + length - k + 1), key=lambda i: (int(grams[i]) >> bits, i))
+            if out and out[-1][0] == anchor and out[-1][2] == first - 1 >= begin:
+                out[-1][2] = first
+            else:
+                out.append([anchor, first, first])
+    return out
+
+
+@pytest.mark.parametrize("piece", [7, 64, 1 << 14])
+@pytest.mark.parametrize("length, k", [(50, 20), (12, 12), (1, 1), (9, 4)])
+def test_pieces_give_the_same_minimizers(monkeypatch, piece, length, k):
+    monkeypatch.setattr(hashing, "_PIECE", piece)
+    rng = np.random.default_rng(piece + length)
+    sizes = [0, 3, length, length - 1, 200, 0, 61, length + 1, 0]
+    buf = rng.integers(0, 3, sum(sizes)).astype(np.uint8)
+    bounds = np.r_[0, np.cumsum(sizes)]
+    prefix = hashing.byte_prefix_sums(buf)
+    assert (prefix == hashing.prefix_sums(hashing.byte_codes(buf))).all()
+    grams = hashing.grams_of(prefix, k)
+    at = np.arange(len(grams))
+    down = hashing._power_table("down", hashing._INVERSE, len(prefix))
+    assert (grams == hashing.mix((prefix[at + k] - prefix[at]) * down[at])).all()
+    found = hashing.owned_windows(grams, bounds, length, k)
+    assert np.stack(found, 1).tolist() == _owners_one_by_one(grams, bounds, length, k)
+
+
+def test_minimizers_are_found_in_a_few_bytes_a_place():
+    buf = np.random.default_rng(1).integers(0, 256, 1 << 20).astype(np.uint8)
+    bounds = np.arange(0, len(buf) + 1, 1 << 12)
+    grams = hashing.grams_of(hashing.byte_prefix_sums(buf), 20)
+    tracemalloc.start()
+    try:
+        hashing.owned_windows(grams, bounds, 50, 20)
+        assert tracemalloc.get_traced_memory()[1] < 8 * len(buf), "a copy of all hashes goes through memory"
+    finally:
+        tracemalloc.stop()
