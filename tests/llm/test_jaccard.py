@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import tidemark.llm.jaccard as jaccard
+import tidemark.shared as shared
 from tidemark.llm.jaccard import Rule, near_duplicates, without_near_duplicates
 
 RULES = [Rule(3, 90, 100), Rule(5, 80, 100)]
@@ -140,6 +141,41 @@ def test_rows_without_id_merge_no_others(spark):
         assert kept.count(None) == sum(i is None for i, _ in rows)
 
 
+def test_tables_written(spark, monkeypatch):
+    """Each table written on the way costs a task and a file per shuffle partition, however small it is."""
+    written, write = [], shared._stage
+    monkeypatch.setattr(shared, "_stage", lambda df, path: written.append(path.rsplit("/", 1)[1].rsplit("-", 1)[0]) or write(df, path))
+    rng, rows = random.Random(9), []
+    for n in range(6):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+        rows += [(20 * n + k, edited(rng, base, k % 3)) for k in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert found(df, RULES[1]) == groups_by_pairs(rows, RULES[1])
+    assert len(written) <= 20 and written.count("links") <= 3
+
+
+def test_sets_of_many_pairs(spark):
+    """A set in very many pairs, rows that repeat an id, rows without one; more pairs than are looked at in one go."""
+    rng = random.Random(10)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(40)]
+    rows = [(0, " ".join(base))] + [(i, edited(rng, base, 1) if i % 3 else f"other {i} text") for i in range(1, 500)]
+    rows += [(3, rows[1][1])] * 4 + [(5, "x y z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    nameless = [(None, " ".join(base))] * 3
+    df = df.union(spark.createDataFrame(nameless, "doc_id long, text string"))
+    own = jaccard._texts(df).where("NOT has_id").first()["doc_id"]
+    ends = [(0, i) for i in range(1, 500)] + [(own, i) for i in range(500)]
+    with shared.Workspace(spark) as work:
+        pairs = work.stage(spark.createDataFrame(ends, "a long, b long").coalesce(1), "pairs")
+        got = sorted(tuple(r) for r in jaccard._verify(df, pairs, Rule(3, 80, 100), work).collect())
+    sets = {}
+    for i, text in rows + [(own, " ".join(base))]:
+        sets.setdefault(i, set()).add(shingles(text, 3))
+    near = lambda x, y: 100 * len(x & y) >= 80 * len(x | y)
+    assert got == sorted((a, b) for a, b in ends if any(near(x, y) for x in sets[a] for y in sets[b]))
+    assert 600 < len(got) < len(ends)
+
+
 def test_no_rows(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert found(df, RULES[0]) == []

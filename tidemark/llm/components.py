@@ -9,17 +9,14 @@ from tidemark.shared import Workspace
 
 
 def components(links: DataFrame, work: Workspace) -> DataFrame:
-    """(node, component) for every node of a link (a, b): the smallest node reachable.
+    """(node, component) for every node of a link (a, b), given as staged: the smallest node reachable.
 
     Each round gives a node the smallest component among its neighbours, then the
     component of that component, until nothing changes. The smallest value of a
     group combines before the shuffle, so a node with very many links costs no
     more than others. Every round is written to the workspace, the one before goes.
     """
-    both = work.stage(
-        links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(),
-        "links",
-    )
+    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least"))
     held = work.stage(least.select("node", F.least("node", "least").alias("component")), "labels")
     while True:
@@ -34,5 +31,4 @@ def components(links: DataFrame, work: Workspace) -> DataFrame:
         work.drop(held)
         held = moved
         if moved.where("was != component").isEmpty():
-            work.drop(both)
             return moved.select("node", "component")

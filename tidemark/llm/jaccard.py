@@ -213,13 +213,12 @@ def without_near_duplicates(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     return docs.join(gone, F.col("doc_id").cast("long") == gone["id"], "left_anti")
 
 
-def rows_of(table: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of a table whose doc_id is in `ids` (a staged table, column id, distinct).
+def rows_of(table: DataFrame, ids: DataFrame, few: bool) -> DataFrame:
+    """Rows of a table whose doc_id is in `ids` (column id).
 
-    A list of at most BROADCAST_IDS is sent to the tasks, so that large rows
-    needn't move; beyond that both sides are shuffled.
+    A list of at most BROADCAST_IDS, `few`, is sent to the tasks, so that large
+    rows needn't move; beyond that both sides are shuffled.
     """
-    few = ids.count() <= BROADCAST_IDS
     wanted = F.broadcast(ids) if few else ids
     return table.join(wanted, table["doc_id"] == wanted["id"], "left_semi")
 
@@ -348,14 +347,14 @@ def _near_stars(rows: DataFrame, rule: Rule) -> DataFrame:
     return rows.select("band", "center", "doc", "n", "center_n", "words", "center_words").mapInArrow(run, _STARS)
 
 
-def _star_pairs(stars: DataFrame, words: DataFrame, rule: Rule, work: Workspace) -> DataFrame:
+def _star_pairs(stars: DataFrame, words: DataFrame, rule: Rule) -> DataFrame:
     """Pairs (a, b) of a star's center and member whose sketches allow a link.
 
     A third of the words bounds the difference too and leaves few unlike pairs;
     only for the others the whole sketches move.
     """
     lead = words.withColumn("words", F.expr("substring(words, 1, int(8 * ceil(length(words) / 24)))"))
-    near = work.stage(_near_stars(_with_words(stars, lead), rule), "near-stars")
+    near = _near_stars(_with_words(stars, lead), rule)
     near = _near_stars(_with_words(near, words), rule)
     return near.select(F.least("center", "doc").alias("a"), F.greatest("center", "doc").alias("b")).distinct()
 
@@ -405,12 +404,13 @@ def _members_of(table: pa.Table) -> tuple[np.ndarray, ...]:
     return *(table.column(c).to_numpy() for c in ("doc", "component", "n")), words.reshape(table.num_rows, -1)
 
 
-def _rest_pairs(members: DataFrame, rule: Rule, buckets: int, forest: bool) -> DataFrame:
+def _rest_pairs(members: DataFrame, mixed: DataFrame, most: int, rule: Rule, buckets: int, forest: bool) -> DataFrame:
     """Pairs (band, center, a, b) within stars, between components, whose sketches allow a link.
 
     `members` are rows (band, center, doc, component, n, words, held); held is how
-    many a star has. A star of more than STAR_ROWS is cut into blocks, which
-    are packed and held against each other pair by pair.
+    many a star has, in `mixed` for each star, and `most` the largest. A star of
+    more than STAR_ROWS is cut into blocks, which are packed and held against each
+    other pair by pair.
     """
 
     def small(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
@@ -439,21 +439,24 @@ def _rest_pairs(members: DataFrame, rule: Rule, buckets: int, forest: bool) -> D
 
     few = members.where(F.col("held") <= STAR_ROWS).drop("held")
     few = few.withColumn("bucket", F.pmod(F.xxhash64("band", "center"), F.lit(buckets)))
+    found = few.groupBy("bucket").applyInArrow(small, _FOUND)
+    if most <= STAR_ROWS:
+        return found
     blocks = F.ceil(F.col("held") / F.lit(STAR_ROWS)).cast("int")
     many = members.where(F.col("held") > STAR_ROWS).withColumn("own", F.pmod(F.xxhash64("doc"), blocks).cast("int"))
-    sizes = many.select("band", "center", blocks.alias("blocks")).distinct()
+    sizes = mixed.where(F.col("held") > STAR_ROWS).select("band", "center", blocks.alias("blocks"))
     many = many.drop("held").groupBy("band", "center", "own").applyInArrow(packed, _PACKED)
     many = many.join(sizes, ["band", "center"]).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     many = many.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")}).drop("blocks", "other")
-    return (
-        few.groupBy("bucket").applyInArrow(small, _FOUND)
-        .unionByName(many.groupBy("band", "center", "low", "high").applyInArrow(large, _FOUND))
-    )
+    return found.unionByName(many.groupBy("band", "center", "low", "high").applyInArrow(large, _FOUND))
 
 
 def _verify(docs: DataFrame, pairs: DataFrame, rule: Rule, work: Workspace) -> DataFrame:
-    """The pairs (a, b) whose exact sets link, written."""
-    ids = work.stage(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids")
+    """Those of the different pairs (a, b) whose exact sets link, written.
+
+    A set is made once and goes to each pair that it is in; both sets of a pair
+    meet in one exchange.
+    """
     ddl = "doc long, hashes binary"
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -461,27 +464,40 @@ def _verify(docs: DataFrame, pairs: DataFrame, rule: Rule, work: Workspace) -> D
             hashes, bounds = shingle_sets(buf, offsets, rule.k)
             yield arrow_rows(ddl, [(i, hashes[a:b].tobytes()) for i, a, b in zip(own.tolist(), bounds[:-1], bounds[1:], strict=True)])
 
+    def linked(left: set[bytes], right: set[bytes]) -> bool:
+        for x, y in ((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x in left for y in right):
+            if rule.linked(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y)):
+                return True
+        return False
+
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Sets are large: few rows at a time.
-        for batch in (b.slice(at, 100) for b in batches for at in range(0, b.num_rows, 100)):
+        # A pair may go on in the next batch. Sets are large: few rows at a time.
+        pair, held = None, (set(), set())
+        for batch in (b.slice(at, 200) for b in batches for at in range(0, b.num_rows, 200)):
             out = []
-            for a, b, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "x", "y")), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                if rule.linked(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y)):
-                    out.append((a, b))
+            for a, b, doc, found in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "doc", "hashes")), strict=True):
+                if (a, b) != pair:
+                    if linked(*held):
+                        out.append(pair)
+                    pair, held = (a, b), (set(), set())
+                held[doc != a].add(found)
             yield arrow_rows(_PAIRS, out)
+        if linked(*held):
+            yield arrow_rows(_PAIRS, [pair])
 
+    count, least = pairs.agg(F.count("*"), F.min("a")).first()
+    few = 2 * count <= BROADCAST_IDS
+    ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("doc"))
+    ids = ends.select(F.col("doc").alias("id"))
     texts = _texts(docs)
     # Rows that repeat an id: a class stands for its smallest id, whose rows may differ.
-    # Those without one are equal where their stand-in is.
-    found = rows_of(texts.where("has_id"), ids)
-    found = found.unionByName(rows_of(texts.where("NOT has_id"), ids).dropDuplicates(["doc_id"])).mapInArrow(sets, ddl)
-    x = found.select(F.col("doc").alias("a"), F.col("hashes").alias("x"))
-    y = found.select(F.col("doc").alias("b"), F.col("hashes").alias("y"))
-    links = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(check, _PAIRS).distinct()
-    links = work.stage(links, "links")
-    work.drop(ids)
-    return links
+    # Those without one are equal where their stand-in, which is negative, is.
+    found = rows_of(texts.where("has_id"), ids, few)
+    if count and least < 0:
+        found = found.unionByName(rows_of(texts.where("NOT has_id"), ids, few).dropDuplicates(["doc_id"]))
+    met = found.mapInArrow(sets, ddl).join(F.broadcast(ends) if few else ends, "doc")
+    met = met.select("a", "b", "doc", "hashes").repartition("a", "b").sortWithinPartitions("a", "b")
+    return work.stage(met.mapInArrow(check, _PAIRS), "links")
 
 
 def near_duplicates(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
@@ -519,38 +535,49 @@ def _near_duplicates(docs: DataFrame, rule: Rule) -> tuple[DataFrame, Workspace]
     classes = table.where("n > 0").groupBy(*sign).agg(F.coalesce(first, F.min("doc_id")).alias("class"), first.alias("first"))
     classes = work.stage(classes, "classes")
     # Rows that repeat an id with other texts tie their classes together.
-    several = table.where("n > 0 AND has_id").select("doc_id", *sign).distinct().groupBy("doc_id").count().where("count > 1")
+    several = table.where("n > 0 AND has_id").groupBy("doc_id").agg(*(f(c).alias(f"{f.__name__}_{c}") for c in sign for f in (F.min, F.max)))
+    several = several.where(" OR ".join(f"min_{c} != max_{c}" for c in sign))
     ties = table.join(several.select("doc_id"), "doc_id", "left_semi").join(classes, sign)
     ties = ties.where(F.col("doc_id") != F.col("class")).select(F.col("class").alias("a"), F.col("doc_id").alias("b"))
 
     ties = work.stage(ties.distinct(), "ties")
     first_stars = work.stage(_stars(_postings(docs, rule, buckets)), "stars")
     # Documents stand for their classes; those of one class need no link.
-    heads = work.stage(first_stars.select(F.col("doc").alias("id")).union(first_stars.select("center")).distinct(), "heads")
-    met = work.stage(rows_of(table, heads).join(classes, sign), "met")
+    heads = first_stars.select(F.col("doc").alias("id")).union(first_stars.select("center")).distinct()
+    met = work.stage(rows_of(table, heads, 2 * first_stars.count() <= BROADCAST_IDS).join(classes, sign), "met")
     # Sketches are kept once: from here on in `words`.
     slim = work.stage(table.drop("bands", "parities"), "signs")
-    work.drop(table, heads)
+    work.drop(table)
     table, stars, words = slim, _as_classes(first_stars, met, work), _words(met, rule, work)
     work.drop(first_stars, met)
-    pairs = work.stage(_star_pairs(stars, words, rule, work), "pairs")
+    pairs = work.stage(_star_pairs(stars, words, rule), "pairs")
     links = _verify(docs, pairs, rule, work).unionByName(ties)
     # The center has been held against all; the others only need each other.
     stars = stars.where("several").drop("several")
     labels = components(links, work)
     tested = pairs
     for forest in (True, False):
-        members = _mixed(stars, labels, work)
+        members, mixed = _mixed(stars, labels, work)
+        most = mixed.agg(F.max("held")).first()[0]
+        if most is None:
+            break
+        # Both written first, so the join may split the rows of a large star.
+        members = members.join(mixed, ["band", "center"])
         members = members.join(words, (members["band"] == words["of_band"]) & (members["doc"] == words["of_doc"]))
-        found = _rest_pairs(members.select("band", "center", "doc", "component", "n", "words", "held"), rule, buckets, forest)
-        found = work.stage(found, "found")
-        # A star without such a pair has none either once components have grown.
-        stars = stars.join(found.select("band", "center").distinct(), ["band", "center"], "left_semi")
+        members = members.select("band", "center", "doc", "component", "n", "words", "held")
+        found = _rest_pairs(members, mixed, most, rule, buckets, forest)
+        if forest:
+            # A star without such a pair has none either once components have grown.
+            found = work.stage(found, "found")
+            stars = stars.join(found.select("band", "center").distinct(), ["band", "center"], "left_semi")
         more = work.stage(found.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
         if more.isEmpty():
             continue
-        links = links.unionByName(_verify(docs, more, rule, work))
         tested = tested.unionByName(more)
+        new = _verify(docs, more, rule, work)
+        if new.isEmpty():
+            continue
+        links = links.unionByName(new)
         labels = components(links, work)
     count = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count("*").alias("links"))
     labels = labels.join(count, "node", "left").withColumnsRenamed({"node": "class"})
@@ -572,7 +599,7 @@ def _near_duplicates(docs: DataFrame, rule: Rule) -> tuple[DataFrame, Workspace]
 
 def _as_classes(stars: DataFrame, met: DataFrame, work: Workspace) -> DataFrame:
     """Stars of classes: center and members by the smallest id of their class."""
-    of = work.stage(met.groupBy("doc_id").agg(F.min("class").alias("class")), "of-class")
+    of = met.groupBy("doc_id").agg(F.min("class").alias("class"))
     member = of.select(F.col("doc_id").alias("doc"), F.col("class").alias("member"))
     middle = of.select(F.col("doc_id").alias("center"), F.col("class").alias("middle"))
     rows = stars.join(member, "doc").join(middle, "center").where("member != middle")
@@ -600,12 +627,11 @@ def _with_words(stars: DataFrame, words: DataFrame) -> DataFrame:
     return stars.join(mine, ["band", "doc"]).join(its, ["band", "center"])
 
 
-def _mixed(stars: DataFrame, labels: DataFrame, work: Workspace) -> DataFrame:
-    """Members of the stars whose members aren't within one component."""
+def _mixed(stars: DataFrame, labels: DataFrame, work: Workspace) -> tuple[DataFrame, DataFrame]:
+    """All members with their components; the stars (band, center, held) whose members aren't within one."""
     every = stars.join(labels.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     every = work.stage(every, "members")
     state = every.groupBy("band", "center").agg(
         F.count("*").alias("held"), F.min("component").alias("low"), F.max("component").alias("high")
     )
-    # Written first, so the join may split the rows of a large star.
-    return every.join(work.stage(state.where("low != high").drop("low", "high"), "mixed"), ["band", "center"])
+    return every, work.stage(state.where("low != high").drop("low", "high"), "mixed")
