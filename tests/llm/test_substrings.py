@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 import tidemark.llm.repeats as repeats
 from tidemark.llm import hashing
+from tidemark.llm.blocks import pack_documents
 from tidemark.llm.substring_automaton import SuffixAutomaton, remove_repeated_spans
 from tidemark.llm.substring_intervals import maximal_repeats, remove_repeated_bytes, suffix_array
+from tidemark.shared import shuffles_removed
 
 SMALL = "/root/testdata/sf0.001/documents.parquet"
 
@@ -103,6 +105,71 @@ def test_no_rows(spark):
     assert got_words(df) == [] and got_bytes(df) == []
 
 
+def _texts(n, seed):
+    rng = np.random.default_rng(seed)
+    words = ["".join(rng.choice(list("abcdefgh"), 6)) for _ in range(3000)]
+    return [" ".join(rng.choice(words, 150)) for _ in range(n)]
+
+
+def _moved(df):
+    """Bytes of all binary columns."""
+    sizes = [F.sum(F.length(c)) for c, kind in df.dtypes if kind == "binary"]
+    return sum(x or 0 for x in df.agg(*sizes).first())
+
+
+def test_repeated_texts_move_as_hashes(spark):
+    """What goes to the shards for a context that several blocks have is less than its text."""
+    texts = _texts(40, 2)
+    rows = [(100 * c + i, t) for c in range(6) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    how = repeats.Reading(words=False, length=50, gram=20, within=False)
+    repeated = repeats._repeated(repeats._anchors(df, how, 16))
+    contexts = repeats._contexts(pack_documents(df, 16), repeated, how, 16)
+    assert _moved(contexts) < 1.5 * sum(len(t) for _, t in rows)
+    assert got_bytes(df) == expected_bytes(rows, 50)
+
+
+def test_minimizers_of_many_chunks_go_together(spark, monkeypatch):
+    """Rows of a task's minimizers don't grow with its chunks, so buckets get long runs."""
+    monkeypatch.setattr("tidemark.llm.blocks.chunks.__defaults__", (1 << 12,))
+    rows = list(enumerate(_texts(60, 3)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    how = repeats.Reading(words=False, length=50, gram=20, within=False)
+    assert repeats._anchors(df, how, 16).count() == 16
+
+
+def test_unlike_contexts_of_copies(spark, heavy):
+    """Texts that share words and passages, each several times, with ids that repeat or are missing."""
+    texts = _texts(12, 4)
+    mixed = [a[: len(a) // 2] + b[len(b) // 3 :] for a, b in zip(texts, texts[1:])]
+    rows = [(i, t) for i, t in enumerate(texts + mixed + texts[:5] + mixed[:5])]
+    rows += [(3, texts[3]), (3, mixed[2]), (7, "  ".join(texts[8].split())), (50, "\t".join(texts[9].split()))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got_bytes(df) == expected_bytes(rows, 50)
+    unique = [r for r in rows if r[0] not in (3, 7)]
+    assert got_words(df.where("doc_id NOT IN (3, 7)"), 8) == expected_words(unique, 8)
+
+
+def test_shuffle_files_go_with_their_query(spark, tmp_path):
+    import os
+
+    from tidemark.shared import stage
+
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    local = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+
+    def files():
+        return {f for d in local for _, _, names in os.walk(d) for f in names if f.startswith("shuffle_") and f.endswith(".data")}
+
+    held = files()
+    with shuffles_removed(spark):
+        assert stage(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "shuffled").count() == 7
+        assert stage(spark.range(1000).repartition(5, "id"), "shuffled").count() == 1000
+    assert not files() - held
+    assert spark.conf.get(key, None) == before
+
+
 def test_interval_tree_gives_all_maximal_repeats():
     rng = np.random.default_rng(1)
     for _ in range(20):
